@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, gam, ppm
+from tidemark.llm import bpe, decontamination, gam, ppm, secrets, toxicity
 from tidemark.llm.session import table
 
 
@@ -15,6 +15,17 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(decontamination.item_list(), 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
+
+
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.findings(docs, secrets.extend_ledger(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.span_text(), 256).alias("base_sha256"), secrets.span_text().alias("spans"))
+
+
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, words = ppm.train(docs.where(~ppm.held_out()))
@@ -25,11 +36,17 @@ def op8_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "flagged")
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = gam.train(docs, table(spark, sf_dir, "labels"))
     return gam.score(docs, model).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_ppm_scores, op8_bpe_codes, op10_quality_gam)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_secret_ledger, op4_ppm_scores, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
 ORACLE_SQL: dict[str, str] = {}
