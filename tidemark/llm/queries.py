@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, gam, ppm, secrets, toxicity
+from tidemark.llm import bpe, decontamination, gam, ngram_join, ppm, secrets, toxicity
 from tidemark.llm.session import table
 
 
@@ -32,6 +32,10 @@ def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, model, words)
 
 
+def op5_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=4, num=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
@@ -48,5 +52,5 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_secret_ledger, op4_ppm_scores, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_secret_ledger, op4_ppm_scores, op5_ngram_components, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
 ORACLE_SQL: dict[str, str] = {}
