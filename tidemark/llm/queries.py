@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, gam, ngram_join, ppm, secrets, toxicity
+from tidemark.llm import bpe, decontamination, embedding_forest, gam, ngram_join, ppm, secrets, toxicity
 from tidemark.llm.session import table
 
 
@@ -15,6 +15,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(decontamination.item_list(), 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
@@ -52,5 +56,5 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_secret_ledger, op4_ppm_scores, op5_ngram_components, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
+QUERIES = {f.__name__: f for f in (op1_embedding_forest, op2_decontamination, op3_secret_ledger, op4_ppm_scores, op5_ngram_components, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
 ORACLE_SQL: dict[str, str] = {}
