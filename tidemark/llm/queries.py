@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, embedding_forest, gam, ngram_join, ppm, secrets, toxicity
+from tidemark.llm import bpe, decontamination, embedding_forest, fixity, gam, ngram_join, ppm, secrets, toxicity, wrapper_html
 from tidemark.llm.session import table
 
 
@@ -40,6 +40,44 @@ def op5_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=4, num=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, as an archive, against a replica of it with changed, lost and repeated records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    number = F.col("page_id")
+    replica = pages.where(F.coalesce(number % 101 != 7, F.lit(True))).withColumn("html", F.when(number % 97 == 5, F.concat("html", F.lit("\ufffd"))).otherwise(F.col("html")))
+    replica = replica.withColumn("html", F.explode(F.when(number % 103 == 9, F.array("html", "html")).otherwise(F.array("html"))))
+    return fixity.audit(fixity.records(pages), fixity.records(replica))
+
+
+OP7_SQL = """
+with replica as (
+  select page_id, url, case when page_id % 97 = 5 then html || chr(65533) else html end as html
+  from pages cross join range(2) as t(copy)
+  where coalesce(page_id % 101 <> 7, true) and (copy = 0 or page_id % 103 = 9)
+), framed as (
+  select 'a' as side, page_id, 'WARC/1.0' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Length: ' || coalesce(strlen(html)::varchar, 'unknown') || n || n || coalesce(html, '') || n || n as record
+  from pages, (select chr(13) || chr(10) as n)
+  union all
+  select 'b', page_id, 'WARC/1.0' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Length: ' || coalesce(strlen(html)::varchar, 'unknown') || n || n || coalesce(html, '') || n || n
+  from replica, (select chr(13) || chr(10) as n)
+), hashed as (
+  select side, page_id as number, sha256(record) as digest, strlen(record) as size, coalesce(page_id, -1) >> 6 as leaf from framed
+), leaves as (
+  select leaf, sum(size) as bytes from hashed where side = 'a' group by leaf
+), ranges as (
+  select leaf, bytes, coalesce(sum(bytes) over (partition by leaf >> 6 order by leaf rows between unbounded preceding and 1 preceding), 0) as start from leaves
+), counted as (
+  select number, digest, leaf, count(*) filter (side = 'a') as n_primary, count(*) filter (side = 'b') as n_replica from hashed group by all
+)
+select number, digest, n_primary, n_replica, leaf, start::bigint as range_start, bytes::bigint as range_bytes
+from counted left join ranges using (leaf) where n_primary <> n_replica
+"""
+
+
 def op8_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
@@ -56,5 +94,5 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_forest, op2_decontamination, op3_secret_ledger, op4_ppm_scores, op5_ngram_components, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_embedding_forest, op2_decontamination, op3_secret_ledger, op4_ppm_scores, op5_ngram_components, op6_wrapper_text, op7_merkle_audit, op8_bpe_codes, op9_toxicity_cnn, op10_quality_gam)}
+ORACLE_SQL: dict[str, str] = {"op7_merkle_audit": OP7_SQL}
