@@ -1,0 +1 @@
+"""Session-event analytics on Spark: every operator takes and returns DataFrames."""
