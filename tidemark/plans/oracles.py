@@ -145,7 +145,7 @@ union all select 'event_artifacts', count(*) from env union all select 'artifact
 s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (t0 > 0) as d0, count(*) filter (t1 > 0) as d1 from c)
 select doc_id, round(-(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as bm25
 from c, s where t0 > 0 and t1 > 0""",
-    "phrase_search": f"with w as (select doc_id, {_WORDS} as w from documents), p as (select doc_id, w, unnest(range(len(w) - 1)) as i from w) select doc_id, i as "at" from p where w[i + 1] = 'under' and w[i + 2] = 'the'",
+    "phrase_search": f"with w as (select doc_id, {_WORDS} as w from documents), p as (select doc_id, w, unnest(range(len(w) - 1)) as i from w) select doc_id, i as \"at\" from p where w[i + 1] = 'under' and w[i + 2] = 'the'",
     "hybrid_search": f"""with {_ENV}, hit as (select *, op = 'shell|job --shard 7' as exact, type = 'tool.failed' as failed from ops where op is not null)
 select event_id, case when failed then 15000 else 10000 end as score_bps, case when failed then 'signature_and_full_text' else 'exact_signature' end as match_kind from hit where exact order by score_bps desc, occurred_at desc, event_id limit 40""",
     "generated_candidates": f"""{_FINDINGS} select finding_id, 'candidate' as status, 'mut_' || sha256('deterministic-template/v1' || chr(0) || finding_id) as mutation_id,
@@ -193,5 +193,5 @@ select event_id as result_id, bid as call_id from b where type <> 'tool.called'
     "evidence_intersect": f"with {_ENV} select session_id, op from ops where type = 'tool.failed' intersect select session_id, op from ops where type = 'tool.completed'",
     "missing_evidence": f"with {_ENV} select session_id, op from ops where type = 'tool.failed' except select session_id, op from ops where type = 'tool.completed'",
     "full_outer_merge": f"with {_ENV} select session_id, op, count(*) filter (type = 'tool.failed') as failures, count(*) filter (type = 'tool.completed') as successes from ops where type in ('tool.failed', 'tool.completed') group by all",
-    "event_positions": f"with {_ENV} select event_id, row_number() over (partition by session_id order by occurred_at, event_id) - 1 as "at" from env",
+    "event_positions": f"with {_ENV} select event_id, row_number() over (partition by session_id order by occurred_at, event_id) - 1 as \"at\" from env",
 }
