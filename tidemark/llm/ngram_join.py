@@ -32,7 +32,7 @@ from tidemark.llm import textops as T
 from tidemark.llm.components import components
 from tidemark.llm.session import bound_batches, settle
 
-SKETCH_LONGS = 16
+LEAST_LONGS = 16
 BAND_RATIO = 1.25
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
@@ -111,11 +111,19 @@ def block_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(members: np.ndarray) -> np.ndarray:
-    """Each member flips one bit of SKETCH_LONGS longs."""
-    odd = np.bincount((T.mix(members ^ np.uint64(0x1234567)) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    """Each member flips one bit of at least LEAST_LONGS longs, a power of two with half as many bits as members or more."""
+    longs = max(LEAST_LONGS, 1 << max(0, -(-len(members) // 128) - 1).bit_length())
+    odd = np.bincount((T.mix(members ^ np.uint64(0x1234567)) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def hamming(a: str, b: str) -> Column:
+    """Of two sketches; the longer of two sizes is folded in half, which only brings bits together."""
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda s, o: F.when(F.size(s) > F.size(o), half(s)).otherwise(F.col(s))
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
 def _longs(rows: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).astype(np.uint64).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(flat))
@@ -193,7 +201,7 @@ class Join:
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """a, b, na, nb, common of the pairs that the sizes and the Hamming distance allow, with their true intersections."""
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        apart = hamming("sa", "sb")
         left = self._sized(pairs).where(f"{self.num} * greatest(na, nb) <= {self.den} * least(na, nb)").where(apart * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num)).select("a", "b", "na", "nb")
         left = settle(left, f"{name}-left")
         wanted = left.select(F.col("a").alias("class")).union(left.select("b")).distinct().join(self.reps, "class").select("class", "doc_id", "version")
