@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
 from tidemark.llm.components import components
-from tidemark.llm.session import bound_batches, settle
+from tidemark.llm.session import bound_batches, settle, small
 
 LEAST_LONGS = 16
 BAND_RATIO = 1.25
@@ -204,8 +204,8 @@ class Join:
         apart = hamming("sa", "sb")
         left = self._sized(pairs).where(f"{self.num} * greatest(na, nb) <= {self.den} * least(na, nb)").where(apart * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num)).select("a", "b", "na", "nb")
         left = settle(left, f"{name}-left")
-        wanted = left.select(F.col("a").alias("class")).union(left.select("b")).distinct().join(self.reps, "class").select("class", "doc_id", "version")
-        sets = settle(set_table(self.docs, wanted, self.width), f"{name}-sets")
+        wanted = settle(left.select(F.col("a").alias("class")).union(left.select("b")).distinct().join(self.reps, "class").select("class", "doc_id", "version"), f"{name}-wanted")
+        sets = settle(set_table(self.docs, small(wanted), self.width), f"{name}-sets")
         return settle(shared_members(left.select("a", "b"), sets).join(left, ["a", "b"]), name)
 
     def links(self) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_BATCH_BYTES = 16 << 20
 
@@ -30,6 +31,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled table of a few narrow columns: marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by rows, and by bytes where this Spark can, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
