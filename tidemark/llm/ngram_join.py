@@ -8,10 +8,11 @@ sets are joined on equal blocks, band by band. Blocks with less than two members
 by every set with at most s of them, which still leaves one agreeing block; the few sets with more of them
 keep all.
 
-Equal sets form a class and are compared once. Members of a bucket are first compared with its least class;
-components of the links found come next; then only pairs across components are left, cut by the triangle
-inequality (Jaccard distance is a metric) and by the Hamming distance. All that remain are verified, so no
-link between components is lost, and a group of copies costs rows in proportion to its size.
+Equal sets form a class and are compared once. Within a bucket not all pairs are made: in rounds, the member
+that shares most keys is compared with all others of other components and leaves, and what has become one
+component needs no comparison any more. Pairs that sizes and the Hamming distance of one-bit sketches allow are
+verified on the sets. No link between components is lost, and a group of copies costs rows in proportion to
+its size.
 
 Null texts and texts without words have empty sets and link with nothing. Texts are used whole, short ones as
 one shingle. Repeated rows get a row each; an empty table gives an empty result; extra columns are not
@@ -34,6 +35,8 @@ from tidemark.llm.session import bound_batches, settle, small
 
 LEAST_LONGS = 16
 BAND_RATIO = 1.25
+#: Rows of a bucket that are compared with one another at once.
+BUCKET_ROWS = 2_000
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -176,6 +179,86 @@ def shared_members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return of_b.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long, common long")
 
 
+def _close(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and y whose sizes and sketches (equally long) allow a link."""
+    out_a, out_b = [], []
+    step = max(1, (1 << 22) // max(1, y.size))
+    for i in range(0, len(x), step):
+        apart = np.bitwise_count(x[i : i + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+        both = nx[i : i + step, None] + ny[None, :]
+        ok = (apart * (den + num) <= both * (den - num)) & (num * np.maximum(nx[i : i + step, None], ny[None, :]) <= den * np.minimum(nx[i : i + step, None], ny[None, :]))
+        a, b = np.nonzero(ok)
+        out_a.append(a + i)
+        out_b.append(b)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _folded(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sketches as rows of one matrix, all folded to the shortest."""
+    least = size.min()
+    out = np.empty((len(start), least), dtype=np.uint64)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        rows = flat[start[at][:, None] + np.arange(n)]
+        while rows.shape[1] > least:
+            rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        out[at] = rows
+    return out
+
+
+def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of one bucket and different components that sizes and Hamming distance allow.
+
+    rows: key, class, component, n, sketch. Buckets are compared as they stream by, sorted; a bucket of more than
+    BUCKET_ROWS is cut into blocks first, and each two of them are a group of their own. Only allowed pairs are emitted.
+    """
+    large = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET_ROWS).select("key", F.ceil(F.col("c") / BUCKET_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(settle(large, "large-buckets"), "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).otherwise(0))
+    each = dealt.select("key", "class", "component", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("other"))
+    tasks = each.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "component", "n", "sketch")
+    placed = tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def groups(t: pa.Table) -> pa.RecordBatch:
+        key, lo, hi, own, number, component, n = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "class", "component", "n"))
+        lists = t.column("sketch").combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i, j in zip(cut, np.concatenate([cut[1:], [len(key)]])):
+            if component[i:j].min() == component[i:j].max():
+                continue
+            sketch = _folded(flat, ends[i:j], np.diff(ends[i : j + 1]))
+            p, q = np.flatnonzero(own[i:j] == lo[i]), np.flatnonzero(own[i:j] == hi[i])
+            a, b = _close(sketch[p], sketch[q], n[i:j][p], n[i:j][q], num, den)
+            a, b = i + p[a], i + q[b]
+            keep = (component[a] != component[b]) & ((number[a] < number[b]) if lo[i] == hi[i] else True)
+            out_a.append(np.minimum(number[a[keep]], number[b[keep]]))
+            out_b.append(np.maximum(number[a[keep]], number[b[keep]]))
+        found = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = lambda x, k: tuple(x.column(c)[k].as_py() for c in (0, 1, 2))
+            if held and place(held[0], 0) == place(b, b.num_rows - 1):
+                held.append(b)
+                continue
+            key, lo, hi = (b.column(c).to_numpy() for c in (0, 1, 2))
+            change = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+            split = int(change[-1]) + 1 if len(change) else 0  # the last group may go on
+            ready = pa.Table.from_batches([*held, b.slice(0, split)] if split else held) if held or split else None
+            held = [b.slice(split)]
+            if ready is not None and ready.num_rows:
+                yield groups(ready)
+        if held:
+            yield groups(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
 def _similar(num: int, den: int) -> Column:
     return F.expr(f"{den} * common >= {num} * (na + nb - common)")
 
@@ -190,8 +273,11 @@ class Join:
         self.reps = settle(self.rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "version")).alias("rep"), F.first("n").alias("n")).select("class", "rep.*", "n"), "representatives")
         signed = settle(signatures(self.docs, width, Bands(num, den)).groupBy("class").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "signatures")
         self.sketches = signed.select("class", "sketch")
-        spread = signed.select("class", F.explode("keys").alias("key")).selectExpr("key", "class", "min(class) over (partition by key) as pivot", "max(class) over (partition by key) as last")
-        self.buckets = settle(spread.where("pivot <> last").drop("last"), "buckets")
+        spread = signed.select("class", F.explode("keys").alias("key")).selectExpr("key", "class", "count(*) over (partition by key) as size")
+        shared = settle(spread.where("size > 1"), "shared-keys")
+        # a set that shares many keys with many others is the likely centre of its group
+        weight = shared.groupBy("class").agg(F.sum("size").alias("weight"))
+        self.buckets = settle(shared.join(weight, "class").select("key", "class", "weight"), "buckets")
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -209,23 +295,27 @@ class Join:
         return settle(shared_members(left.select("a", "b"), sets).join(left, ["a", "b"]), name)
 
     def links(self) -> DataFrame:
-        """a, b: links between classes enough to connect all that are connected."""
+        """a, b: links between classes, enough to connect all that are connected.
+
+        In a round every bucket's weightiest member is compared with all others of other components, and leaves: none
+        of its pairs in the bucket are open then. Buckets of one component leave as a whole. When a round finds no more
+        links, what is left shares blocks by chance or in parts, and close_pairs() looks through it.
+        """
         similar = _similar(self.num, self.den)
-        first = self.verified(self.buckets.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "first")
-        linked = first.where(similar).select("a", "b")
-        grouped = settle(components(linked), "first-components")
-        # distance to the bucket's pivot: 0 for itself, unknown (1) where a filter already showed that it is beyond the limit
-        far = first.select(F.col("a").alias("pivot"), F.col("b").alias("class"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-        placed = self.buckets.join(far, ["pivot", "class"], "left").join(grouped.withColumnRenamed("node", "class"), "class", "left")
-        placed = placed.select("key", "class", F.coalesce("component", "class").alias("component"), F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
-        mixed = placed.selectExpr("*", "min(component) over (partition by key) as low", "max(component) over (partition by key) as high").where("low <> high").drop("low", "high")
-        mixed = settle(mixed, "mixed-buckets")
-        x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "component", "d"))) for s in "xy")
-        limit = 1 - self.num / self.den + 1e-9
-        close = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= limit, F.lit(True)) & ~F.coalesce(F.least("d_x", "d_y") == 0, F.lit(False))
-        rest = x.join(y, "key").where((F.col("class_x") < F.col("class_y")) & (F.col("component_x") != F.col("component_y")) & close)
-        second = self.verified(rest.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct(), "second")
-        return settle(linked.unionByName(second.where(similar).select("a", "b")), "links")
+        rows, linked = self.buckets.withColumn("component", F.col("class")), None
+        while True:
+            rows = settle(rows.withColumn("pivot", F.expr("max(struct(weight, class, component)) over (partition by key)")), "pivots")
+            tried = rows.where("component <> pivot.component").select(F.least("pivot.class", "class").alias("a"), F.greatest("pivot.class", "class").alias("b"))
+            new = settle(self.verified(tried.distinct(), "verified").where(similar).select("a", "b"), "new-links")
+            linked = new if linked is None else settle(linked.unionByName(new), "links")
+            grouped = settle(components(linked).withColumnRenamed("node", "class").withColumnRenamed("component", "joined"), "components")
+            rows = rows.where("class <> pivot.class").select("key", "class", "weight").join(grouped, "class", "left").select("key", "class", "weight", F.coalesce("joined", "class").alias("component"))
+            mixed = rows.selectExpr("*", "min(component) over (partition by key) as low", "max(component) over (partition by key) as high")
+            rows = settle(mixed.where("low <> high").drop("low", "high"), "open")
+            if new.isEmpty() or rows.isEmpty():
+                break
+        rest = self.verified(close_pairs(rows.join(self.reps.select("class", "n"), "class").join(self.sketches, "class"), self.num, self.den).distinct(), "rest")
+        return settle(linked.unionByName(rest.where(similar).select("a", "b")), "all-links")
 
     def result(self) -> DataFrame:
         """doc_id, version, n_shingles, component_id for every row of docs."""
