@@ -278,3 +278,32 @@ def test_watching_a_growing_log(spark, tmp_path):
     (root / "b.jsonl").write_text(text(1, 5))
     run()
     assert ids() == ["evt_1", "evt_2", "evt_3", "evt_4", "evt_5"]
+
+
+def test_cached_detection_and_status(spark, tmp_path):
+    from tidemark.operators import status
+
+    events = frame(spark, motif(spark, tmp_path), tmp_path)
+    cache = str(tmp_path / "cache")
+    first = status.detect_cached(events, cache)
+    assert first.count() == status.detect_cached(events, cache).count() and len(list((tmp_path / "cache").iterdir())) == 1
+    status.detect_cached(events, cache, detect.Thresholds(min_sessions=5))
+    assert len(list((tmp_path / "cache").iterdir())) == 2
+    told = {(r.section, r.name): r.value for r in status.status(events).collect()}
+    assert told["store", "events"] == 11 and told["store", "signatures"] == 11 and told["store", "stale_signatures"] == 0
+
+
+def test_reports_and_proposals(spark, tmp_path):
+    from tidemark.operators import status
+
+    known = spark.createDataFrame([("m", "s", "h")], "mutation_id string, set_hash string, content_hash string")
+    new = spark.createDataFrame([("m", "s", "h"), ("m", "s", "x"), ("m", "t", "h")], known.schema)
+    assert sorted(r.outcome for r in status.register_reports(new, known, ["mutation_id", "set_hash"]).collect()) == ["conflict", "duplicate", "inserted"]
+    lists = spark.createDataFrame([(1, ["a", "b"], ["b", "a"]), (2, ["a"], ["a", "a"]), (3, ["a"], ["b"])], "report_id int, cited array<string>, registered array<string>")
+    assert sorted(r.report_id for r in status.inconsistent_reports(lists).collect()) == [2, 3]
+    runs = spark.createDataFrame([(None, 1), (None, 2)], "input_tokens long, output_tokens long")
+    assert tuple(status.token_usage(runs).first()) == (None, 3)
+    found = detect.findings(detect.candidates(detect.with_operation(frame(spark, motif(spark, tmp_path), tmp_path))))
+    secret = lambda f: f.select("finding_id", F.lit("t").alias("title"), F.lit("use sk-" + "a" * 20).alias("instruction"))
+    assert {r.status for r in status.accept_proposals(found).collect()} == {"candidate"}
+    assert {r.reason for r in status.accept_proposals(found, secret).collect()} == {"secret_in_field"}
