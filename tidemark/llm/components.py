@@ -10,17 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.session import settle
+from tidemark.llm.session import release, settle
 
 
 def _jump(parents: DataFrame) -> DataFrame:
     """Point every node to the root of its tree (roots have no row), doubling paths until none changes."""
     while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        up, before = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next")), parents
         parents = settle(parents.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")), "parents")
-        moved = parents.where("moved").limit(1).count()
-        parents = parents.select("node", "parent")
-        if not moved:
+        release(before)
+        if parents.where("moved").isEmpty():
             return parents
 
 
@@ -31,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = settle(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     found: DataFrame | None = None
+    earlier: DataFrame | None = None
     while not edges.isEmpty():
         parents = _jump(settle(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "hooks"))
         # a node with only larger neighbours is a root here; others hang below it
@@ -39,11 +39,14 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             moved = parents.select(F.col("node").alias("component"), "parent")
             found = found.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component")).unionByName(parents.join(found.select("node"), "node", "left_anti").select("node", F.col("parent").alias("component")))
-        found = settle(found, "found")
+        before, found = earlier, settle(found, "found")
+        release(before)
+        earlier = found
         to_a = parents.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
         to_b = parents.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
         joined = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        edges = settle(joined.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        old, edges = edges, settle(joined.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        release(old, parents)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = found.select(F.col("component").alias("node"), "component").distinct()

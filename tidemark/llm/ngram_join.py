@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
 from tidemark.llm.components import components
-from tidemark.llm.session import bound_batches, settle, small
+from tidemark.llm.session import bound_batches, release, settle, small
 
 LEAST_LONGS = 16
 BAND_RATIO = 1.25
@@ -278,6 +278,8 @@ class Join:
         # a set that shares many keys with many others is the likely centre of its group
         weight = shared.groupBy("class").agg(F.sum("size").alias("weight"))
         self.buckets = settle(shared.join(weight, "class").select("key", "class", "weight"), "buckets")
+        self.sketches = settle(self.sketches, "sketches")
+        release(shared, signed)
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -292,7 +294,9 @@ class Join:
         left = settle(left, f"{name}-left")
         wanted = settle(left.select(F.col("a").alias("class")).union(left.select("b")).distinct().join(self.reps, "class").select("class", "doc_id", "version"), f"{name}-wanted")
         sets = settle(set_table(self.docs, small(wanted), self.width), f"{name}-sets")
-        return settle(shared_members(left.select("a", "b"), sets).join(left, ["a", "b"]), name)
+        out = settle(shared_members(left.select("a", "b"), sets).join(left, ["a", "b"]), name)
+        release(left, wanted, sets)
+        return out
 
     def links(self) -> DataFrame:
         """a, b: links between classes, enough to connect all that are connected.
@@ -302,20 +306,26 @@ class Join:
         links, what is left shares blocks by chance or in parts, and close_pairs() looks through it.
         """
         similar = _similar(self.num, self.den)
-        rows, linked = self.buckets.withColumn("component", F.col("class")), None
+        rows, linked, before = self.buckets.withColumn("component", F.col("class")), None, self.buckets
         while True:
-            rows = settle(rows.withColumn("pivot", F.expr("max(struct(weight, class, component)) over (partition by key)")), "pivots")
-            tried = rows.where("component <> pivot.component").select(F.least("pivot.class", "class").alias("a"), F.greatest("pivot.class", "class").alias("b"))
-            new = settle(self.verified(tried.distinct(), "verified").where(similar).select("a", "b"), "new-links")
+            pivots = settle(rows.withColumn("pivot", F.expr("max(struct(weight, class, component)) over (partition by key)")), "pivots")
+            release(before)
+            tried = pivots.where("component <> pivot.component").select(F.least("pivot.class", "class").alias("a"), F.greatest("pivot.class", "class").alias("b"))
+            checked = self.verified(tried.distinct(), "verified")
+            new = settle(checked.where(similar).select("a", "b"), "new-links")
+            release(checked)
             linked = new if linked is None else settle(linked.unionByName(new), "links")
             grouped = settle(components(linked).withColumnRenamed("node", "class").withColumnRenamed("component", "joined"), "components")
-            rows = rows.where("class <> pivot.class").select("key", "class", "weight").join(grouped, "class", "left").select("key", "class", "weight", F.coalesce("joined", "class").alias("component"))
-            mixed = rows.selectExpr("*", "min(component) over (partition by key) as low", "max(component) over (partition by key) as high")
-            rows = settle(mixed.where("low <> high").drop("low", "high"), "open")
+            left = pivots.where("class <> pivot.class").select("key", "class", "weight").join(grouped, "class", "left").select("key", "class", "weight", F.coalesce("joined", "class").alias("component"))
+            mixed = left.selectExpr("*", "min(component) over (partition by key) as low", "max(component) over (partition by key) as high")
+            rows = before = settle(mixed.where("low <> high").drop("low", "high"), "open")
+            release(pivots, grouped)
             if new.isEmpty() or rows.isEmpty():
                 break
         rest = self.verified(close_pairs(rows.join(self.reps.select("class", "n"), "class").join(self.sketches, "class"), self.num, self.den).distinct(), "rest")
-        return settle(linked.unionByName(rest.where(similar).select("a", "b")), "all-links")
+        out = settle(linked.unionByName(rest.where(similar).select("a", "b")), "all-links")
+        release(rows, rest)
+        return out
 
     def result(self) -> DataFrame:
         """doc_id, version, n_shingles, component_id for every row of docs."""
@@ -323,6 +333,7 @@ class Join:
         named = self.reps.join(grouped.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         of_class = settle(named.join(least, "component").select("class", "component_id"), "component-ids")
+        release(self.reps, self.sketches)
         return self.rows.join(of_class, "class", "left").select("doc_id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

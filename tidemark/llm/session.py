@@ -28,7 +28,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor then costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
+
+
+def release(*settled: DataFrame | None) -> None:
+    """Delete settled tables that nothing still to be computed reads."""
+    for df in settled:
+        if df is not None and (path := getattr(df, "settled_at", None)):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 BROADCAST_ROWS = 400_000
