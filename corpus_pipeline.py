@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, gam, ngram_join, queries, secrets
-from tidemark.llm.session import settle, table
+from tidemark.llm.session import settle, small, table
 
 
 def _versioned(docs: DataFrame) -> DataFrame:
@@ -25,22 +25,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return gam.score(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs without (or, left_semi: only) the rows of the (id, version) pairs in a settled table."""
+    rows, gone = _versioned(docs), small(gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__gone")))
+    return rows.join(gone, rows["__version"].eqNullSafe(gone["__gone"]) & rows["doc_id"].eqNullSafe(gone["__id"]), how).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group whose shingle sets are linked (five words, 0.8); texts without words stay."""
-    found = ngram_join.similar_documents(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when(F.col("n_shingles") == 0, F.col("version")).alias("v")).agg(F.min("version").alias("version"))
-    kept = settle(kept.select(F.col("doc_id").alias("__id"), F.col("version").alias("__kept")), "kept")
-    rows = _versioned(docs)
-    one = rows.join(kept, rows["__version"].eqNullSafe(kept["__kept"]) & rows["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "__version"]).select(docs.columns)
+    """One document, that of the least id, of each group whose shingle sets are linked (five words, 0.8); texts without words all stay."""
+    found = settle(ngram_join.similar_documents(docs), "groups")
+    worded = found.where("n_shingles > 0 and doc_id is not null")
+    firsts = worded.where("doc_id = component_id").groupBy("component_id").agg(F.min("version").alias("first"))
+    gone = settle(worded.join(firsts, "component_id").where("doc_id <> component_id or version <> first").select("doc_id", "version").distinct(), "near-duplicates")
+    kept = _without(docs, gone)
+    again = settle(found.join(gone, ["doc_id", "version"], "left_anti").where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"), "repeated-rows")
+    if again.isEmpty():
+        return kept
+    once = _without(kept, again, "left_semi")
+    return _without(kept, again).unionByName(_versioned(once).dropDuplicates(["doc_id", "__version"]).select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule does not hit."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = settle(found.where(decontamination.contaminated()).select(F.col("doc_id").alias("__id"), F.col("version").alias("__bad")).distinct(), "contaminated")
-    rows = _versioned(docs)
-    return rows.join(bad, rows["__version"].eqNullSafe(bad["__bad"]) & rows["doc_id"].eqNullSafe(bad["__id"]), "left_anti").select(docs.columns)
+    return _without(docs, settle(found.where(decontamination.contaminated()).select("doc_id", "version").distinct(), "contaminated"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
