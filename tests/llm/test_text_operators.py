@@ -246,6 +246,23 @@ def test_ppm(spark, docs):
     assert ppm.score(frame, empty, none).count() == len(few) and ppm.score(frame.limit(0), model, words).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 1, 50])
+def test_ppm_holds_rare_contexts_too(spark, monkeypatch, bound):
+    """However few runs are looked up, all contexts decide: none is dropped for being rare."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["abc", "abd", "xabcd", "é", "the", "qrstuv", "zz"], int(rng.integers(0, 30)))) for _ in range(60)]
+    few = list(enumerate(texts)) + [(None, "xabcdabd held out zz"), (3, None)]
+    want = sorted(brute_ppm(few), key=lambda r: (str(r[0]), *r[1:]))
+    monkeypatch.setattr(ppm, "CONTEXTS", bound)
+    monkeypatch.setattr(ppm, "RUNS", 40, raising=False)
+    frame = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    model, counted = ppm.train(frame.where(~ppm.held_out()))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ppm.score(frame, model, counted).collect()), key=lambda r: (str(r[0]), *r[1:]))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    for g, w in zip(got, want):
+        assert g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)
+
+
 def test_classifiers_bear_edge_cases(docs, labels):
     model = gam.train(docs, labels)
     rows = gam.score(docs, model).collect()

@@ -3,13 +3,14 @@
 Counts of byte contexts over all training texts form a trie (orders 0 to 5). A byte is coded in the
 longest context that the trie holds; if it was not seen there, an escape is coded (method C: the number
 of distinct symbols against their count) and the next shorter context decides, with the symbols of the
-longer one excluded. As counts are fixed, a context's whole code, escapes and exclusions included, is one
-row of log probabilities, so that scoring a byte is a lookup.
+longer one excluded. As counts are fixed, the log probability of a byte depends on it and the ORDER bytes
+before it alone: it is worked out once for each different run of ORDER + 1 bytes.
 
-Contexts of orders 3 to 5 are held if they make up at least 1/CONTEXTS of the training bytes, so there
-are at most CONTEXTS of each order at any corpus size; shorter ones are all held (at most 256**2). Counting
-covers every training text. Words met in at least 1/HOT of the training tokens (so at most HOT of them) are
-looked up in each task; all others are joined.
+The trie holds every context of every order, as a table of runs and their counts. Orders up to LOW
+(at most 256**LOW contexts each) are broadcast; runs are dealt by the last LOW + 1 bytes before the coded one,
+so that all longer contexts of a run are in its own partition. The CONTEXTS most frequent runs are looked up in
+each task; all others are joined, counted by text first. Counting covers every training text. Words met in at
+least 1/HOT of the training tokens (so at most HOT of them) are looked up in each task; all others are joined.
 
 Texts are lower-cased (A-Z). Null text counts as empty, which has one token, the end. Very long texts are
 scored whole. Repeated rows, even of one doc_id, get a row each; an empty table gives none; without
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import textops as T
 from tidemark.llm.session import bound_batches, settle
 
-ORDER = 5
-CONTEXTS = 1 << 16
+ORDER, LOW = 5, 2
+CONTEXTS = 1 << 20
 HOT = 1 << 17
 #: A byte that UTF-8 never has: it ends a text, and fills the contexts at its start.
 END = 0xFF
@@ -38,6 +39,8 @@ END = 0xFF
 END_KEY = np.int64(-0x5EED_E11D)
 WORD, GRAM = 0, 1
 FLUSH = 4_000_000
+#: Runs that values are worked out for at a time, and more where they share their last LOW + 1 bytes.
+RUNS = 500_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -71,6 +74,15 @@ def _grams(symbols: np.ndarray) -> np.ndarray:
     return key
 
 
+def _runs(offsets: np.ndarray, data: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that end at each byte of texts i..j-1 and at their ends, and the number of the text (from 0) of each."""
+    symbols, first = _symbols(offsets, data, i, j)
+    real = np.ones(len(symbols) - ORDER, dtype=bool)
+    for k in range(ORDER):  # fillers of the later texts code nothing
+        real[first[1:-1] + k - ORDER] = False
+    return _grams(symbols)[real], np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]) + 1)
+
+
 class _Counter:
     """Counts of keys, held sorted; add() returns them once there are too many to hold."""
 
@@ -100,7 +112,7 @@ class _Counter:
         return out
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, kinds: tuple[int, ...] = (WORD, GRAM)) -> DataFrame:
     """(kind, key, n): of words by hash, the end token included, and of runs of ORDER + 1 bytes, over the texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +126,11 @@ def counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             offsets, data = T.buffers(b.column(0))
-            for i, j, _, hashes, *_ in T.iter_words(b.column(0), T.NOT_SPACE):
+            for i, j, _, hashes, *_ in T.iter_words(b.column(0), T.NOT_SPACE) if WORD in kinds else ():
                 if held[WORD].add(np.concatenate([hashes.view(np.int64), np.full(j - i, END_KEY)])):
                     yield from out(WORD)
             for i, j in _pieces(offsets):
-                symbols, first = _symbols(offsets, data, i, j)
-                real = np.ones(len(symbols) - ORDER, dtype=bool)
-                for k in range(ORDER):  # fillers of the later texts code nothing
-                    real[first[1:-1] + k - ORDER] = False
-                if held[GRAM].add(_grams(symbols)[real]):
+                if held[GRAM].add(_runs(offsets, data, i, j)[0]):
                     yield from out(GRAM)
         yield from out(WORD)
         yield from out(GRAM)
@@ -132,7 +140,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """grams: for each order the runs of order + 1 bytes that are held, and their counts; hot: sorted word hashes and counts."""
+    """grams: for each order up to LOW all runs of order + 1 bytes and their counts; hot: sorted word hashes and counts."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]
     hot: tuple[np.ndarray, np.ndarray]
@@ -140,141 +148,205 @@ class Model:
     words: int
 
 
+def _sorted(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """key and value of a table of bounded size, by key."""
+    t = df.select("key", value).toArrow()
+    keys, values = t.column("key").to_numpy(), t.column(value).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of word counts that words not held in it are joined with."""
+    """The model, and the table of all counts (kind, key, n): the whole trie, and words."""
     bound_batches(docs.sparkSession)
     found = settle(counts(docs), "ppm-counts")
     words, grams = found.where(F.col("kind") == WORD).select("key", "n"), found.where(F.col("kind") == GRAM).select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("n").alias("v")).first()
-    size = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     levels = []
-    for order in range(ORDER + 1):
-        level = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        if order > 2:
-            contexts = level.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") * CONTEXTS >= size).select("context")
-            level = level.withColumn("context", F.shiftright("key", 8)).join(contexts, "context", "left_semi").select("key", "n")
-        rows = level.toPandas()  # at most 257 for each of at most CONTEXTS contexts
-        order_of = np.argsort(rows["key"].to_numpy())
-        levels.append((rows["key"].to_numpy(dtype=np.int64)[order_of], rows["n"].to_numpy(dtype=np.int64)[order_of]))
-    rows = words.where(F.col("n") * HOT >= total["n"]).toPandas()
-    order_of = np.argsort(rows["key"].to_numpy())
-    hot = rows["key"].to_numpy(dtype=np.int64)[order_of], rows["n"].to_numpy(dtype=np.int64)[order_of]
-    return Model(levels, hot, int(total["n"]), int(total["v"])), words
-
-
-class Tables:
-    """Log probabilities (base 10) of every symbol in every context held, as one matrix, and the way to a context's row."""
-
-    def __init__(self, model: Model):
-        seen = model.grams[0][0]
-        #: bytes -> symbols; those never seen share the last symbol
-        self.code = np.full(256, len(seen), dtype=np.int64)
-        self.code[seen] = np.arange(len(seen))
-        a = self.a = len(seen) + 1
-        count = np.zeros((1, a))
-        count[0, :-1] = model.grams[0][1]
-        below = np.full((1, a), -np.log10(max(257 - len(seen), 1)))  # of what is seen nowhere, with all that is seen excluded
-        rows = [self._coded(count, below)]
-        keys = [np.zeros(1, dtype=np.int64)]
-        for order in range(1, len(model.grams)):
-            gram, n = model.grams[order]
-            digits = [self.code[gram >> 8 * k & 255] for k in range(order + 1)]
-            context = sum(d * a ** (k - 1) for k, d in enumerate(digits) if k)
-            held, at = np.unique(context, return_inverse=True)
-            parent = np.searchsorted(keys[-1], held % a ** (order - 1))
-            own = np.zeros((len(held), a))
-            own[at, digits[0]] = n
-            outer, last = count[parent], below[parent]
-            left = np.where(own > 0, 0, outer)
-            total, kinds = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                size = np.log10(total + kinds)
-                escape = np.where(kinds > 0, np.log10(kinds) - size, 0)
-                below = np.where(left > 0, np.log10(left) - size, escape + last)
-            count = own
-            keys.append(held)
-            rows.append(self._coded(count, below))
-        start = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        self.matrix = np.concatenate(rows).astype(np.float32).ravel()
-        #: row of each context of two symbols; then, from the row of a context, that of the one longer by a symbol
-        two = np.zeros(a * a, dtype=np.int32)
-        if len(keys) > 1:
-            for order in (1, 2):
-                if order < len(keys):
-                    every = np.arange(a * a) % a**order
-                    at = np.minimum(np.searchsorted(keys[order], every), max(len(keys[order]) - 1, 0))
-                    ok = keys[order][at] == every if len(keys[order]) else np.zeros(a * a, dtype=bool)
-                    two[ok] = (start[order] + at[ok]).astype(np.int32)
-        self.two, self.longer = two, []
-        origin = np.arange(a * a)
-        for order in range(3, len(keys)):
-            if not len(keys[order]):
-                break
-            # a context's number in its order's list, by the number of the context one shorter and the symbol before it
-            base = origin if order == 3 else keys[order - 1]
-            at = np.searchsorted(base, keys[order] % a ** (order - 1))
-            jump = np.full(len(base) * a, -1, dtype=np.int32)
-            jump[at * a + keys[order] // a ** (order - 1)] = np.arange(len(keys[order]))
-            self.longer.append((jump, int(start[order])))
-
-    @staticmethod
-    def _coded(count: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            size = np.log10(total + kinds)
-            return np.where(count > 0, np.log10(count) - size, np.where(kinds > 0, np.log10(kinds) - size, 0) + below)
-
-    def score(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text laid out by _symbols."""
-        a, n = self.a, len(symbols) - ORDER
-        s = self.code[symbols]
-        now = s[ORDER:]
-        number = s[ORDER - 2 : ORDER - 2 + n] * a + s[ORDER - 1 : ORDER - 1 + n]
-        row = self.two[number].astype(np.int64)
-        for k, (jump, start) in enumerate(self.longer):
-            number = np.where(number >= 0, jump[np.maximum(number, 0) * a + s[ORDER - 3 - k : ORDER - 3 - k + n]], -1)
-            row = np.where(number >= 0, number + start, row)
-        value = np.empty(n + ORDER)
-        value[:ORDER] = 0
-        value[ORDER:] = self.matrix[row * a + now]
-        for k in range(ORDER):
-            value[first[:-1] + k] = 0
-        return np.add.reduceat(value, first[:-1])
-
-
-_built: dict[str, Tables] = {}
-
-
-def _built_tables(shared, name: str) -> Tables:
+    for order in range(LOW + 1):  # at most 257 for each of at most 256**LOW contexts
+        levels.append(_sorted(grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), "n"))
+    return Model(levels, _sorted(words.where(F.col("n") * HOT >= total["n"]), "n"), int(total["n"]), int(total["v"])), found
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted stand in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Level:
+    """The contexts of one order: total and kinds of each, and what they leave of the context one shorter by their first byte."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int, shorter: "Level | None"):
+        self.grams, self.n = grams, n
+        context = grams >> 8
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(grams) else np.zeros(0, dtype=np.int64)
+        self.contexts, self.kinds = context[first], np.diff(np.concatenate([first, [len(grams)]]))
+        self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0, dtype=np.int64)
+        if shorter is not None and len(first):
+            outer = _at(shorter.contexts, self.contexts & (1 << 8 * (order - 1)) - 1)[0]
+            excluded = np.add.reduceat(shorter.n[_at(shorter.grams, grams & (1 << 8 * order) - 1)[0]], first)
+            self.left, self.left_kinds = shorter.total[outer] - excluded, shorter.kinds[outer] - self.kinds
+
+
+def log_values(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Log10 probability of the last byte of each run after the others; levels: by order, with all contexts that end these runs."""
+    value, open_, longer = np.zeros(len(keys)), np.arange(len(keys)), np.full(len(keys), -1)
+    for order in range(len(levels) - 1, -1, -1):
+        level, key = levels[order], keys[open_]
+        at, held = _at(level.contexts, key >> 8 & (1 << 8 * order) - 1)
+        gram, seen = _at(level.grams, key & (1 << 8 * (order + 1)) - 1)
+        total, kinds = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+        whole, part = held & (longer < 0), longer >= 0  # without a longer context nothing is excluded
+        total[whole], kinds[whole] = level.total[at[whole]], level.kinds[at[whole]]
+        if part.any():
+            total[part], kinds[part] = levels[order + 1].left[longer[part]], levels[order + 1].left_kinds[longer[part]]
+        coded = np.ones(len(key), dtype=np.int64)
+        coded[seen] = level.n[gram[seen]]
+        coded[~seen] = kinds[~seen]
+        told = coded * (total + kinds) > 0
+        value[open_[told]] += np.log10(coded[told]) - np.log10((total + kinds)[told])
+        longer = np.where(held, at, -1)[~seen]
+        open_ = open_[~seen]
+    value[open_] -= np.log10(max(257 - len(levels[0].grams), 1))
+    return value
+
+
+def run_values(docs: DataFrame, model: Model, found: DataFrame) -> DataFrame:
+    """key, m, value: every run of ORDER + 1 bytes in docs, how often it is met there, and its log probability."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.grams)
+    asked = counts(docs, (GRAM,)).select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    held = found.where(F.col("kind") == GRAM).select("key", "n", F.lit(0).cast("long").alias("m"))
+    both = asked.unionByName(held).groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    group = F.shiftright("key", 8).bitwiseAND((1 << 8 * (LOW + 1)) - 1)
+    placed = both.withColumn("group", group).repartition("group").sortWithinPartitions("group").select("key", "n", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: list[Level] = []
+        for order, (grams, n) in enumerate(shared.value):
+            low.append(Level(grams, n, order, low[-1] if low else None))
+
+        def told(key: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            levels = list(low)
+            for order in range(LOW + 1, ORDER + 1):
+                gram, of = np.unique(key[n > 0] & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+                levels.append(Level(gram, np.bincount(of, n[n > 0], len(gram)).astype(np.int64), order, levels[-1]))
+            key, m = key[m > 0], m[m > 0]
+            value = log_values(key, levels)
+            for k in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (key, m, value)], names=["key", "m", "value"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            held.append(tuple(c.to_numpy() for c in b.columns))
+            if sum(len(x[0]) for x in held) >= RUNS:
+                key, n, m = (np.concatenate(x) for x in zip(*held))
+                of = key >> 8 & (1 << 8 * (LOW + 1)) - 1
+                change = np.flatnonzero(of[1:] != of[:-1])
+                split = int(change[-1]) + 1 if len(change) else 0  # the last group may go on
+                if split:
+                    yield from told(key[:split], n[:split], m[:split])
+                held = [(key[split:], n[split:], m[split:])]
+        if held:
+            yield from told(*(np.concatenate(x) for x in zip(*held)))
+
+    return placed.mapInArrow(run, "key long, m long, value double")
+
+
+def frequent(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The most frequent runs, at most CONTEXTS of them, and all others."""
+    size = F.floor(F.log2("m") * 16).cast("int")
+    least, room = 0, CONTEXTS
+    for r in sorted(values.groupBy(size.alias("size")).count().collect(), reverse=True):  # some hundred rows
+        room -= r["count"]
+        if room < 0:
+            least = r["size"] + 1
+            break
+    return values.where(size >= least), values.where(size < least)
+
+
+class Lookup:
+    """Values of keys by a hash table of one place each; keys that lost their place are found by search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.slot = np.zeros(1 << 64 - int(self.shift), dtype=np.int32)
+        self.slot[self._place(keys)] = np.arange(len(keys))
+        self.lost = np.flatnonzero(self.slot[self._place(keys)] != np.arange(len(keys)))
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where there are none, and whether there is one."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
+        at = self.slot[self._place(keys)]
+        held = self.keys[at] == keys
+        rest = np.flatnonzero(~held)
+        again, ok = _at(self.keys[self.lost], keys[rest])
+        at[rest[ok]] = self.lost[again[ok]]
+        held[rest[ok]] = True
+        return np.where(held, self.values[at], 0.0), held
+
+
+def _by_text(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (text, key) pairs and how often each is met."""
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order]
+    cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return of[cut], keys[cut], np.diff(np.concatenate([cut, [len(keys)]]))
+
+
+_built: dict[str, Lookup] = {}
+
+
+def _built_lookup(shared, name: str) -> Lookup:
     if name not in _built:
         _built.clear()
-        _built[name] = Tables(shared.value)
+        _built[name] = Lookup(*shared.value[1])
     return _built[name]
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, found: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
     import uuid
 
     spark = docs.sparkSession
     bound_batches(spark)
-    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    often, rest = frequent(settle(run_values(docs, model, found), "ppm-values"))
+    shared, name = spark.sparkContext.broadcast((model.hot, _sorted(often, "value"))), uuid.uuid4().hex
     divisor = float(np.log10(model.tokens + model.words + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, (hot, hot_n) = _built_tables(shared, name), shared.value.hot
+        lookup, (hot, hot_n) = _built_lookup(shared, name), shared.value[0]
         hot_log, end = np.log10(hot_n + 1.0), np.searchsorted(hot, END_KEY)
         end_known = bool(len(hot)) and end < len(hot) and hot[end] == END_KEY
         for b in batches:
             offsets, data = T.buffers(b.column(2))
-            total = np.concatenate([tables.score(*_symbols(offsets, data, i, j)) for i, j in _pieces(offsets)]) if b.num_rows else np.zeros(0)
             rid, doc = b.column(0), b.column(1)
+
+            def out(pick: np.ndarray, kinds: np.ndarray, keys: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+                at = pa.array(pick)
+                return pa.RecordBatch.from_arrays([rid.take(at), doc.take(at), pa.array(kinds.astype(np.int32)), pa.array(keys), *map(pa.array, numbers)], names=["rid", "doc_id", "kind", "key", "times", "n_tokens", "n_known", "base", "score"])
+
+            total = np.zeros(b.num_rows)
+            for i, j in _pieces(offsets):
+                keys, of = _runs(offsets, data, i, j)
+                value, held = lookup.get(keys)
+                total[i:j] = np.bincount(of, value, j - i)
+                of, keys, times = _by_text(of[~held], keys[~held])
+                none, zeros = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys))
+                if len(keys):
+                    yield out(i + of, np.full(len(keys), GRAM), keys, times, none, none, zeros, zeros)
             for i, j, first, hashes, *_ in T.iter_words(b.column(2), T.NOT_SPACE):
                 m, n = j - i, np.diff(first)
                 key, of = hashes.view(np.int64), np.repeat(np.arange(m), n)
-                at = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
-                known = hot[at] == key if len(hot) else np.zeros(len(key), dtype=bool)
+                at, known = _at(hot, key)
                 base = np.bincount(of[known], hot_log[at[known]], m) - (n + 1) * divisor
                 n_known = np.bincount(of[known], minlength=m)
                 if end_known:
@@ -282,26 +354,24 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 rare, rare_of = key[~known], of[~known]
                 if not end_known:
                     rare, rare_of = np.concatenate([rare, np.full(m, END_KEY)]), np.concatenate([rare_of, np.arange(m)])
-                order = np.lexsort((rare, rare_of))
-                rare, rare_of = rare[order], rare_of[order]
-                cut = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1])])) if len(rare) else np.zeros(0, dtype=np.int64)
-                times = np.diff(np.concatenate([cut, [len(rare)]]))
+                rare_of, rare, times = _by_text(rare_of, rare)
                 # a row for the text itself has a key of its own, for an even deal
                 own = T.mix(np.asarray(rid[i:j], dtype=np.uint64) + np.uint64(0x9E3779B9)).view(np.int64)
-                pick = pa.array(i + np.concatenate([np.arange(m), rare_of[cut]]))
-                none, zeros = np.zeros(len(cut), dtype=np.int64), np.zeros(len(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [rid.take(pick), doc.take(pick), pa.array(np.concatenate([own, rare[cut]])), pa.array(np.concatenate([np.zeros(m, dtype=np.int64), times])), pa.array(np.concatenate([n + 1, none])), pa.array(np.concatenate([n_known, none]).astype(np.int64)), pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([total[i:j], zeros]))],
-                    names=["rid", "doc_id", "key", "times", "n_tokens", "n_known", "base", "score"],
-                )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, key long, times long, n_tokens long, n_known long, base double, score double")
-    joined = rows.join(words, "key", "left")
-    met = F.col("n").isNotNull() & (F.col("times") > 0)
+                none, zeros = np.zeros(len(rare), dtype=np.int64), np.zeros(len(rare))
+                yield out(
+                    i + np.concatenate([np.arange(m), rare_of]), np.full(m + len(rare), WORD), np.concatenate([own, rare]), np.concatenate([np.zeros(m, dtype=np.int64), times]),
+                    np.concatenate([n + 1, none]), np.concatenate([n_known, none]).astype(np.int64), np.concatenate([base, zeros]), np.concatenate([total[i:j], zeros]),
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, kind int, key long, times long, n_tokens long, n_known long, base double, score double")
+    words = found.where(F.col("kind") == WORD).select("kind", "key", "n", F.lit(0.0).alias("value"))
+    facts = words.unionByName(rest.select(F.lit(GRAM).alias("kind"), "key", F.lit(0).cast("long").alias("n"), "value"))
+    joined = rows.join(facts, ["kind", "key"], "left")
+    met = (F.col("kind") == WORD) & F.col("n").isNotNull() & (F.col("times") > 0)
     summed = joined.groupBy("rid", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(met, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.when(met, F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("base_score"),
-        F.sum("score").alias("score"),
+        F.sum(F.col("score") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("score"),
     )
     return summed.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -32,8 +32,8 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, words = ppm.train(docs.where(~ppm.held_out()))
-    return ppm.score(docs, model, words)
+    model, counted = ppm.train(docs.where(~ppm.held_out()))
+    return ppm.score(docs, model, counted)
 
 
 def op5_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
