@@ -100,6 +100,13 @@ def test_decontamination_without_a_broadcast(spark, docs, monkeypatch):
     assert got == brute_contamination(EDGE, ITEMS)
 
 
+def test_decontamination_of_rows_without_an_id(spark):
+    rows = [(None, f"start {ITEMS[0][1]} end"), (None, "short"), (None, "clean words only"), (1, ITEMS[0][1]), (None, "short")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(docs, items).withColumn("items", decontamination.item_list()).collect())
+    assert got == brute_contamination(rows, ITEMS) and got[None, 15, 13, "1"] == 1
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma alpha delta"), (2, "alpha x y z beta")], "doc_id long, text string")
     from tidemark.llm.textops import hash_words

@@ -9,7 +9,7 @@ texts are read. It is used up to BROADCAST_TERMS terms; beyond, all lists are st
 
 Null texts have no words: no windows, no hits. Items with equal texts are items of their own. Repeated
 document rows get a row each (rows equal in id and text share one lookup); an empty corpus gives an empty
-result, an empty benchmark no hits. Texts are used whole; extra columns are not carried.
+result, an empty benchmark no hits. Rows with a null doc_id are looked up like others. Texts are used whole; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
-from tidemark.llm.session import bound_batches, settle
+from tidemark.llm.session import bound_batches, same_document, settle
 
 WINDOW = 13
 BROADCAST_TERMS = 1 << 20
@@ -138,11 +138,16 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
     return listed.mapInArrow(run, f"item_id {kind}, p1 int, term1 long, p2 int, term2 long").distinct()
 
 
+def _both(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of first with the list that their document has for the second word."""
+    return first.join(second, (first["term2"] == second["term2"]) & same_document(first, second)).drop(second["term2"], second["doc_id"], second["version"])
+
+
 def alignments(index: DataFrame, pairs: DataFrame) -> DataFrame:
     """item_id, doc_id, version, at: where a document has both words of a pair at their offsets (at: the item's start, maybe negative)."""
     first = index.select(F.col("term").alias("term1"), "doc_id", "version", F.col("positions").alias("list1"))
     second = index.select(F.col("term").alias("term2"), "doc_id", "version", F.col("positions").alias("list2"))
-    met = pairs.join(first, "term1").join(second, ["term2", "doc_id", "version"])
+    met = _both(pairs.join(first, "term1"), second)
     moved = F.array_intersect(F.transform("list1", lambda x: x - F.col("p1")), F.transform("list2", lambda x: x - F.col("p2")))
     return met.select("item_id", "doc_id", "version", F.explode(moved).alias("at")).distinct()
 
@@ -154,7 +159,7 @@ def near(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
     """
     first = index.select(F.col("term").alias("term1"), "doc_id", "version", F.col("positions").alias("list1"))
     second = index.select(F.col("term").alias("term2"), "doc_id", "version", F.col("positions").alias("list2"))
-    met = pairs.select("query_id", "term1", "term2").join(first, "term1").join(second, ["term2", "doc_id", "version"])
+    met = _both(pairs.select("query_id", "term1", "term2").join(first, "term1"), second)
     close = F.filter("list1", lambda x: F.exists("list2", lambda y: (x != y) & (F.abs(x - y) <= slop)))
     return met.select("query_id", "doc_id", "version", F.explode(close).alias("at"))
 
@@ -164,7 +169,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, found: DataFrame, window: int
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     told = found.join(items, "item_id").groupBy("doc_id", "version").agg(F.collect_list(F.struct("item_id", "at", "words")).alias("told"))
     texts = _keyed(docs.where(F.col("text").isNotNull()))
-    joined = texts.join(told, ["doc_id", "version"]).select("doc_id", "version", "text", "told")
+    joined = texts.join(told, same_document(texts, told)).select(texts["doc_id"], texts["version"], "text", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = settle(alignments(index, pairs), "alignments")
     hits = phrase_hits(docs, items, found, window)
     rows = counted.where("term is null").select("doc_id", "version", "n_words")
-    return rows.join(hits, rows["doc_id"].eqNullSafe(hits["doc_id"]) & (rows["version"] == hits["version"]), "left").select(rows["doc_id"], rows["version"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items"))
+    return rows.join(hits, same_document(rows, hits), "left").select(rows["doc_id"], rows["version"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items"))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

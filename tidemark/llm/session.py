@@ -41,6 +41,11 @@ def release(*settled: DataFrame | None) -> None:
             place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def same_document(left: DataFrame, right: DataFrame):
+    """Condition of a join of document rows by id and version, in which null ids are equal."""
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["version"] == right["version"])
+
+
 BROADCAST_ROWS = 400_000
 
 
