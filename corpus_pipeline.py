@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, gam, ngram_join, queries, secrets
-from tidemark.llm.session import settle, small, table
+from tidemark.llm.session import same_document, settle, small, table
 
 
 def _versioned(docs: DataFrame) -> DataFrame:
@@ -32,13 +32,16 @@ def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group whose shingle sets are linked (five words, 0.8); texts without words all stay."""
+    """One document, that of the least id, of each group whose shingle sets are linked (five words, 0.8); texts without words all stay.
+
+    Rows without an id go where their group has a document with one; a group without any id keeps its different texts.
+    """
     found = settle(ngram_join.similar_documents(docs), "groups")
-    worded = found.where("n_shingles > 0 and doc_id is not null")
+    worded = found.where("n_shingles > 0 and component_id is not null")
     firsts = worded.where("doc_id = component_id").groupBy("component_id").agg(F.min("version").alias("first"))
-    gone = settle(worded.join(firsts, "component_id").where("doc_id <> component_id or version <> first").select("doc_id", "version").distinct(), "near-duplicates")
+    gone = settle(worded.join(firsts, "component_id").where("not (doc_id <=> component_id) or version <> first").select("doc_id", "version").distinct(), "near-duplicates")
     kept = _without(docs, gone)
-    again = settle(found.join(gone, ["doc_id", "version"], "left_anti").where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"), "repeated-rows")
+    again = settle(found.join(gone, same_document(found, gone), "left_anti").where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"), "repeated-rows")
     if again.isEmpty():
         return kept
     once = _without(kept, again, "left_semi")

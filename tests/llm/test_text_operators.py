@@ -187,6 +187,19 @@ def test_ngram_join_bears_edge_cases(spark, docs):
     assert ngram_join.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_names_groups_that_a_row_without_an_id_is_in(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, text), (7, text), (9, text), (5, near), (8, near), (None, "no other text is like this one"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs).collect())
+    assert got == collections.Counter([(None, 56, 5), (7, 56, 5), (9, 56, 5), (5, 56, 5), (8, 56, 5), (None, 3, None), (None, 0, None)])
+    kept = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == collections.Counter([(5, near), rows[5], rows[6]])
+
+
 def test_block_keys_meet_for_all_similar_sets():
     bands, rng = ngram_join.Bands(85, 100), np.random.default_rng(5)
     for _ in range(600):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
 from tidemark.llm.components import components
-from tidemark.llm.session import bound_batches, release, settle, small
+from tidemark.llm.session import bound_batches, release, same_document, settle, small
 
 LEAST_LONGS = 16
 BAND_RATIO = 1.25
@@ -163,7 +163,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), width)], pa.binary())], names=["class", "members"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").where("text is not null")
-    return texts.join(wanted, ["doc_id", "version"]).select("class", "text").mapInArrow(run, "class long, members binary").dropDuplicates(["class"])
+    return texts.join(wanted, same_document(texts, wanted)).select("class", "text").mapInArrow(run, "class long, members binary").dropDuplicates(["class"])
 
 
 def shared_members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ class Join:
         bound_batches(docs.sparkSession)
         self.docs, self.width, self.num, self.den = docs.select("doc_id", "text"), width, num, den
         self.rows = settle(classes(self.docs, width), "classes")
-        self.reps = settle(self.rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "version")).alias("rep"), F.first("n").alias("n")).select("class", "rep.*", "n"), "representatives")
+        self.reps = settle(self.rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version")).alias("rep"), F.first("n").alias("n")).select("class", "rep.doc_id", "rep.version", "n"), "representatives")
         signed = settle(signatures(self.docs, width, Bands(num, den)).groupBy("class").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "signatures")
         self.sketches = signed.select("class", "sketch")
         spread = signed.select("class", F.explode("keys").alias("key")).selectExpr("key", "class", "count(*) over (partition by key) as size")
