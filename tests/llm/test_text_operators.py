@@ -201,18 +201,40 @@ def test_ngram_join_names_groups_that_a_row_without_an_id_is_in(spark):
 
 
 def test_block_keys_meet_for_all_similar_sets():
+    """Also with the blocks left out that rank first, by any ranking that both sets share."""
     bands, rng = ngram_join.Bands(85, 100), np.random.default_rng(5)
-    for _ in range(600):
-        n = int(rng.choice([6, 7, 9, 13, 30, 80, 300, 900]))
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+
+    def kept(members, seed):
+        keys, left = ngram_join.block_keys(members, bands)
+        band, rank = keys & np.uint64(63), ngram_join.T.mix(keys ^ np.uint64(seed))
+        return np.concatenate([keys[band == x][np.argsort(rank[band == x])][left[band == x][0] :] for x in np.unique(band)] or [keys])
+
+    for seed in range(600):
+        n, top = int(rng.choice([6, 7, 9, 13, 30, 80, 300, 900])), int(rng.choice([63, 62, 60]))
+        a = np.unique(rng.integers(0, 1 << top, n).astype(np.uint64))  # small numbers leave blocks empty
         drop, add = int(rng.integers(0, n // 6 + 1)), int(rng.integers(0, n // 6 + 1))
-        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
+        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << top, add).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-            assert len(np.intersect1d(ngram_join.block_keys(a, bands), ngram_join.block_keys(b, bands)))
-        x, y = (np.unpackbits(ngram_join.bit_sketch(v).view(np.uint8)) for v in (a, b))
-        if len(x) == len(y):
-            assert (x != y).sum() <= len(a) + len(b) - 2 * both
+            assert len(np.intersect1d(kept(a, seed), kept(b, seed)))
+        x, y = (ngram_join.bit_sketch(v, bands) for v in (a, b))
+        assert np.bitwise_count(ngram_join.fold(x, len(y)) ^ ngram_join.fold(y, len(x))).sum() <= len(a) + len(b) - 2 * both
+        assert 64 * min(len(x), len(y)) >= 8 * bands.most_differences(2 * min(len(a), len(b)))
+
+
+def test_ngram_join_in_large_buckets(spark, monkeypatch):
+    """Texts around one passage, that are like their neighbours only, with buckets cut into blocks."""
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 3)
+    rng = np.random.default_rng(3)
+    passage, words = [f"p{k}" for k in range(60)], [f"w{k}" for k in range(3_000)]
+    docs, chain = [], list(rng.choice(words, 80))
+    for k in range(24):
+        docs.append((k, " ".join([*passage, *rng.choice(words, int(rng.integers(8, 30)))])))
+        chain = [*chain[: 3 * k], *rng.choice(words, 3), *chain[3 * k + 3 :]]
+        docs.append((100 + k, " ".join(chain)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(frame, 5, 80, 100).collect())
+    assert got == brute_components(docs, 5, 80, 100)
 
 
 def brute_ppm(docs):
