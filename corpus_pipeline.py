@@ -1,8 +1,10 @@
 """A corpus pipeline: quality, near-duplicates, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the docs of the next one. All but the last return the columns of documents. Rows with a null doc_id pass
-through like any others. ORACLE_SQL is None: trained scores and BPE are beyond SQL, so tests hold each stage
+as the docs of the next one. All but the last return the columns of documents, and any others that docs has,
+whatever their names. Rows with a null doc_id, null, empty and very long texts pass through like any others: null
+and empty texts have a quality score, are no one's near-duplicate, have no benchmark words, secrets or tokens. Of
+equal rows with a text one stays, without words all; an empty table stays empty. ORACLE_SQL is None: trained scores and BPE are beyond SQL, so tests hold each stage
 against a brute-force version.
 """
 
@@ -12,23 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, gam, ngram_join, queries, secrets
-from tidemark.llm.session import same_document, settle, small, table
-
-
-def _versioned(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__version", F.xxhash64("text"))
+from tidemark.llm.session import packed, same_document, settle, small, table, unpacked
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. It is trained on labelled rows of docs."""
     model = gam.train(docs, table(spark, sf_dir, "labels"))
-    return gam.score(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
+    rows = packed(docs).select("row", F.col("row").getField("text").alias("text"))
+    return unpacked(gam.score(rows, model, keep=["row"]).where("predicted = 1"), docs)
 
 
 def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
-    """docs without (or, left_semi: only) the rows of the (id, version) pairs in a settled table."""
-    rows, gone = _versioned(docs), small(gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__gone")))
-    return rows.join(gone, rows["__version"].eqNullSafe(gone["__gone"]) & rows["doc_id"].eqNullSafe(gone["__id"]), how).select(docs.columns)
+    """docs without (or, left_semi: only) the rows of the (doc_id, version) pairs in a settled table."""
+    rows, gone = packed(docs), small(gone.select("doc_id", "version"))
+    return unpacked(rows.join(gone, rows["version"].eqNullSafe(gone["version"]) & rows["doc_id"].eqNullSafe(gone["doc_id"]), how), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if again.isEmpty():
         return kept
     once = _without(kept, again, "left_semi")
-    return _without(kept, again).unionByName(_versioned(once).dropDuplicates(["doc_id", "__version"]).select(docs.columns))
+    return _without(kept, again).unionByName(unpacked(packed(once).dropDuplicates(["doc_id", "version"]), docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidemark.llm import textops as T
 from tidemark.llm.session import bound_batches
@@ -197,5 +198,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
             p = shared.value.score(text_features(b.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema + "score double, predicted int")
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return docs.select(*(F.col(f"`{c}`") for c in keep), "text").mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.session import settle
+from tidemark.llm.session import settle, unpacked
 
 
 @dataclass(frozen=True)
@@ -89,9 +89,10 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep columns, then the ledger's columns, for every row of docs."""
     keep = ["doc_id"] if keep is None else keep
-    known = ledger.where(F.col("rules") == rules_version(rules)).select("blob", F.struct(*(F.col(c) for c in ledger.columns if c not in ("blob", "rules"))).alias("__found"))
-    paths = docs.select(*(F.col(c) for c in keep), blob_of(F.col(text)).alias("__blob"))
-    return paths.join(known, paths["__blob"] == known["blob"], "left").select(*keep, "__found.*")
+    found = [c for c in ledger.columns if c not in ("blob", "rules")]
+    known = ledger.where(F.col("rules") == rules_version(rules)).select("blob", F.struct(*found).alias("found"))
+    paths = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), blob_of(F.col(text)).alias("blob"))
+    return paths.join(known, "blob", "left").select("row.*", *(F.col("found").getField(c).alias(c) for c in found))
 
 
 def span_text(spans: str = "spans") -> Column:
@@ -101,14 +102,14 @@ def span_text(spans: str = "spans") -> Column:
 
 def redact(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """docs with every span in column text replaced by `mark` (overlapping spans by one mark); other columns stay."""
-    columns = docs.columns
-    known = ledger.where(F.col("rules") == rules_version(rules)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).where(F.size("__spans") > 0)
-    marked = docs.withColumn("__blob", blob_of(F.col("text"))).join(known, "__blob", "left")
+    known = ledger.where(F.col("rules") == rules_version(rules)).select("blob", "spans").where(F.size("spans") > 0)
+    text = F.col("row").getField("text")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_of(F.col("text")).alias("blob")).join(known, "blob", "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rebuilt = F.aggregate(
-        "__spans",
+        "spans",
         start,
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length(F.col("text")))),
+        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"))),
+        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    return marked.withColumn("text", F.when(F.col("__spans").isNotNull(), rebuilt).otherwise(F.col("text"))).select(*columns)
+    return unpacked(marked, docs, text=F.when(F.col("spans").isNotNull(), rebuilt).otherwise(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_BATCH_BYTES = 16 << 20
@@ -41,6 +41,16 @@ def release(*settled: DataFrame | None) -> None:
             place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns of docs), doc_id, version: rows that can be joined whatever their columns' names are."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of like from the struct row; those named in `instead` by these expressions."""
+    return rows.select(*(instead.get(c, F.col("row").getField(c)).alias(c) for c in like.columns))
+
+
 def same_document(left: DataFrame, right: DataFrame):
     """Condition of a join of document rows by id and version, in which null ids are equal."""
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["version"] == right["version"])
