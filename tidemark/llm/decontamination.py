@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
-from tidemark.llm.session import bound_batches, same_document, settle
+from tidemark.llm.session import bound_batches, same_document, settle, small
 
 WINDOW = 13
 BROADCAST_TERMS = 1 << 20
@@ -168,7 +168,10 @@ def phrase_hits(docs: DataFrame, items: DataFrame, found: DataFrame, window: int
     """doc_id, version, n_hit, items: exact matches at the alignments found; a document word in any window that occurs is hit once."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     told = found.join(items, "item_id").groupBy("doc_id", "version").agg(F.collect_list(F.struct("item_id", "at", "words")).alias("told"))
+    # few texts have an alignment: the others are left where they are
+    hit = small(settle(found.select("doc_id", "version").distinct(), "hit-documents"))
     texts = _keyed(docs.where(F.col("text").isNotNull()))
+    texts = texts.join(hit, same_document(texts, hit), "left_semi")
     joined = texts.join(told, same_document(texts, told)).select(texts["doc_id"], texts["version"], "text", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
