@@ -1,19 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Up to REFERENCES different pages of a host are aligned by simple tree
-matching (the largest order-preserving match of nodes with equal labels): nodes whose text is the same on all
-are template, the others are slots, and the node that holds most of the varying prose is the content slot.
-The wrapper of a host is the way to that slot and the hashes of its constant texts. Every page is then read
-with its host's wrapper; what the page itself marks up as its article goes before the slot.
-
-Within the content, navigation, page headers and footers, asides, forms, scripts, styles, adverts, notices and
+Pages of one host with one layout (the labels of the outer elements) share a template. One page of such a group,
+the first in the order of a hash, is its reference, and every page of the group is aligned with it by simple tree
+matching (the largest order-preserving match of nodes with equal labels). How often each node of the reference is
+met, and how often with the same text, is counted over all pages, first in each partition. Nodes whose text is
+the same on all pages are template, the others are slots, and the innermost node that holds most of the varying
+prose is the content slot; that a page marks an article or its main part is evidence in that choice and no more.
+The wrapper of a group is the way to its slot and the hashes of its constant texts. Every page is read with it.
+
+Within the slot, navigation, page headers and footers, asides, forms, scripts, styles, adverts, notices and
 reader comments are left out, by element or by the words of class, id and role. Character references are
 decoded, white space inside a block becomes one space, blocks are joined by one space.
 
-Null html counts as empty: text is empty. Pages without a host form a host of their own; a host with a single
-page has no constants. Unclosed and stray tags are repaired as browsers do in the common cases. Long pages are
-read whole (only the trees that wrappers are induced from are limited, to SKELETON_NODES nodes). Repeated
-rows get a row each; an empty table gives an empty result; extra columns are not carried.
+Null html counts as empty: text is empty. Pages without a host form a host of their own. A group with less than
+three different pages, or whose pages are copies of one another for the most part, has no constants. Unclosed and
+stray tags are repaired as browsers do in the common cases. Trees are aligned whole: a run of equal neighbours
+(paragraphs, list items, rows) is one node. Repeated rows get a row each; an empty table gives an empty result;
+extra columns, of whatever name, are not carried.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.session import bound_batches, settle
 
-REFERENCES, SKELETON_NODES = 6, 300
-#: Wrappers of up to so many hosts are broadcast (each has at most WRAPPER_BYTES); more are joined by host.
-BROADCAST_HOSTS, WRAPPER_BYTES = 20_000, 1_500
+#: Trees and wrappers of up to so many bytes in all are broadcast; more are joined by page.
+BROADCAST_BYTES = 32 << 20
+#: Runs of so many equal siblings are one node; of paragraphs, items and rows any run is.
+LONG_RUN = 8
+#: Counts of nodes that a task holds before it passes them on.
+HELD_NODES = 200_000
 
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +52,8 @@ IMPLIED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tab
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 # fixed values: words of class, id and role that mark boilerplate
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|comments?|commentlist|respond|replies|disqus|sidebar|side-bar|rail|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|pagination|pager|skip-link|search|complementary|contentinfo|toolbar|tags|legal|disclaimer)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+ITEMS = frozenset("p li tr dt dd td th option br hr h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -82,31 +89,70 @@ def _closed_by(tag: str, stack: list[Node]) -> int:
     return len(stack)
 
 
+class _Ends:
+    """Where markup ends in a text; what is not found once is not looked for again, so that a page is read in linear time."""
+
+    def __init__(self, text: str):
+        self.text, self.none = text, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def tag(self, at: int) -> int:
+        """The position of the > that closes a tag whose attributes begin at `at`, or -1; a > in quotes closes none."""
+        closing = self.find(">", at)
+        while closing >= 0:
+            quote = min((k for k in (self.find('"', at), self.find("'", at)) if k >= 0), default=-1)
+            if quote < 0 or quote > closing:
+                return closing
+            end = self.find(self.text[quote], quote + 1)
+            if end < 0:
+                return closing
+            at = end + 1
+            if closing < at:
+                closing = self.find(">", at)
+        return -1
+
+
 def parse(text: str) -> Node:
     """The document as a tree; text children are strings with references undecoded."""
-    root = Node("#root")
+    root, ends = Node("#root"), _Ends(text)
     stack, at, n = [root], 0, len(text)
     while at < n:
-        m = TOKEN.search(text, at)
+        m = OPEN.search(text, at) if ends.find(">", at) >= 0 else None
         if m is None:
             stack[-1].children.append(text[at:])
             break
         if m.start() > at:
             stack[-1].children.append(text[at : m.start()])
-        at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+            at = m.start()
+            for start, end in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if text.startswith(start, at):
+                    to = ends.find(end, at + len(start))
+                    if start == "<![CDATA[":
+                        stack[-1].children.append(text[at + 9 : to if to >= 0 else n].replace("&", "&amp;"))
+                    at = n if to < 0 else to + len(end)
+                    break
             continue
-        tag = tag.lower()
+        close = ends.tag(m.end())
+        if close < 0:
+            stack[-1].children.append(text[m.start() :])
+            break
+        rest, at, tag = text[m.end() : close], close + 1, tag.lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
             continue
-        mark = " ".join(" ".join((a or b or c).split()) for _, a, b, c in ATTR.findall(m[3])) if m[3] else ""
+        mark = " ".join(" ".join((a or b or c).split()) for _, a, b, c in ATTR.findall(rest)) if rest.strip() else ""
         node = Node(tag, mark)
         del stack[_closed_by(tag, stack) :]
         stack[-1].children.append(node)
@@ -114,7 +160,7 @@ def parse(text: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
             node.children.append(text[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not rest.endswith("/"):
             stack.append(node)
     return root
 
@@ -158,73 +204,136 @@ def text_hash(node: Node) -> int:
     return xxhash.xxh32_intdigest(full_text(node))
 
 
-def skeleton(root: Node) -> list:
-    """[label, hash of text, characters of prose, children] of the first SKELETON_NODES nodes; links and boilerplate have no prose."""
-    budget = [SKELETON_NODES]
-
-    def walk(x: Node, bare: bool) -> list:
-        budget[0] -= 1
-        bare = bare or x.dropped or x.tag == "a"
-        kids = [c for c in x.children if isinstance(c, Node) and c.tag not in INLINE | RAW | VOID]
-        return [x.label, text_hash(x), 0 if bare else len(content(x)), [walk(c, bare) for c in kids if budget[0] > 0]]
-
-    return walk(root, False)
-
-
-def simple_tree_matching(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Size and node pairs of the largest match of two trees that keeps labels, order and parents."""
-    if a[0] != b[0]:
-        return 0, []
-    m, n = len(a[3]), len(b[3])
-    pairs = [[simple_tree_matching(x, y) for y in b[3]] for x in a[3]]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + pairs[i][j][0])
-    matched, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            matched += pairs[i][j][1]
-    return best[m][n] + 1, matched
-
-
-def induce(trees: list[list]) -> str:
-    """The wrapper of aligned pages, as JSON: way to the content slot (label, number among equal siblings) and constant texts."""
-    reference, others = trees[0], trees[1:]
-    met: dict[int, list[list]] = {}
-    for other in others:
-        for x, y in simple_tree_matching(reference, other)[1]:
-            met.setdefault(id(x), []).append(y)
-    fixed = lambda x: bool(others) and len(met.get(id(x), [])) == len(others) and all(y[1] == x[1] for y in met[id(x)])
-
-    def prose(x: list) -> int:
-        if fixed(x):
-            return 0
-        return max(0, x[2] - sum(c[2] for c in x[3])) + sum(map(prose, x[3])) if x[3] else x[2]
-
-    way, node, whole = [], reference, prose(reference)
-    while whole:
-        heaviest = max(node[3], key=prose, default=None)
-        if heaviest is None or prose(heaviest) < 0.6 * whole:
+def blocks(node: Node) -> list[tuple[str, list[Node]]]:
+    """The block children of a node in order, equal neighbours as one run: (label, nodes)."""
+    runs: list[tuple[str, list[Node]]] = []
+    for c in node.children:
+        if isinstance(c, Node) and c.tag not in INLINE | RAW | VOID:
+            if runs and runs[-1][0] == c.label:
+                runs[-1][1].append(c)
+            else:
+                runs.append((c.label, [c]))
+    out = []
+    for label, run in runs:
+        out += [(label, run)] if len(run) == 1 or run[0].tag in ITEMS or len(run) > LONG_RUN else [(label, [x]) for x in run]
+    return out
+
+
+@dataclass
+class Tree:
+    """Nodes in document order: label, parent's number, hash of the text, characters of prose of its own; links and boilerplate have no prose."""
+
+    label: list[str]
+    parent: list[int]
+    text: list[int]
+    prose: list[int]
+
+    def children(self) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in self.label]
+        for k, p in enumerate(self.parent[1:], 1):
+            out[p].append(k)
+        return out
+
+    def dump(self) -> str:
+        return json.dumps([self.label, self.parent, self.text, self.prose])
+
+    @classmethod
+    def load(cls, text: str) -> Tree:
+        return cls(*json.loads(text))
+
+
+def skeleton(root: Node) -> Tree:
+    """The tree of blocks. If a page marks articles or a main part, the prose of these counts, and no other."""
+    told = any(_outermost(root, tag) for tag in ("article", "main"))
+    out, todo = Tree([], [], [], []), [("#root", [root], -1, False, not told)]
+    while todo:
+        label, run, parent, bare, inside = todo.pop()
+        number, x = len(out.label), run[0]
+        bare, inside = bare or x.dropped or x.tag == "a", inside or x.tag in ("article", "main")
+        kids = blocks(x) if len(run) == 1 else []
+        whole = 0 if bare or not inside else sum(len(content(y)) for y in run)
+        out.label.append(label)
+        out.parent.append(parent)
+        out.text.append(xxhash.xxh32_intdigest(" ".join(map(full_text, run))))
+        out.prose.append(whole)
+        todo.extend((name, nodes, number, bare, inside) for name, nodes in reversed(kids))
+    whole = list(out.prose)
+    for k in range(1, len(out.label)):  # own prose is what children don't have
+        out.prose[out.parent[k]] = max(0, out.prose[out.parent[k]] - whole[k])
+    return out
+
+
+def layout(tree: Tree) -> int:
+    """A hash of the labels of the outer elements, each once, in order: root, document, body and their children."""
+    depth = [0] * len(tree.label)
+    for k, p in enumerate(tree.parent[1:], 1):
+        depth[k] = depth[p] + 1
+    return xxhash.xxh64_intdigest("\n".join(dict.fromkeys(f"{d} {x}" for d, x in zip(depth, tree.label) if d <= 3))) - (1 << 63)
+
+
+def simple_tree_matching(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """Node pairs of the largest match of two trees that keeps labels, order and parents."""
+    kids_a, kids_b = a.children(), b.children()
+    size: dict[tuple[int, int], int] = {}
+    rows: dict[tuple[int, int], list[list[int]]] = {}
+    todo = [(0, 0, False)]
+    while todo:  # children first, without recursion: pages may be nested deeply
+        i, j, ready = todo.pop()
+        p, q = kids_a[i], kids_b[j]
+        if not ready:
+            todo.append((i, j, True))
+            todo.extend((x, y, False) for x in p for y in q if a.label[x] == b.label[y])
+            continue
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for u, x in enumerate(p):
+            for v, y in enumerate(q):
+                best[u + 1][v + 1] = max(best[u][v + 1], best[u + 1][v], best[u][v] + size.get((x, y), 0))
+        size[i, j], rows[i, j] = best[-1][-1] + 1, best
+    matched, todo = [], [(0, 0)] if a.label[0] == b.label[0] else []
+    while todo:
+        i, j = todo.pop()
+        matched.append((i, j))
+        best, u, v = rows[i, j], len(kids_a[i]), len(kids_b[j])
+        while u and v:
+            if best[u][v] == best[u - 1][v]:
+                u -= 1
+            elif best[u][v] == best[u][v - 1]:
+                v -= 1
+            else:
+                u, v = u - 1, v - 1
+                todo.append((kids_a[i][u], kids_b[j][v]))
+    return matched
+
+
+def induce(reference: Tree, pages: int, met: dict[int, int], same: dict[int, int]) -> str:
+    """The wrapper of a group, as JSON: way to the content slot (label, number among equal siblings) and constant texts.
+
+    pages: different pages of the group; met and same: pages on which a node of the reference is found, and with its text.
+    """
+    kids, n = reference.children(), len(reference.label)
+    fixed = [pages >= 3 and met.get(k, 0) >= 2 and met.get(k, 0) == same.get(k, 0) for k in range(n)]
+    varying = sum(p for p, f in zip(reference.prose, fixed) if not f)
+    if 10 * varying < 3 * sum(reference.prose):  # copies of one page: that they agree says nothing
+        fixed = [False] * n
+    whole = [0 if f else p for p, f in zip(reference.prose, fixed)]
+    for k in range(n - 1, 0, -1):
+        whole[reference.parent[k]] += whole[k]
+    way, node = [], 0
+    while whole[0]:
+        inner = [k for k in kids[node] if kids[k] or reference.label[k].split(".")[0] not in ITEMS]
+        heaviest = max(inner, key=lambda k: whole[k], default=None)
+        if heaviest is None or 10 * whole[heaviest] < 6 * whole[0]:
             break
-        way.append([heaviest[0], sum(c[0] == heaviest[0] for c in node[3][: next(k for k, c in enumerate(node[3]) if c is heaviest)])])
+        way.append([reference.label[heaviest], sum(reference.label[c] == reference.label[heaviest] for c in kids[node] if c < heaviest)])
         node = heaviest
-    constant, todo = [], [reference]
+    constant, todo = [], [0]
     while todo:
-        x = todo.pop()
-        if len(others) >= 2 and fixed(x):
-            constant.append(x[1])
+        k = todo.pop()
+        if fixed[k]:
+            constant.append(reference.text[k])
         else:
-            todo += x[3]
-    wrapper = {"slot": way, "constant": constant}
-    while len(json.dumps(wrapper)) > WRAPPER_BYTES and constant:
-        constant.pop()
-    return json.dumps(wrapper) if len(json.dumps(wrapper)) <= WRAPPER_BYTES else json.dumps({"slot": [], "constant": []})
+            todo += kids[k]
+    return json.dumps({"slot": way, "constant": constant})
 
 
 def _outermost(root: Node, tag: str) -> list[Node]:
@@ -234,67 +343,114 @@ def _outermost(root: Node, tag: str) -> list[Node]:
         if isinstance(x, str) or x.dropped:
             continue
         if x.tag == tag:
-            if not (x.mark and MARKS.search(x.mark)):
-                out.append(x)
+            out.append(x)
         else:
             todo.extend(reversed(x.children))
     return out
 
 
-def main_text(page: str, wrapper: str | None) -> str:
-    """Main text of one page, with the wrapper of its host."""
-    root = parse(page)
-    for tag in ("article", "main"):
-        if found := _outermost(root, tag):
-            return " ".join(t for t in (content(x, inside=True) for x in found) if t)
+def main_text(root: Node, wrapper: str | None) -> str:
+    """Main text of one page, by the wrapper of its group."""
     told = json.loads(wrapper) if wrapper else {"slot": [], "constant": []}
-    node = root
+    nodes = [root]
     for label, k in told["slot"]:
-        kids = [c for c in node.children if isinstance(c, Node) and c.label == label]
+        kids = [run for name, run in blocks(nodes[0]) if name == label]
         if not kids:
             break
-        node = kids[min(k, len(kids) - 1)]
-    return content(node, frozenset(told["constant"]))
+        nodes = kids[min(k, len(kids) - 1)]
+    constants = frozenset(told["constant"])
+    return " ".join(t for t in (content(x, constants, x.tag in ("article", "main")) for x in nodes) if t)
 
 
 def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper: induced from up to REFERENCES pages of each host with different html, in the order of a hash."""
-    sourced = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("h", F.xxhash64("html"))
-    order = Window.partitionBy("host").orderBy("h")
+def _sourced(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host")).withColumn("h", F.xxhash64("html"))
+
+
+def _told(pages: DataFrame, groups: DataFrame, by_page: DataFrame, column: str):
+    """pages with `column` of their groups (host, layout), joined by page; or, if these are small, as they are with a broadcast of it."""
+    size = groups.agg(F.sum(F.octet_length(column) + F.octet_length("host") + 100)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return pages.join(by_page.join(groups, ["host", "layout"]).select("host", "h", column), ["host", "h"], "left"), None
+    found = {(r["host"], r["layout"]): r[column] for r in groups.select("host", "layout", column).collect()}
+    return pages.withColumn(column, F.lit(None).cast("string")), pages.sparkSession.sparkContext.broadcast(found)
+
+
+def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """host, layout, wrapper: induced from all pages of each group; and host, h, layout of every different page."""
+    sourced = _sourced(pages)
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees = [json.dumps(skeleton(parse(x))) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string())], names=["host", "h", "tree"])
+            trees = [skeleton(parse(x)) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([layout(t) for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.string())], names=["host", "h", "layout", "tree"])
+
+    shaped = settle(sourced.select("host", "h", "html").mapInArrow(shapes, "host string, h long, layout long, tree string"), "shapes")
+    by_page = settle(shaped.select("host", "h", "layout").distinct(), "pages-by-layout")
+    groups = shaped.groupBy("host", "layout").agg(F.min_by("tree", F.struct("h", "tree")).alias("reference")).join(by_page.groupBy("host", "layout").count(), ["host", "layout"])
+    groups = settle(groups.withColumnRenamed("count", "pages"), "references")
+    few = groups.where("pages >= 3")
+    rows, shared = _told(shaped, few, by_page, "reference")
 
-    def learn(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("h").to_pylist(), t.column("tree").to_pylist()))
-        return pa.table({"host": [t.column("host")[0].as_py()], "wrapper": [induce([json.loads(x) for _, x in rows])]})
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[int]] = {}
+        trees: dict[tuple, tuple[str, Tree]] = {}
+
+        def passed() -> pa.RecordBatch:
+            cols = list(zip(*((*k, *v) for k, v in held.items()))) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["host", "layout", "node", "met", "same"])
+
+        for b in batches:
+            for host, number, tree, reference in zip(*(b.column(k).to_pylist() for k in range(4))):
+                reference = shared.value.get((host, number)) if shared is not None else reference
+                if reference is None:
+                    continue
+                if trees.get((host, number), ("",))[0] != reference:
+                    if len(trees) > 1_000:
+                        trees.clear()
+                    trees[host, number] = (reference, Tree.load(reference))
+                a, own = trees[host, number][1], Tree.load(tree)
+                for i, j in simple_tree_matching(a, own):
+                    count = held.setdefault((host, number, i), [0, 0])
+                    count[0] += 1
+                    count[1] += a.text[i] == own.text[j]
+            if len(held) > HELD_NODES:
+                yield passed()
+                held.clear()
+        yield passed()
+
+    counted = rows.select("host", "layout", "tree", "reference").mapInArrow(align, "host string, layout long, node int, met long, same long").groupBy("host", "layout", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
+    by_group = groups.join(counted.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "met", "same")).alias("nodes")), ["host", "layout"], "left")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for reference, n, nodes in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+                nodes = nodes or []
+                out.append(induce(Tree.load(reference), n, {x["node"]: x["met"] for x in nodes}, {x["node"]: x["same"] for x in nodes}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["host", "layout", "wrapper"])
 
-    few = sourced.select("host", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= REFERENCES).select("host", "h")
-    few = settle(few, "references")
-    if few.count() <= BROADCAST_HOSTS * REFERENCES:  # then html stays where it is
-        few = F.broadcast(few)
-    chosen = sourced.join(few, ["host", "h"], "left_semi").select("host", "h", "html")
-    return chosen.mapInArrow(shapes, "host string, h long, tree string").groupBy("host", "h").agg(F.first("tree").alias("tree")).groupBy("host").applyInArrow(learn, "host string, wrapper string")
+    learned = by_group.select("host", "layout", "reference", "pages", "nodes").mapInArrow(learn, "host string, layout long, wrapper string")
+    return settle(learned, "wrappers"), by_page
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     bound_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    learned = settle(wrappers(pages), "wrappers")
-    if learned.count() <= BROADCAST_HOSTS:
-        learned = F.broadcast(learned)
+    learned, by_page = wrappers(pages)
+    rows, shared = _told(_sourced(pages), learned, by_page, "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(x or "", w) for x, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            text = []
+            for page, host, wrapper in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+                root = parse(page)
+                text.append(main_text(root, shared.value.get((host, layout(skeleton(root)))) if shared is not None else wrapper))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(learned, "host", "left")
-    return rows.select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
