@@ -288,7 +288,9 @@ def test_cached_detection_and_status(spark, tmp_path):
     first = status.detect_cached(events, cache)
     assert first.count() == status.detect_cached(events, cache).count() and len(list((tmp_path / "cache").iterdir())) == 1
     status.detect_cached(events, cache, detect.Thresholds(min_sessions=5))
-    assert len(list((tmp_path / "cache").iterdir())) == 2
+    assert len(list((tmp_path / "cache").iterdir())) == 1 and len(list((tmp_path / "cache").glob("*/*"))) == 2
+    more = events.unionByName(events.limit(1).withColumn("event_id", F.lit("evt_more")))
+    assert status.detect_cached(more, cache).count() >= 1 and len(list((tmp_path / "cache").glob("*/*"))) == 1
     told = {(r.section, r.name): r.value for r in status.status(events).collect()}
     assert told["store", "events"] == 11 and told["store", "signatures"] == 11 and told["store", "stale_signatures"] == 0
 
@@ -307,3 +309,39 @@ def test_reports_and_proposals(spark, tmp_path):
     secret = lambda f: f.select("finding_id", F.lit("t").alias("title"), F.lit("use sk-" + "a" * 20).alias("instruction"))
     assert {r.status for r in status.accept_proposals(found).collect()} == {"candidate"}
     assert {r.reason for r in status.accept_proposals(found, secret).collect()} == {"secret_in_field"}
+
+
+def test_one_of_equal_rows_is_accepted(spark, tmp_path):
+    events = store.hashed(frame(spark, [event(1, 1, "prompt.submitted"), event(2, 1, "prompt.submitted")], tmp_path)).withColumn("ingest_seq", F.lit(5).cast("long"))
+    taken = store.ingest(events.unionByName(events).repartition(3))
+    assert sorted(r.event_id for r in taken.accepted.collect()) == ["evt_1", "evt_2"] and taken.duplicates.count() == 2 and taken.conflicts.count() == 0
+
+
+def test_the_fingerprint_changes_with_any_event(spark, tmp_path):
+    from tidemark.operators import status
+
+    one, two = ([event(1, 1, "prompt.submitted"), event(2, 1, "prompt.submitted"), event(k, 1, "prompt.submitted")] for k in (0, 3))
+    older = spark.createDataFrame(frame(spark, one, tmp_path).drop("tool", "artifacts", "metadata").collect(), frame(spark, one, tmp_path).drop("tool", "artifacts", "metadata").schema)
+    changed = older.withColumn("occurred_at", F.when(F.col("event_id") == "evt_1", F.col("occurred_at") - F.expr("interval 1 second")).otherwise(F.col("occurred_at")))
+    keys = {status.cache_key(e, detect.Thresholds())[0] for e in (older, changed)}
+    assert len(keys) == 2
+    assert detect.fingerprint(older.withColumn("ingest_seq", F.col("line"))).first().last_ingest == 3
+
+
+def test_efficacy_of_old_grammars_and_coverage(spark):
+    day = 86_400
+    fails = [(f"evt_{k}", f"ses_{k % 3}", k * day, "operation/v2|shell|a" if k % 4 else None, 1) for k in range(40)]
+    ops = spark.createDataFrame(fails, "event_id string, session_id string, t long, operation_key string, code long").select("event_id", "session_id", F.timestamp_seconds("t").alias("occurred_at"), "operation_key", F.struct(F.col("code").alias("exit_code")).alias("tool"), F.lit("tool.failed").alias("type"))
+    rows = [("m1", "failure/v1|shell|a|exit:1", 20 * day, 39 * day), ("m2", "failure/v2|shell|a|exit:1", 20 * day, 39 * day), ("m3", "failure/v2|shell|a|exit:1", 30 * day + 5, 35 * day + 5)]
+    installed = spark.createDataFrame(rows, "mutation_id string, selector string, a long, b long").select("mutation_id", "selector", F.timestamp_seconds("a").alias("installed_at"), F.timestamp_seconds("b").alias("now"))
+    got = {r.mutation_id: r for r in lifecycle.efficacy(ops, installed).collect()}
+    for name, _, a, b in rows:
+        span = [f for f in fails if a - (b - a) <= f[2] <= b]
+        assert (got[name].total, got[name].classifiable) == (len(span), sum(f[3] is not None for f in span))
+    assert [got[k].grammar_mismatch for k in ("m1", "m2", "m3")] == [True, False, False] and got["m1"].reasons[0] == "selector_grammar_mismatch"
+    both = ops.unionByName(ops.limit(1).withColumns({"event_id": F.lit("evt_old"), "operation_key": F.lit("operation/v1|shell|a")}))
+    assert not any(r.grammar_mismatch for r in lifecycle.efficacy(both, installed).collect())
+
+
+def test_orphans(spark):
+    assert QUERIES["orphan_artifacts"](spark, "/root/testdata/sf0.01").count() > 0

@@ -97,8 +97,8 @@ def metadata_text(metadata: Column, key: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(metadata, f"$['{key}']", "string"))
 
 
-def correction_label(metadata: Column) -> Column:
-    label = normalized_label(F.coalesce(*(metadata_text(metadata, k) for k in LABEL_KEYS)))
+def correction_label(metadata: Column, keys: tuple[str, ...] = LABEL_KEYS) -> Column:
+    label = normalized_label(F.coalesce(*(metadata_text(metadata, k) for k in keys)))
     return F.when(F.length(label) > 0, label)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions.ids import finding_id
-from tidemark.schema import FOLLOWED, GRAMMAR, OUTCOME_KEYS
+from tidemark.schema import EVENT, FOLLOWED, GRAMMAR, LABEL_KEYS, OUTCOME_KEYS
 
 FAILURE, CORRECTION, RECOVERY = "repeated_command_failure", "repeated_user_correction", "repeated_successful_recovery"
 REFERENCE = ("event_id", "session_id", "occurred_at", "type", "project")
@@ -28,15 +28,17 @@ class Thresholds:
     min_support_ratio_bps: int = 0
 
 
-def with_operation(events: DataFrame) -> DataFrame:
-    """events with op (tool|command), operation_key, failure_signature, label and outcome."""
+def with_operation(events: DataFrame, label_keys: tuple[str, ...] = LABEL_KEYS, outcome_keys: tuple[str, ...] = OUTCOME_KEYS) -> DataFrame:
+    """events with op (tool|command), operation_key, failure_signature, label and outcome; the keys name metadata, the first that is there counts."""
     op = X.operation(F.col("tool.name"), X.command_of(F.col("tool.input")), F.col("project"))
-    outcome = F.coalesce(*(X.metadata_text(F.col("metadata"), OUTCOME_KEYS[0]) if k == 0 else F.when(F.try_variant_get("metadata", f"$['{OUTCOME_KEYS[0]}']", "variant").isNull(), X.metadata_text(F.col("metadata"), OUTCOME_KEYS[1])) for k in (0, 1)))
+    outcome = F.lit(None).cast("string")
+    for key in reversed(outcome_keys):
+        outcome = F.when(F.try_variant_get("metadata", f"$['{key}']", "variant").isNotNull(), X.metadata_text(F.col("metadata"), key)).otherwise(outcome)
     return (
         events.withColumn("op", op)
         .withColumn("operation_key", X.operation_key(F.col("op")))
         .withColumn("failure_signature", F.when(F.col("type") == "tool.failed", X.failure_signature(F.col("op"), F.col("tool.exit_code"))))
-        .withColumn("label", X.correction_label(F.col("metadata")))
+        .withColumn("label", X.correction_label(F.col("metadata"), label_keys))
         .withColumn("outcome", outcome)
     )
 
@@ -174,5 +176,13 @@ def scan_report(events: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def fingerprint(events: DataFrame) -> DataFrame:
-    """events, sessions, last_event_at: changes when the events do."""
-    return events.groupBy("session_id").agg(F.count("*").alias("n"), F.max("occurred_at").alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count("session_id").alias("sessions"), F.max("t").alias("last_event_at"))
+    """events, sessions, last_event_at, last_ingest, last_import: changes when the events do.
+
+    last_ingest is the greatest ingest_seq, or a sum over all that the events say where they have none; last_import
+    the latest imported_at, null where events have none.
+    """
+    told = F.max("ingest_seq").cast("decimal(38,0)") if "ingest_seq" in events.columns else F.sum(F.xxhash64(F.to_json(F.struct(*(c for c in EVENT.names if c in events.columns)))).cast("decimal(38,0)"))
+    stamp = F.max("imported_at") if "imported_at" in events.columns else F.lit(None).cast("timestamp")
+    by_session = events.groupBy("session_id").agg(F.count("*").alias("n"), F.max("occurred_at").alias("t"), told.alias("told"), stamp.alias("stamp"))
+    whole = F.max("told") if "ingest_seq" in events.columns else F.sum("told")
+    return by_session.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count("session_id").alias("sessions"), F.max("t").alias("last_event_at"), whole.cast("decimal(38,0)").alias("last_ingest"), F.max("stamp").alias("last_import"))

@@ -230,12 +230,37 @@ def shadow_summary(results: DataFrame) -> DataFrame:
     return out.withColumn("threshold_failures", F.array_compact(F.array(*unmet))).withColumn("passed", F.size("threshold_failures") == 0)
 
 
-def efficacy(ops: DataFrame, installed: DataFrame, newest_grammar: int = 2) -> DataFrame:
+def index_grammars(ops: DataFrame) -> DataFrame:
+    """newest, present array<int>: the versions of the signature grammar in the index; one row."""
+    return ops.select(X.grammar_version(F.col("operation_key")).alias("g")).where("g is not null").distinct().agg(F.max("g").alias("newest"), F.collect_set("g").alias("present"))
+
+
+def failures_up_to(failed: DataFrame, instants: DataFrame) -> DataFrame:
+    """t, total_to, classifiable_to, total_before, classifiable_before: failures up to and with, and before, each instant t.
+
+    Days are counted once and summed up; only the days that an instant lies in are looked into.
+    """
+    by_time = failed.groupBy("occurred_at").agg(F.count("*").alias("total"), F.count("operation_key").alias("classifiable")).withColumn("day", F.to_date("occurred_at"))
+    by_day = by_time.groupBy("day").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"))
+    marks = instants.select("t", F.to_date("t").alias("day")).distinct()
+    # a row for each day, far fewer than events: one running total over them
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = by_day.unionByName(marks.select("day", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("classifiable"))).groupBy("day").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"))
+    earlier = days.select("day", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("total_day"), F.coalesce(F.sum("classifiable").over(upto), F.lit(0)).alias("classifiable_day"))
+    within = marks.join(by_time, "day", "left").groupBy("t", "day").agg(
+        *(F.coalesce(F.sum(F.when(F.col("occurred_at") <= F.col("t"), F.col(c))), F.lit(0)).alias(f"{c}_to") for c in ("total", "classifiable")),
+        *(F.coalesce(F.sum(F.when(F.col("occurred_at") < F.col("t"), F.col(c))), F.lit(0)).alias(f"{c}_before") for c in ("total", "classifiable")),
+    )
+    return within.join(earlier, "day").select("t", *((F.col(f"{c}_day") + F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in ("total", "classifiable") for k in ("to", "before")))
+
+
+def efficacy(ops: DataFrame, installed: DataFrame) -> DataFrame:
     """Occurrences before and after an installation, in windows of equal length, and a verdict.
 
     installed: mutation_id, selector, installed_at, now. Events outside all windows and operations that no selector
     asks for are cut off before anything is counted. Coverage counts failures with an operation among all failures
-    of the span, over all sessions.
+    of the span, over all sessions. A selector whose grammar is older than the newest of the index, and not in it, is
+    a mismatch; of several selectors of a mutation one is enough.
     """
     spans = installed.withColumn("q", X.parsed_selector(F.col("selector"))).withColumn("pre_start", F.expr("installed_at - (now - installed_at)"))
     spans = spans.select("mutation_id", "selector", "installed_at", "now", "pre_start", F.col("q.operation_key").alias("operation_key"), F.col("q.exit_code").alias("exit_code"))
@@ -244,14 +269,17 @@ def efficacy(ops: DataFrame, installed: DataFrame, newest_grammar: int = 2) -> D
     met = met.select("mutation_id", "event_id", "session_id", "occurred_at", (F.col("occurred_at") >= F.col("installed_at")).alias("post")).dropDuplicates(["mutation_id", "event_id"])
     side = met.groupBy("mutation_id", "session_id").agg(F.count_if(~F.col("post")).alias("pre"), F.count_if("post").alias("post"))
     tally = side.groupBy("mutation_id").agg(F.sum("pre").alias("pre_n"), F.sum("post").alias("post_n"), F.count_if(F.col("pre") > 0).alias("pre_sessions"), F.count_if(F.col("post") > 0).alias("post_sessions"))
-    # failures are counted by instant, and spans meet them by day
-    timeline = failed.groupBy("occurred_at").agg(F.count("*").alias("total"), F.count("operation_key").alias("classifiable")).withColumn("day", F.to_date("occurred_at"))
-    bounds = spans.select("mutation_id", F.col("pre_start").alias("lo"), F.col("now").alias("hi")).distinct()
-    days = bounds.select("*", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("day"))
-    covered = days.join(timeline, "day").where(F.col("occurred_at").between(F.col("lo"), F.col("hi"))).groupBy("mutation_id").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"))
-    base = spans.groupBy("mutation_id").agg(F.min("installed_at").alias("installed_at"), F.min("now").alias("now"), F.min(X.grammar_version(F.col("selector"))).alias("grammar"))
+    bounds = spans.select("mutation_id", F.col("pre_start").alias("lo"), F.col("now").alias("hi")).groupBy("mutation_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    marks = failures_up_to(failed, bounds.select(F.col("lo").alias("t")).union(bounds.select("hi")))
+    low = marks.select(F.col("t").alias("lo"), "total_before", "classifiable_before")
+    high = marks.select(F.col("t").alias("hi"), "total_to", "classifiable_to")
+    covered = bounds.join(low, "lo").join(high, "hi").select("mutation_id", (F.col("total_to") - F.col("total_before")).alias("total"), (F.col("classifiable_to") - F.col("classifiable_before")).alias("classifiable"))
+    grammars = spans.withColumn("one", F.lit(1)).join(F.broadcast(index_grammars(ops).withColumn("one", F.lit(1))), "one")  # one row
+    version = X.grammar_version(F.col("selector"))
+    old = F.coalesce((version < F.col("newest")) & ~F.array_contains("present", version), F.lit(False))
+    base = grammars.groupBy("mutation_id").agg(F.min("installed_at").alias("installed_at"), F.min("now").alias("now"), F.max(old).alias("grammar_mismatch"))
     out = base.join(tally, "mutation_id", "left").join(covered, "mutation_id", "left").fillna(0, ["pre_n", "post_n", "pre_sessions", "post_sessions", "total", "classifiable"])
-    return verdicts(out.withColumn("seconds", F.expr("unix_timestamp(now) - unix_timestamp(installed_at)")).withColumn("grammar_mismatch", F.coalesce(F.col("grammar") < newest_grammar, F.lit(False))))
+    return verdicts(out.withColumn("seconds", F.expr("unix_timestamp(now) - unix_timestamp(installed_at)")))
 
 
 def verdicts(counted: DataFrame) -> DataFrame:

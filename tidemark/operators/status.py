@@ -15,19 +15,29 @@ from tidemark.schema import GRAMMAR
 CACHE_FORMAT = "findings/1"
 
 
-def cache_key(events: DataFrame, thresholds: detect.Thresholds, project: str | None = None) -> str:
-    """Changes with the events, the project, the thresholds, the grammar and the format."""
+def _scope(project: str | None) -> str:
+    return hashlib.sha256((project or "").encode()).hexdigest()[:16]
+
+
+def cache_key(events: DataFrame, thresholds: detect.Thresholds, project: str | None = None) -> tuple[str, str]:
+    """Generation, which changes with the project's events, and key, which changes with the thresholds, the grammar and the format too."""
     seen = detect.fingerprint(events).first()
-    parts = [CACHE_FORMAT, GRAMMAR, project or "", thresholds.min_occurrences, thresholds.min_sessions, thresholds.min_support_ratio_bps, seen["events"], seen["sessions"], seen["last_event_at"]]
-    return hashlib.sha256("".join(f"{p}\0" for p in parts).encode()).hexdigest()
+    generation = f"{_scope(project)}-" + hashlib.sha256("".join(f"{p}\0" for p in seen).encode()).hexdigest()
+    parts = [CACHE_FORMAT, GRAMMAR, project or "", thresholds.min_occurrences, thresholds.min_sessions, thresholds.min_support_ratio_bps, *seen]
+    return generation, hashlib.sha256("".join(f"{p}\0" for p in parts).encode()).hexdigest()
 
 
 def detect_cached(events: DataFrame, cache: str, thresholds: detect.Thresholds = detect.Thresholds(), project: str | None = None, recompute: bool = False) -> DataFrame:
-    """All candidate groups; read from `cache` (a shared folder) if they were computed for the same events and thresholds."""
+    """All candidate groups; read from `cache` (a shared folder) if they were computed for the same events and thresholds.
+
+    A generation (what is cached for one state of the events) is deleted when another is written; other thresholds and
+    projects of the same state stay.
+    """
     spark = events.sparkSession
     if project is not None:
         events = events.where(F.col("project") == project)
-    path = f"{cache}/{cache_key(events, thresholds, project)}"
+    generation, key = cache_key(events, thresholds, project)
+    path = f"{cache}/{generation}/{key}"
     if not recompute:
         try:
             return spark.read.parquet(path)
@@ -35,6 +45,11 @@ def detect_cached(events: DataFrame, cache: str, thresholds: detect.Thresholds =
             if "PATH_NOT_FOUND" not in str(error):
                 raise
     detect.candidates(detect.with_operation(events), thresholds).write.mode("overwrite").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for old in files.listStatus(folder):
+        if old.getPath().getName().startswith(f"{_scope(project)}-") and old.getPath().getName() != generation:
+            files.delete(old.getPath(), True)
     return spark.read.parquet(path)
 
 

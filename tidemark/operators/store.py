@@ -32,37 +32,42 @@ class Ingested:
     rejected: DataFrame
 
 
-def ingest(batch: DataFrame, stored: DataFrame | None = None) -> Ingested:
-    """Split a batch (event columns, content_hash, ingest_seq) into accepted, duplicate, conflicting and rejected rows.
+def ingest(batch: DataFrame, stored: DataFrame | None = None, order: tuple[str, ...] = ("ingest_seq",)) -> Ingested:
+    """Split a batch (event columns, content_hash, the columns of order) into accepted, duplicate, conflicting and rejected rows.
 
     A row with a stored id is a duplicate if the content is equal, else a conflict (checked before all else); a
-    session belongs to the source that was first in it; a sequence number in a session is taken once.
+    session belongs to the source that was first in it; a sequence number in a session is taken once. Of rows that
+    are equal in order and content one is accepted.
     """
     keep = batch.columns
+    place = F.struct(*order)
+    batch = batch.withColumn("__place", place)
     old = None if stored is None else stored.select("event_id", F.col("content_hash").alias("__hash"))
     # one row for each id: the least in ingest order, found by a pre-aggregated minimum, not by sorting a key's rows
-    first = batch.groupBy("event_id").agg(F.min(F.struct("ingest_seq", "content_hash")).alias("__first"))
+    first = batch.groupBy("event_id").agg(F.min(F.struct("__place", "content_hash")).alias("__first"))
     if old is not None:
-        first = first.join(old, "event_id", "left").withColumn("__first", F.when(F.col("__hash").isNotNull(), F.struct(F.lit(-1).cast("long").alias("ingest_seq"), F.col("__hash").alias("content_hash"))).otherwise(F.col("__first"))).drop("__hash")
-    known = batch.join(first, "event_id")
-    is_first = (F.col("ingest_seq") == F.col("__first.ingest_seq")) & (F.col("content_hash") == F.col("__first.content_hash"))
+        first = first.join(old, "event_id", "left").withColumn("__first", F.when(F.col("__hash").isNotNull(), F.struct(F.lit(None).cast(batch.schema["__place"].dataType).alias("__place"), F.col("__hash").alias("content_hash"))).otherwise(F.col("__first"))).drop("__hash")
+    # rows that tie in all of this are few: the window numbers ties, not a key's rows
+    tie = F.row_number().over(Window.partitionBy("event_id", "content_hash", "__place").orderBy("event_id"))
+    known = batch.join(first, "event_id").withColumn("__tie", tie)
+    is_first = F.coalesce(F.col("__place") == F.col("__first.__place"), F.lit(False)) & (F.col("content_hash") == F.col("__first.content_hash")) & (F.col("__tie") == 1)
     same = F.col("content_hash") == F.col("__first.content_hash")
     fresh = known.where(is_first)
-    order = F.struct("ingest_seq", "event_id")
-    owners = fresh.groupBy("session_id").agg(F.min_by("source", order).alias("__owner"))
+    turn = F.struct("__place", "event_id")
+    owners = fresh.groupBy("session_id").agg(F.min_by("source", turn).alias("__owner"))
     if stored is not None:
         owned = stored.groupBy("session_id").agg(F.min_by("source", F.struct("occurred_at", "event_id")).alias("__had"))
         owners = owners.join(owned, "session_id", "left").select("session_id", F.coalesce("__had", "__owner").alias("__owner"))
     fresh = fresh.join(owners, "session_id").withColumn("__reason", F.when(F.col("source") != F.col("__owner"), "session_source_conflict"))
     numbered_rows = fresh.where("sequence is not null and __reason is null")
-    taken = numbered_rows.groupBy("session_id", "sequence").agg(F.min(order).alias("__holder"))
+    taken = numbered_rows.groupBy("session_id", "sequence").agg(F.min(turn).alias("__holder"))
     if stored is not None:
         held = stored.where("sequence is not null").select("session_id", "sequence", F.lit(True).alias("__held")).distinct()
         taken = taken.join(held, ["session_id", "sequence"], "left")
     else:
         taken = taken.withColumn("__held", F.lit(None).cast("boolean"))
     fresh = fresh.join(taken, ["session_id", "sequence"], "left")
-    late = F.col("__holder").isNotNull() & (F.coalesce("__held", F.lit(False)) | (F.struct("ingest_seq", "event_id") != F.col("__holder")))
+    late = F.col("__holder").isNotNull() & (F.coalesce("__held", F.lit(False)) | (turn != F.col("__holder")))
     fresh = fresh.withColumn("__reason", F.coalesce("__reason", F.when(late, "sequence_conflict")))
     return Ingested(
         fresh.where("__reason is null").select(*keep),

@@ -116,7 +116,7 @@ select signature, n, sessions, cx, ratio_bps, score_bps, case when n < 3 then 'o
     "all_findings": f"{_FINDINGS} select finding_id, detector, signature, title, n, sessions, cx, score_bps from gated where unmet_gate is null",
     "observations_top5": f"{_FINDINGS} select detector, signature, n, sessions, cx, score_bps, unmet_gate from gated where unmet_gate is not null order by n desc, sessions desc, score_bps desc, signature, detector limit 5",
     "scan_report": f"{_FINDINGS} select (select count(*) from env) as events, (select count(distinct session_id) from env) as sessions, count(*) as candidates from gated",
-    "fingerprint": f"with {_ENV} select count(*) as events, count(distinct session_id) as sessions, max(occurred_at) as last_event_at from env",
+    "fingerprint": f"with {_ENV} select count(*) as events, count(distinct session_id) as sessions, max(occurred_at) as last_event_at, max(n) as last_ingest from env",
     "operation_keys": f"with {_ENV} select 'operation/v2|' || op as operation_key, count(*) as events, count(*) filter (type = 'tool.failed') as failures from ops where op is not null group by op",
     "normalized_text": "select doc_id, sha256(" + _replaced(r"trim(regexp_replace(coalesce(text, '') || ' /srv/data/run-' || doc_id || '/x.txt https://h.example/a?b=' || doc_id || ' ~/w/' || doc_id || ' id ' || md5(doc_id::varchar) || ' n ' || (doc_id + 10000), '\s+', ' ', 'g'))", _REWRITES) + ") as normalized_sha256 from documents",
     "redacted_text": "select doc_id, sha256(" + _replaced("coalesce(text, '') || ' API_KEY=' || md5(doc_id::varchar) || ' Authorization: bearer ' || sha1(doc_id::varchar) || ' sk-' || md5(doc_id::varchar)", _SECRETS) + ") as redacted_sha256, 1::bigint as changed from documents",
@@ -136,7 +136,7 @@ union all select 'event_artifacts', count(*) from env union all select 'artifact
     "conflict_quarantine": f"with {_ENV} select event_id, 1::bigint as observation_count, n + 1000000000 as first_seen, n + 1000000000 as last_seen from env where n % 6 = 0",
     "sequence_conflicts": f"with {_TALK}, placed as (select *, turn // 2 as sequence from talk) select event_id, session_id, sequence, 'sequence_conflict' as reason from placed qualify turn > min(turn) over (partition by session_id, sequence)",
     "prune_preview": f"with {_ENV}, last as (select session_id, max(occurred_at) as t, count(*) as events from env group by session_id) select session_id, events from last where t < (select max(t) from last) - interval 12 hours",
-    "orphan_artifacts": f"with {_ENV} select 'src/' || k || '.py' as path, count(*) as events from env group by k having count(*) filter (type <> 'tool.failed') = 0",
+    "orphan_artifacts": f"with {_ENV} select 'src/' || k || '.py' as path, count(*) as events from env group by k having count(*) filter (type = 'session.started' and n % 7 = 0) = 0",
     "search_projection": f"with {_ENV} select event_id, 'operation/v2|' || op as operation_key from ops where op is not null",
     "exact_signature_lookup": f"with {_ENV} select event_id, occurred_at, type from ops where op = 'shell|job --shard 7'",
     "outcome_filter": f"with {_ENV} select event_id, type, 'outcome=failure' as applied_filters from env where type = 'tool.failed'",

@@ -74,7 +74,8 @@ def scan_report(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    return detect.fingerprint(session_events(spark, sf_dir))
+    events = session_events(spark, sf_dir).withColumn("ingest_seq", F.expr("cast(substring(event_id, 5) as bigint)"))
+    return detect.fingerprint(events).select("events", "sessions", "last_event_at", F.col("last_ingest").cast("long").alias("last_ingest"))
 
 
 # ---- scalar functions
@@ -173,10 +174,10 @@ def prune_preview(spark, sf_dir):
 
 
 def orphan_artifacts(spark, sf_dir):
-    """Artifacts that no event but failures names."""
+    """Artifacts that no kept event names: every seventh start of a session is kept."""
     events = session_events(spark, sf_dir)
     bridge = store.event_artifacts(events)
-    kept = store.event_artifacts(events.where("type <> 'tool.failed'"))
+    kept = store.event_artifacts(events.where("type = 'session.started' and pmod(cast(substring(event_id, 5) as bigint), 7) = 0"))
     return store.orphan_artifacts(store.artifacts(bridge), kept).select("path", "events")
 
 

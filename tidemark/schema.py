@@ -15,8 +15,9 @@ EVENT_TYPES = (
 TOOL_TYPES = ("tool.called", "tool.completed", "tool.failed")
 ARTIFACT_TYPES = ("file", "git.commit", "git.diff", "test", "command.output", "other")
 OUTCOMES = {"success": ("tool.completed", "test.passed"), "failure": ("tool.failed", "test.failed")}
-LABEL_KEYS = ("autophagy.signature", "correction_signature", "correction_key")
-OUTCOME_KEYS = ("autophagy.outcome", "correction_outcome")
+#: Metadata keys of a rule and of what became of it; importers of foreign logs name theirs (`with_operation`).
+LABEL_KEYS = ("event.signature", "correction_signature", "correction_key")
+OUTCOME_KEYS = ("event.outcome", "correction_outcome")
 FOLLOWED = ("followed", "accepted", "complied")
 SHELL_NAMES = ("bash", "exec", "exec_command", "shell", "terminal")
 

@@ -45,7 +45,7 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     word = F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^ \n\t,.;:!?]+)", 1)
     kind = F.when((F.col("role") == "user") & (F.col("turn") > 0), "user.corrected_agent").when(F.col("role") == "user", "prompt.submitted").when(F.col("role") == "assistant", "decision.recorded").otherwise("context.compacted")
-    metadata = F.parse_json(F.to_json(F.struct(F.concat(F.lit("Rule  "), F.length(word) % 7).alias("autophagy.signature"), F.when(F.col("role") == "assistant", F.when(F.length("text") % 3 == 0, "followed").otherwise("ignored")).alias("autophagy.outcome"))))
+    metadata = F.parse_json(F.to_json(F.struct(F.concat(F.lit("Rule  "), F.length(word) % 7).alias("event.signature"), F.when(F.col("role") == "assistant", F.when(F.length("text") % 3 == 0, "followed").otherwise("ignored")).alias("event.outcome"))))
     return raw.select(
         F.lit("aep/0.1").alias("spec_version"),
         F.concat_ws("_", F.lit("evt_c"), "conv_id", "turn").alias("event_id"),

@@ -115,10 +115,10 @@ def import_events(lines: DataFrame, options: ImportOptions = ImportOptions(), st
     wanted = valid.where(privacy.selected(options.projects))
     clean = privacy.private(wanted, options.exclude_paths)
     clean = settle(clean, "clean")
-    # the order of ingest in one number: files in a fixed order, their lines in order
-    placed = F.col("line") + F.shiftleft(F.pmod(F.xxhash64("file"), F.lit(1 << 20)), 40)
-    batch = settle(store.hashed(clean.withColumn("ingest_seq", placed)), "batch")
-    taken = store.ingest(batch, stored)
+    # files in the order of their names, their lines in order; the number counts lines from those stored before
+    last = 0 if stored is None or "ingest_seq" not in stored.columns else stored.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
+    batch = settle(store.hashed(clean.withColumns({"ingest_seq": F.col("line") + last, "imported_at": F.current_timestamp()})), "batch")
+    taken = store.ingest(batch, stored, ("file", "line"))
     taken = store.Ingested(*(settle(x, "taken") for x in (taken.accepted, taken.duplicates, taken.conflicts, taken.rejected)))
     stored_rejects = taken.rejected.select("file", "line", F.lit("store_rejected").alias("code"), F.array(F.struct(F.lit("").alias("path"), F.col("reason").alias("code"))).alias("errors"))
     problems = rejected.unionByName(stored_rejects)
