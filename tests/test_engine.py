@@ -345,3 +345,46 @@ def test_efficacy_of_old_grammars_and_coverage(spark):
 
 def test_orphans(spark):
     assert QUERIES["orphan_artifacts"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def claude_records():
+    say = lambda k: {"type": "user", "uuid": f"u{k}", "cwd": "/p", "message": {"content": f"say {k}"}, **STAMP}
+    call = lambda k: {"type": "assistant", "uuid": f"a{k}", "cwd": "/p", "message": {"content": [{"type": "tool_use", "id": f"t{k}", "name": "Bash", "input": {"command": "ls"}}]}, **STAMP}
+    end = lambda k: {"type": "user", "uuid": f"r{k}", "cwd": "/p", "message": {"content": [{"type": "tool_result", "tool_use_id": f"t{k}", "is_error": True, "content": "Exit code 3"}]}, **STAMP}
+    return [say(1), call(1), call(2), end(2), end(1), say(2), call(3), end(3)]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 4, 7])
+def test_transcripts_are_imported_in_parts(spark, tmp_path, cut):
+    records = claude_records()
+    shape = lambda e: sorted((r.sequence, r.type, r.event_id, r.parent_event_id) for r in e.collect())
+    whole = jsonl.import_transcripts(lines(spark, records, tmp_path), transcripts.claude)
+    first = jsonl.import_transcripts(lines(spark, records[:cut], tmp_path), transcripts.claude)
+    events = first.events.unionByName(jsonl.import_transcripts(lines(spark, records, tmp_path), transcripts.claude, stored=first.events).events)
+    again = jsonl.import_transcripts(lines(spark, records, tmp_path), transcripts.claude, stored=events).summary.first()
+    assert (again.events_read, again.inserted, again.duplicates, again.rejected) == (0, 0, 0, 0)
+    (tmp_path / "logs" / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in records))
+    assert shape(events) == shape(whole.events) and events.count() == 9
+
+
+def test_watching_transcripts(spark, tmp_path):
+    from tidemark.streaming import watch
+
+    (tmp_path / "logs").mkdir()
+    log, records = tmp_path / "logs" / "a.jsonl", claude_records()
+    for upto in (2, 4, 8):
+        log.write_text("".join(json.dumps(r) + "\n" for r in records[:upto]))
+        for query in watch.watch_all(spark, {"one": ("claude", str(tmp_path / "logs"))}, str(tmp_path / "out"), interval=None).values():
+            query.awaitTermination(120)
+    got = watch.stored_events(spark, str(tmp_path / "out" / "one")).orderBy("sequence").collect()
+    assert [r.sequence for r in got] == list(range(9)) and [r.type for r in got].count("tool.failed") == 3 and got[0].type == "session.started"
+
+
+def test_discovery_of_transcripts(spark, tmp_path):
+    for name in ("rollout-1.jsonl", "agent-x.jsonl", "b/other.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text('{"a": 1}\nno json\n')
+    told = lambda frame: sorted((r.file, r.lines, r.records) for r in transcripts.files_of(frame).collect())
+    assert told(transcripts.discover_codex(spark, str(tmp_path))) == [("rollout-1.jsonl", 2, 1)]
+    assert [f for f, *_ in told(transcripts.discover_claude(spark, str(tmp_path)))] == ["b/other.jsonl", "rollout-1.jsonl"]
+    assert len(told(transcripts.discover_claude(spark, str(tmp_path), include_subagents=True))) == len(told(transcripts.discover_pi(spark, str(tmp_path)))) == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -108,7 +108,16 @@ def import_events(lines: DataFrame, options: ImportOptions = ImportOptions(), st
     summary: one row of counters. diagnostics: file, line, code; at most max_diagnostics are listed, all are counted.
     """
     # each step is long, and its result is used several times
-    decoded = settle(decode(lines), "decoded")
+    return _import(settle(decode(lines), "decoded"), lines, options, stored)
+
+
+def import_transcripts(lines: DataFrame, normalize: Callable[..., DataFrame], options: ImportOptions = ImportOptions(), stored: DataFrame | None = None, include_content: bool = False) -> Imported:
+    """The same for a transcript's lines: `normalize` (one of transcripts.ADAPTERS) makes events of those not read before."""
+    events = settle(normalize(lines, include_content, stored).withColumn("well_formed", F.col("occurred_at").isNotNull()), "decoded")
+    return _import(events, events, options, stored)
+
+
+def _import(decoded: DataFrame, lines: DataFrame, options: ImportOptions, stored: DataFrame | None) -> Imported:
     decoded = settle(decoded.withColumn("errors", F.when(F.col("well_formed"), validation_errors())), "checked")
     rejected = decoded.where("not well_formed or size(errors) > 0").select("file", "line", F.when(F.col("well_formed"), "invalid_event").otherwise("invalid_json").alias("code"), "errors")
     valid = decoded.where("well_formed and size(errors) = 0").drop("errors", "well_formed")

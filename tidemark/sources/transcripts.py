@@ -51,32 +51,71 @@ def _some(*parts: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(when, move) for when, move in parts)))
 
 
-def assemble(moves: DataFrame, adapter: str, artifact_keys: tuple[str, ...], include_content: bool = False, starts: bool = True) -> DataFrame:
-    """Envelope events of moves. Each file is a session; its first move starts it unless it is a start itself."""
+def session_of(adapter: str, file: Column) -> Column:
+    return F.concat(F.lit(f"ses_{adapter}_"), F.sha2(file, 256))
+
+
+def carried(stored: DataFrame, adapter: str) -> tuple[DataFrame, DataFrame]:
+    """What an import goes on from, read from the events stored so far: sessions and their open calls.
+
+    session_id, last_line, next_sequence, last_project; and session_id, call_id, __open (the call). Nothing else is kept
+    between batches, so a batch that is repeated finds what it found before.
+    """
+    own = stored.where(F.col("source") == adapter)
+    at = F.try_variant_get("metadata", f"$['{adapter}.line']", "long")
+    sessions = own.groupBy("session_id").agg(F.max(at).alias("last_line"), (F.max("sequence") + 1).alias("next_sequence"), F.max_by("project", F.col("sequence")).alias("last_project"))
+    calls = own.where("type = 'tool.called'").select("session_id", F.try_variant_get("metadata", f"$['{adapter}.tool_use_id']", "string").alias("call_id"), F.struct(F.lit("call").alias("move"), "event_id", F.col("tool.name").alias("tool_name"), F.col("tool.input").alias("tool_input")).alias("__call"), "sequence")
+    ended = own.where("type in ('tool.completed', 'tool.failed')").select(F.col("parent_event_id").alias("ended"))
+    open_calls = calls.join(ended, F.col("__call.event_id") == F.col("ended"), "left_anti").groupBy("session_id", "call_id").agg(F.max_by("__call", "sequence").alias("__carried"))
+    return sessions, open_calls
+
+
+def unread(lines: DataFrame, adapter: str, stored: DataFrame | None) -> DataFrame:
+    """Lines past the last one of their file that an event was made of."""
+    if stored is None:
+        return lines
+    seen = carried(stored, adapter)[0].select(F.col("session_id").alias("__session"), "last_line")
+    placed = lines.withColumn("__session", session_of(adapter, F.col("file"))).join(seen, "__session", "left")
+    return placed.where("last_line is null or line > last_line").drop("__session", "last_line")
+
+
+def assemble(moves: DataFrame, adapter: str, artifact_keys: tuple[str, ...], include_content: bool = False, starts: bool = True, stored: DataFrame | None = None) -> DataFrame:
+    """file, line and the envelope events of moves. Each file is a session; its first move starts it unless it is a start itself.
+
+    stored: events of earlier imports. Their sessions are gone on with: they are not started again, sequence numbers go
+    on, and results find calls that were read before.
+    """
     place = [F.col("line"), F.col("ord")]
+    moves = moves.withColumn("session_id", session_of(adapter, F.col("file")))
+    if stored is None:
+        moves = moves.withColumns({"next_sequence": F.lit(None).cast("long"), "__carried": F.lit(None).cast("struct<move:string,event_id:string,tool_name:string,tool_input:variant>")})
+    else:
+        sessions, open_calls = carried(stored, adapter)
+        moves = moves.join(sessions.select("session_id", "next_sequence", "last_project"), "session_id", "left").withColumn("project", F.coalesce("project", "last_project")).drop("last_project").join(open_calls, ["session_id", "call_id"], "left")
+        moves = moves.where("next_sequence is null or move <> 'start'")
     if starts:
         first = Window.partitionBy("file").orderBy(*place)
         numbered = moves.withColumn("__k", F.row_number().over(first))
-        opening = numbered.where("__k = 1 and move <> 'start'").withColumns({"ord": F.lit(-1), "move": F.lit("start"), **{c: F.lit(None).cast(t) for c, t in (("call_id", "string"), ("tool_name", "string"), ("tool_input", "variant"), ("failed", "boolean"), ("exit_code", "long"), ("content", "variant"))}})
+        opening = numbered.where("__k = 1 and move <> 'start' and next_sequence is null").withColumns({"ord": F.lit(-1), "move": F.lit("start"), **{c: F.lit(None).cast(t) for c, t in (("call_id", "string"), ("tool_name", "string"), ("tool_input", "variant"), ("failed", "boolean"), ("exit_code", "long"), ("content", "variant"))}})
         moves = numbered.where("__k = 1 or move <> 'start'").unionByName(opening).drop("__k")
     role = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in _ROLES.items() for x in p)), F.col("move")), F.col("move"))
     index = F.when(F.col("move").isin("call", "result"), F.floor(F.col("ord") / 2)).otherwise(0)
     ident = F.concat(F.lit(f"evt_{adapter}_"), F.sha2(F.concat_ws("\0", "file", "record_key", role, index.cast("string")), 256))
     named = moves.withColumn("event_id", ident)
     own = Window.partitionBy("file", "call_id").orderBy(*place)
-    paired = named.withColumn("__open", F.when(F.col("move") == "result", F.lag(F.struct("move", "event_id", "tool_name", "tool_input")).over(own)))
+    paired = named.withColumn("__open", F.when(F.col("move") == "result", F.coalesce(F.lag(F.struct("move", "event_id", "tool_name", "tool_input")).over(own), F.col("__carried"))))
     kept = paired.where("move <> 'result' or __open.move = 'call'")
     name, given = F.coalesce("tool_name", "__open.tool_name"), F.when(F.col("move") == "result", F.col("__open.tool_input")).otherwise(F.col("tool_input"))
     kind = F.when(F.col("move") == "result", F.when(F.col("failed"), "tool.failed").otherwise("tool.completed")).otherwise(F.element_at(F.create_map(*(F.lit(x) for p in _TYPES.items() for x in p)), F.col("move")))
     files = F.array_compact(F.array(*(F.when(text_at(given, f"$.{k}").isNotNull(), F.struct(F.lit("file").alias("type"), text_at(given, f"$.{k}").alias("path"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("variant").alias("metadata"))) for k in artifact_keys)))
-    metadata = {"source_file": F.col("file"), "line": F.col("line"), "tool_use_id": F.when(F.col("move") == "result", F.col("call_id"))}
+    metadata = {"source_file": F.col("file"), "line": F.col("line"), "tool_use_id": F.when(F.col("move").isin("call", "result"), F.col("call_id"))}
     if include_content:
         metadata["content"] = F.to_json("content")
     return kept.select(
-        F.lit(SPEC_VERSION).alias("spec_version"), "event_id",
-        F.concat(F.lit(f"ses_{adapter}_"), F.sha2(F.col("file"), 256)).alias("session_id"),
+        "file", "line", F.lit(SPEC_VERSION).alias("spec_version"), "event_id",
+        "session_id",
         F.try_to_timestamp("at_text").alias("occurred_at"), F.col("at_text").alias("occurred_at_text"),
-        (F.row_number().over(Window.partitionBy("file").orderBy(*place)) - 1).cast("long").alias("sequence"),
+        (F.row_number().over(Window.partitionBy("file").orderBy(*place)) - 1 + F.coalesce("next_sequence", F.lit(0))).cast("long").alias("sequence"),
         F.lit(adapter).alias("source"), kind.alias("type"), "project",
         F.col("__open.event_id").alias("parent_event_id"),
         F.when(F.col("move").isin("call", "result"), F.struct(name.alias("name"), given.alias("input"), F.when(F.col("move") == "result", F.when(F.col("failed"), F.when(F.col("exit_code") != 0, F.col("exit_code")).otherwise(F.lit(1))).otherwise(F.coalesce("exit_code", F.lit(0)))).cast("long").alias("exit_code"), F.lit(None).cast("long").alias("duration_ms"), F.lit(None).cast("variant").alias("metadata"))).alias("tool"),
@@ -88,8 +127,8 @@ def assemble(moves: DataFrame, adapter: str, artifact_keys: tuple[str, ...], inc
 # ---- Claude Code
 
 
-def claude(lines: DataFrame, include_content: bool = False) -> DataFrame:
-    v = F.col("v")
+def claude(lines: DataFrame, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
+    lines, v = unread(lines, "claude", stored), F.col("v")
     kind, content = text_at(v, "$.type"), _variant(v, "$.message.content")
     blocks = elements(content)
     compact = F.coalesce((kind == "system") & text_at(v, "$.subtype").contains("compact"), F.lit(False))
@@ -107,7 +146,7 @@ def claude(lines: DataFrame, include_content: bool = False) -> DataFrame:
         F.when(kind == "user", results).otherwise(none),
         F.when(kind == "assistant", calls).otherwise(none),
     )
-    return assemble(_moves(records, moves), "claude", ("file_path",), include_content)
+    return assemble(_moves(records, moves), "claude", ("file_path",), include_content, stored=stored)
 
 
 def discover_claude(spark: SparkSession, root: str, include_subagents: bool = False) -> DataFrame:
@@ -116,6 +155,21 @@ def discover_claude(spark: SparkSession, root: str, include_subagents: bool = Fa
     return lines if include_subagents else lines.where(~F.col("file").rlike(r"(^|/)agent-[^/]*$"))
 
 
+def discover_codex(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the session logs (rollout-*.jsonl) below root."""
+    return scan(spark, root, "rollout-*.jsonl")
+
+
+def discover_pi(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of all session logs below root."""
+    return scan(spark, root)
+
+
+def files_of(lines: DataFrame) -> DataFrame:
+    """file, lines, bytes, records (lines that are JSON): what was found, before anything is imported."""
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.octet_length("text")).alias("bytes"), F.count("v").alias("records"))
+
+
 # ---- Codex
 
 
@@ -153,7 +207,8 @@ def _outcome(column):
     return pd.DataFrame({"exit_code": pd.array([c for c, _ in out], dtype="Int64"), "failed": [b for _, b in out]})
 
 
-def codex(lines: DataFrame, include_content: bool = False) -> DataFrame:
+def codex(lines: DataFrame, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
+    lines = unread(lines, "codex", stored)
     v, p = F.col("v"), _variant(F.col("v"), "$.payload")
     kind, sub = text_at(v, "$.type"), text_at(p, "$.type")
     stamp = F.coalesce(text_at(v, "$.timestamp"), text_at(p, "$.timestamp"))
@@ -176,13 +231,14 @@ def codex(lines: DataFrame, include_content: bool = False) -> DataFrame:
         ((kind == "response_item") & sub.isin("function_call_output", "custom_tool_call_output") & text_at(p, "$.call_id").isNotNull(), _move("result", 1, call_id=text_at(p, "$.call_id"), failed=failed, exit_code=F.col("__o.exit_code"), content=output)),
         (kind == "compacted", _move("compacted", 0, content=message)),
     )
-    return assemble(_moves(records, moves), "codex", ("file_path", "path"), include_content)
+    return assemble(_moves(records, moves), "codex", ("file_path", "path"), include_content, stored=stored)
 
 
 # ---- Pi
 
 
-def pi(lines: DataFrame, include_content: bool = False) -> DataFrame:
+def pi(lines: DataFrame, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
+    lines = unread(lines, "pi", stored)
     v, m = F.col("v"), _variant(F.col("v"), "$.message")
     kind, role = text_at(v, "$.type"), text_at(m, "$.role")
     here = F.last(F.when(kind == "session", F.struct(text_at(v, "$.cwd").alias("cwd"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
@@ -207,17 +263,18 @@ def pi(lines: DataFrame, include_content: bool = False) -> DataFrame:
         ),
         F.when(is_role("assistant"), calls).otherwise(F.array().cast(f"array<{_MOVE}>")),
     )
-    return assemble(_moves(records, moves), "pi", ("file_path", "path"), include_content)
+    return assemble(_moves(records, moves), "pi", ("file_path", "path"), include_content, stored=stored)
 
 
 # ---- OpenCode
 
 
-def opencode(spark: SparkSession, root: str, include_content: bool = False) -> DataFrame:
+def opencode(spark: SparkSession, root: str, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """A tree of small JSON files: session/<project>/<id>, message/<session>/<id>, part/<message>/<id>.
 
     Messages count in the order of their ids, up to the first whose tools have not all ended (or, of an assistant,
-    that is not completed): from there on a session is left for a later import.
+    that is not completed): from there on a session is left for a later import, which takes the messages that `stored`
+    does not have.
     """
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
     path = F.split(F.col("_metadata.file_path"), "/")
@@ -245,4 +302,8 @@ def opencode(spark: SparkSession, root: str, include_content: bool = False) -> D
     moves = F.concat(_some(((F.col("role") == "user"), _move("prompt", 0)), ((F.col("role") == "assistant") & (said != ""), _move("decision", 0))), both)
     starts = sessions.where("created is not null").select(F.col("session").alias("file"), F.lit(0).cast("long").alias("line"), stamp(F.col("created")).alias("at_text"), "project", F.lit("session").alias("record_key"), F.array(_move("start", -1)).alias("moves"))
     every = _moves(records.withColumn("moves", moves), F.col("moves")).unionByName(_moves(starts, F.col("moves")))
-    return assemble(every, "opencode", ("filePath", "file_path", "path"), include_content)
+    return assemble(unread(every, "opencode", stored), "opencode", ("filePath", "file_path", "path"), include_content, stored=stored)
+
+
+ADAPTERS = {"claude": claude, "codex": codex, "pi": pi}
+

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tidemark.sources.jsonl import ImportOptions, import_events
+from tidemark.sources.jsonl import ImportOptions, import_events, import_transcripts
+from tidemark.sources.transcripts import ADAPTERS
 
 HEAD = 4096
 #: Bytes of one task; longer additions are cut at line ends.
@@ -122,13 +123,14 @@ def stored_events(spark: SparkSession, target: str, before: int | None = None) -
     return events if before is None else events.where(F.col("batch") < before)
 
 
-def take_in(target: str, options: ImportOptions = ImportOptions(), normalize: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that imports lines into `target`."""
+def take_in(target: str, options: ImportOptions = ImportOptions(), normalize: Callable[..., DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that imports lines into `target`: events, or records that `normalize` (one of transcripts.ADAPTERS) makes events of."""
 
     def batch(lines: DataFrame, number: int) -> None:
         spark = lines.sparkSession
         parsed = lines.withColumn("v", F.try_parse_json("text"))
-        done = import_events(parsed if normalize is None else normalize(parsed), options, stored_events(spark, target, number))
+        stored = stored_events(spark, target, number)
+        done = import_events(parsed, options, stored) if normalize is None else import_transcripts(parsed, normalize, options, stored)
         done.events.write.mode("overwrite").parquet(f"{target}/events/batch={number}")
         done.conflicts.write.mode("overwrite").parquet(f"{target}/conflicts/batch={number}")
         done.diagnostics.write.mode("overwrite").parquet(f"{target}/diagnostics/batch={number}")
@@ -137,17 +139,22 @@ def take_in(target: str, options: ImportOptions = ImportOptions(), normalize: Ca
     return batch
 
 
-def watch(spark: SparkSession, root: str, target: str, options: ImportOptions = ImportOptions(), interval: int | None = 60):
-    """A running query that imports what is appended below root; interval None: what is there now, then stop.
+def watch(spark: SparkSession, root: str, target: str, options: ImportOptions = ImportOptions(), interval: int | None = 60, adapter: str | None = None):
+    """A running query that imports what is appended below root; interval None: what is there now, then stop. adapter: whose transcripts they are.
 
     Each source gets a query of its own, so that one that fails leaves the others running; stop() ends one.
     """
     spark.dataSource.register(Tail)
     lines = spark.readStream.format("jsonl_tail").option("path", root).load()
-    writer = lines.writeStream.foreachBatch(take_in(target, options)).option("checkpointLocation", f"{target}/_offsets")
+    writer = lines.writeStream.foreachBatch(take_in(target, options, ADAPTERS[adapter] if adapter else None)).option("checkpointLocation", f"{target}/_offsets")
     return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=f"{interval} seconds")).start()
 
 
+def watch_all(spark: SparkSession, sources: dict[str, tuple[str, str]], target: str, options: ImportOptions = ImportOptions(), interval: int | None = 60) -> dict:
+    """A query for each source (name: adapter and root), each with a folder of its own below target; one that fails leaves the others running."""
+    return {name: watch(spark, root, f"{target}/{name}", options, interval, adapter if adapter in ADAPTERS else None) for name, (adapter, root) in sources.items()}
+
+
 def cursor(target: str) -> dict:
     """Offsets of the last batch, by file."""
     folder = f"{target}/_offsets/offsets"
