@@ -388,3 +388,94 @@ def test_discovery_of_transcripts(spark, tmp_path):
     assert told(transcripts.discover_codex(spark, str(tmp_path))) == [("rollout-1.jsonl", 2, 1)]
     assert [f for f, *_ in told(transcripts.discover_claude(spark, str(tmp_path)))] == ["b/other.jsonl", "rollout-1.jsonl"]
     assert len(told(transcripts.discover_claude(spark, str(tmp_path), include_subagents=True))) == len(told(transcripts.discover_pi(spark, str(tmp_path)))) == 3
+
+
+def held(spark):
+    from tidemark.operators import retention
+
+    files = "array<struct<type:string,path:string,uri:string,digest:string,metadata:variant>>"
+    events = spark.createDataFrame([(f"e{k}", f"s{k // 2}", f"f{k % 3}") for k in range(8)], "event_id string, session_id string, path string").select("event_id", "session_id", F.expr(f"cast(array(struct('file', path, null, null, null)) as {files})").alias("artifacts"))
+    cite = lambda *rows: spark.createDataFrame(list(rows), "mutation_id string, event_id string")
+    efficacy = spark.createDataFrame([("x1", "m2", "e0"), ("x2", "m2", "e6"), ("x3", "m1", "e7")], "efficacy_id string, mutation_id string, event_id string")
+    return retention.Store(events, cite(("m1", "e0"), ("m1", "e4"), ("m2", "e5"), ("m3", "e6")), cite(("m2", "e6")), cite(("m3", "e1")), efficacy, cite(("m2", None)).select("mutation_id"), {"candidates": cite(("m1", None), ("m2", None), ("m3", None))})
+
+
+def test_deletion_takes_what_rests_on_evidence(spark):
+    from tidemark.operators import retention
+
+    store_ = held(spark)
+    ids = lambda df, c: sorted(r[c] for r in df.collect())
+    session = lambda *s: spark.createDataFrame([(x,) for x in s], "session_id string")
+    assert ids(retention.guarded_sessions(store_), "session_id") == ["s2", "s3"]
+    with pytest.raises(ValueError):
+        retention.delete_sessions(store_, session("s3"))
+    with pytest.raises(ValueError):
+        retention.delete_all(store_)
+    after = retention.delete_sessions(store_, session("s0", "unknown"))
+    assert ids(after.dependents["candidates"], "mutation_id") == ["m2"] and ids(after.efficacy, "efficacy_id") == ["x2"]
+    assert tuple(retention.deletion_summary(store_, after).first()) == (2, 0, 2)
+    store_.installed = None
+    assert tuple(retention.deletion_summary(store_, retention.delete_all(store_)).first()) == (8, 3, 3)
+
+
+def test_suites_are_written_once_and_read(spark, tmp_path):
+    from tidemark.sources import documents
+
+    drafts = spark.createDataFrame([("c1", ["e1"], ["x"], "intervene"), ("c0", ["e0"], [], "no_op")], "scenario_id string, source_event_ids array<string>, observed_selectors array<string>, expected string")
+    for kind, key in (("replay", "scenario_id"), ("shadow", "observation_id")):
+        path = str(tmp_path / kind)
+        documents.write(documents.suite(drafts, "m", kind), path)
+        with pytest.raises(Exception, match="already exists"):
+            documents.write(documents.suite(drafts, "m", kind), path)
+        documents.write(documents.suite(drafts, "m", kind), path, force=True)
+        assert [r[key] for r in documents.cases(documents.read(spark, path, kind), kind).collect()] == ["c0", "c1"]
+    (tmp_path / "bad.json").write_text("{no json")
+    with pytest.raises(Exception):
+        documents.read(spark, str(tmp_path / "bad.json"), "replay").collect()
+
+
+def test_bundles_are_taken_in(spark, tmp_path):
+    events = frame(spark, [event(k, 1, "tool.failed", "echo password=abcdefgh99", 1) for k in range(3)], tmp_path).drop("file", "line", "well_formed")
+    made = bundle.build(events, ["evt_0", "evt_2"], {"mutation_id": "mut_1", "finding_id": "f", "equivalence_key": "k"}, [{"kind": "replay", "passed": True}])
+    registry = spark.createDataFrame([], "mutation_id string, content_hash string, finding_id string, equivalence_key string")
+    taken, candidate, attested = bundle.take_in(spark, bundle.parse(json.dumps(made)), registry)
+    assert sorted(r.event_id for r in taken.accepted.collect()) == ["evt_0", "evt_2"] and candidate.first().outcome == "inserted" and attested.count() == 1
+    again, repeated, _ = bundle.take_in(spark, made, candidate.drop("outcome"), taken.accepted)
+    assert again.accepted.count() == 0 and again.duplicates.count() == 2 and repeated.first().outcome == "duplicate"
+
+
+def test_search_by_groups_phrases_and_nearness(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta alpha x y gamma"), (3, "alphabet soup"), (4, "gamma only")], "id int, said string")
+    find = lambda *a, **k: sorted(r.id for r in retrieve.search(docs, "id", F.col("said"), *a, **k).collect())
+    assert find([["alpha", "soup"]]) == [1, 2, 3] and find([["alpha*"]]) == [1, 2, 3] and find([[("alpha", "beta")]]) == [1]
+    assert find([["gamma"]], none_of=["alpha"]) == [4] and find([["gamma"]], near=[("alpha", "gamma", 1)]) == [1] and find([["gamma"]], near=[("gamma", "alpha", 2)]) == [1, 2]
+    columns = {"a": F.lit("apple"), "b": F.col("said")}
+    assert retrieve.search(docs, "id", columns, [["apple"]], columns=["b"]).count() == 0 and retrieve.search(docs, "id", columns, [["apple"]]).count() == 4
+    events = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0)], "event_id string, t int").withColumn("occurred_at", F.timestamp_seconds("t"))
+    assert [r.event_id for r in retrieve.best(events.select("event_id", F.lit(-1.0).alias("bm25")), events, 2).collect()] == ["c", "a"]
+
+
+def test_snippets_and_their_cleaning(spark):
+    text = "one two three four five six seven the eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(retrieve.snippet(F.lit(text), ("the",), 6)) == "… five six seven [the] eight nine …" and one(retrieve.snippet(F.lit("The end"), ("the",), 6)) == "[The] end"
+    assert one(retrieve.clean_snippet(F.lit('{"command":"cat \\"a b\\" \\n| wc","x":1}'))) == 'cat "a b" | wc'
+    assert one(retrieve.clean_snippet(F.lit('{"path": "a"\n\n  b}'))) == "path: a b"
+    assert one(X.short_id(F.lit("fnd_0123456789abcdef"))) == "fnd_01234567…" and one(X.short_id(F.lit("fnd_0123"))) == "fnd_0123"
+    assert one(X.percent(F.lit(7411))) == "74.1%" and one(X.percent(F.lit(-8700), signed=True)) == "-87.0%" and one(X.per_week(F.lit(1810))) == "1.8/wk"
+
+
+def test_listings_and_upserts(spark, tmp_path):
+    from tidemark.operators import listings
+
+    rows = spark.createDataFrame([("m1", 1, 3), ("m2", 2, 2), ("m0", 2, 1)], "mutation_id string, updated_at int, created_at int")
+    assert [r.mutation_id for r in listings.mutations(rows).collect()] == ["m0", "m2", "m1"] and [r.mutation_id for r in listings.mutations(rows, "created_at").collect()] == ["m1", "m2", "m0"]
+    assert [r.mutation_id for r in listings.results(rows, "updated_at").collect()] == ["m0", "m1", "m2"]
+    made = spark.createDataFrame([("f1", "m9"), ("f0", None), ("f2", "m1")], "finding_id string, mutation_id string")
+    assert [r.finding_id for r in listings.generated(made).collect()] == ["f0", "f2", "f1"] and [r.finding_id for r in listings.findings(made).collect()] == ["f0", "f1", "f2"]
+    events = frame(spark, [event(k, 1, "tool.failed", "x", 1) for k in range(3)], tmp_path)
+    cited = spark.createDataFrame([("f", "evidence", "evt_1"), ("f", "counterexample", "evt_2"), ("f", "evidence", "gone"), ("g", "evidence", "evt_0")], "finding_id string, role string, event_id string")
+    assert [(r.event_id, r.present) for r in listings.evidence_packet(cited, events, "f").collect()] == [("gone", False), ("evt_1", True), ("evt_2", True)]
+    assert listings.evidence_ids(cited, cited).count() == 4
+    assert tuple(store.reindex(events, str(tmp_path / "index"), True, exclude=()).first()) == tuple(store.reindex(events, str(tmp_path / "index"), True).first()) == (3, 0)
+    assert store.import_scope(("b", "a")) == store.import_scope(("a", "b")) != store.import_scope(("a",), ("b",))

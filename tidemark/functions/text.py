@@ -146,10 +146,6 @@ def exit_code_of(text: Column) -> Column:
     return F.regexp_extract(text, r"(?m)^[ \t]*Exit code [ \t]*([+-]?\d+)[ \t]*$", 1).try_cast("long")
 
 
-def canonical_time(c: Column) -> Column:
-    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
 def relative_age(then: Column, now: Column) -> Column:
     """s, m, h or d; from a week on the minute."""
     s = F.unix_timestamp(now) - F.unix_timestamp(then)
@@ -188,3 +184,16 @@ def glob_regex(glob: str) -> str:
             out += "." if c == "?" else re.escape(c)
         i += 1
     return f"(?s)^{out}$"
+
+
+def short_id(c: Column, keep: int = 8) -> Column:
+    """An id's kind and the first `keep` characters behind the last underscore."""
+    return F.regexp_replace(c, rf"(?s)^(.*_[^_]{{{keep}}})[^_]+$", "$1…")
+
+
+def percent(bps: Column, signed: bool = False) -> Column:
+    return F.format_string("%+.1f%%" if signed else "%.1f%%", bps.cast("double") / 100)
+
+
+def per_week(milli: Column) -> Column:
+    return F.format_string("%.1f/wk", milli.cast("double") / 1000)

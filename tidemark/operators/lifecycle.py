@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import text as X
 from tidemark.functions.ids import equivalence_key, hashed, mutation_id
 from tidemark.operators.detect import CORRECTION, FAILURE, RECOVERY, session_order
+from tidemark.operators.tables import settle
 
 # fixed values: states in order of promotion, and the moves allowed between them
 EDGES = (
@@ -109,6 +110,17 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
     return moved.where(~legal)
 
 
+def transition(current: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves (mutation_id, to_state, reason, one for each mutation) with from_state and outcome against current states (mutation_id, state).
+
+    changed, unchanged (it is in that state), refused (no edge leads there) or not_found; rows that are changed are to be
+    appended to the log.
+    """
+    met = moves.join(current.select("mutation_id", F.col("state").alias("from_state")), "mutation_id", "left")
+    edge = F.struct("from_state", "to_state").isin(*(F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state")) for a, b in EDGES))
+    return met.withColumn("outcome", F.when(F.col("from_state").isNull(), "not_found").when(F.col("from_state") == F.col("to_state"), "unchanged").when(edge, "changed").otherwise("refused"))
+
+
 def state_counts(log: DataFrame) -> DataFrame:
     return states(log).groupBy("state").agg(F.count("*").alias("mutations"))
 
@@ -264,7 +276,9 @@ def efficacy(ops: DataFrame, installed: DataFrame) -> DataFrame:
     """
     spans = installed.withColumn("q", X.parsed_selector(F.col("selector"))).withColumn("pre_start", F.expr("installed_at - (now - installed_at)"))
     spans = spans.select("mutation_id", "selector", "installed_at", "now", "pre_start", F.col("q.operation_key").alias("operation_key"), F.col("q.exit_code").alias("exit_code"))
-    failed = ops.where(F.col("type") == "tool.failed").select("event_id", "session_id", "occurred_at", "operation_key", F.col("tool.exit_code").alias("code"))
+    # operations are derived from events once
+    keyed = settle(ops.where((F.col("type") == "tool.failed") | F.col("operation_key").isNotNull()).select("event_id", "session_id", "occurred_at", "type", "operation_key", F.col("tool.exit_code").alias("code")), "keyed-events")
+    failed = keyed.where("type = 'tool.failed'").drop("type")
     met = spans.join(failed, "operation_key").where((F.col("exit_code").isNull() | (F.col("exit_code") == F.col("code"))) & F.col("occurred_at").between(F.col("pre_start"), F.col("now")))
     met = met.select("mutation_id", "event_id", "session_id", "occurred_at", (F.col("occurred_at") >= F.col("installed_at")).alias("post")).dropDuplicates(["mutation_id", "event_id"])
     side = met.groupBy("mutation_id", "session_id").agg(F.count_if(~F.col("post")).alias("pre"), F.count_if("post").alias("post"))
@@ -274,7 +288,7 @@ def efficacy(ops: DataFrame, installed: DataFrame) -> DataFrame:
     low = marks.select(F.col("t").alias("lo"), "total_before", "classifiable_before")
     high = marks.select(F.col("t").alias("hi"), "total_to", "classifiable_to")
     covered = bounds.join(low, "lo").join(high, "hi").select("mutation_id", (F.col("total_to") - F.col("total_before")).alias("total"), (F.col("classifiable_to") - F.col("classifiable_before")).alias("classifiable"))
-    grammars = spans.withColumn("one", F.lit(1)).join(F.broadcast(index_grammars(ops).withColumn("one", F.lit(1))), "one")  # one row
+    grammars = spans.withColumn("one", F.lit(1)).join(F.broadcast(index_grammars(keyed).withColumn("one", F.lit(1))), "one")  # one row
     version = X.grammar_version(F.col("selector"))
     old = F.coalesce((version < F.col("newest")) & ~F.array_contains("present", version), F.lit(False))
     base = grammars.groupBy("mutation_id").agg(F.min("installed_at").alias("installed_at"), F.min("now").alias("now"), F.max(old).alias("grammar_mismatch"))

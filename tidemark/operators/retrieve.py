@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import settle
 from tidemark.schema import OUTCOMES
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -53,12 +54,6 @@ def by_signature(ops: DataFrame, signature: str) -> DataFrame:
     return ops.where(F.col("operation_key") == signature)
 
 
-def token_counts(docs: DataFrame, doc: str, text: Column) -> DataFrame:
-    """doc, token, tf, dl: words counted by document before they are shuffled; dl is the document's number of words."""
-    each = docs.select(F.col(doc), words(text).alias("w")).select(doc, F.size("w").alias("dl"), F.explode("w").alias("token"))
-    return each.groupBy(doc, "dl", "token").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, doc: str, text: Column, terms: Sequence[str], excluded: Sequence[str] = (), prefixes: Sequence[str] = ()) -> DataFrame:
     """doc, bm25 (lower is better) of documents that hold all terms and prefixes and no excluded word.
 
@@ -71,13 +66,73 @@ def bm25(docs: DataFrame, doc: str, text: Column, terms: Sequence[str], excluded
     is_prefix = [False] * len(terms) + [True] * len(prefixes)
     tf = F.array(*(F.size(F.filter("w", (lambda q: lambda x: x.startswith(q))(t) if p else (lambda q: lambda x: x == q)(t))) for t, p in zip(asked, is_prefix)))
     bad = F.arrays_overlap("w", F.array(*(F.lit(x) for x in excluded))) if excluded else F.lit(False)
-    counted = listed.select(doc, F.size("w").alias("dl"), tf.alias("tf"), bad.alias("bad"))
+    # a few numbers for each document: texts are cut into words once, for the statistics and the hits
+    counted = settle(listed.select(doc, F.size("w").alias("dl"), tf.alias("tf"), bad.alias("bad")), "word-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(asked)))).withColumn("one", F.lit(1))
     hits = counted.where(~F.col("bad") & F.forall("tf", lambda x: x > 0)).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")  # stats: one row
     parts = [F.greatest(F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(LEAST_IDF)) * F.col("tf")[k] * (K1 + 1) / (F.col("tf")[k] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for k in range(len(asked))]
     return hits.select(doc, (-sum(parts[1:], parts[0])).alias("bm25"))
 
 
+def _hits(w: Column, unit: str | tuple[str, ...]) -> Column:
+    """How often a unit stands in a list of words: a word, a beginning (with a * at its end) or a phrase."""
+    if isinstance(unit, str):
+        return F.size(F.filter(w, (lambda x: x.startswith(unit[:-1])) if unit.endswith("*") else (lambda x: x == unit)))
+    n = len(unit)
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(starts, lambda i: F.slice(w, i, n) == F.array(*(F.lit(x) for x in unit))))
+
+
+def _close(w: Column, first: str, second: str, within: int) -> Column:
+    """Whether two words stand with at most `within` words between them."""
+    places = lambda t: F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.get(w, i - 1) == t)
+    return F.exists(places(first), lambda i: F.exists(places(second), lambda j: (i != j) & (F.abs(i - j) <= within + 1)))
+
+
+def search(docs: DataFrame, doc: str, text: Column | dict[str, Column], any_of: Sequence[Sequence[str | tuple[str, ...]]], none_of: Sequence[str | tuple[str, ...]] = (), near: Sequence[tuple[str, str, int]] = (), columns: Sequence[str] = ()) -> DataFrame:
+    """doc, bm25 (lower is better) of documents that hold a unit of every group of any_of, none of none_of, and all pairs of near.
+
+    A unit is a word, a beginning (word*) or a phrase (a tuple). text is one column, or several by name, of which
+    `columns` are searched. Units that a document need not hold count where it does.
+    """
+    units = list(dict.fromkeys(u for group in any_of for u in group))
+    if not units:
+        raise ValueError("a query needs a word")
+    if isinstance(text, dict):
+        text = F.concat_ws(" \u2029 ", *(c for name, c in text.items() if not columns or name in columns))
+    listed = docs.select(F.col(doc), words(text).alias("w"))
+    tf, w = F.array(*(_hits(F.col("w"), u) for u in units)), F.col("w")
+    fits = F.lit(True)
+    for u in none_of:
+        fits = fits & (_hits(w, u) == 0)
+    for first, second, k in near:
+        fits = fits & _close(w, first, second, k)
+    counted = settle(listed.select(doc, F.size("w").alias("dl"), tf.alias("tf"), fits.alias("fits")), "word-counts")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(units)))).withColumn("one", F.lit(1))
+    wanted = F.col("fits")
+    for group in any_of:
+        some = F.lit(False)
+        for u in group:
+            some = some | (F.col("tf")[units.index(u)] > 0)
+        wanted = wanted & some
+    hits = counted.where(wanted).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")  # stats: one row
+    parts = [F.greatest(F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(LEAST_IDF)) * F.col("tf")[k] * (K1 + 1) / (F.col("tf")[k] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for k in range(len(units))]
+    return hits.select(doc, (-sum(parts[1:], parts[0])).alias("bm25"))
+
+
+def best(hits: DataFrame, events: DataFrame, limit: int = 20) -> DataFrame:
+    """Hits (event_id, bm25) in the order of a plain search: best first, then the earlier event."""
+    return hits.join(events.select("event_id", "occurred_at"), "event_id").orderBy("bm25", "occurred_at", "event_id").limit(limit)
+
+
+def clean_snippet(text: Column) -> Column:
+    """A snippet for one line: the value of `command` if it shows one, else the text without braces and quotes; blanks are one space."""
+    value = F.regexp_extract(text, r'(?s)command[^:]*:[^"]*"((?:\\.|[^"\\])*)', 1)
+    plain = F.regexp_replace(F.regexp_replace(value, r"\\[ntr]", " "), r"\\([\\\"])", "$1")
+    one_line = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.when(F.length(one_line(plain)) > 0, one_line(plain)).otherwise(one_line(F.regexp_replace(text, r'[{}"]', "")))
+
+
 def phrase(docs: DataFrame, doc: str, text: Column, phrase_words: Sequence[str]) -> DataFrame:
     """doc, at: where the words stand in a row (at counts words from 0)."""
     listed = docs.select(F.col(doc), words(text).alias("w"))

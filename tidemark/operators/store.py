@@ -1,11 +1,11 @@
 """Stored events: ingest with first-wins rules, roll-ups, counts, retention.
 
-Order of ingest is the total order (ingest_seq, event_id, content_hash); the caller numbers rows, or takes
-`numbered`. Nothing is updated in place: results are frames to be written.
+Order of ingest is the total order (ingest_seq, event_id, content_hash); the caller numbers rows. Nothing is updated in place: results are frames to be written.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -182,11 +182,34 @@ def export(events: DataFrame) -> DataFrame:
     return events.orderBy("occurred_at", "session_id", F.asc_nulls_last("sequence"), "event_id").select(F.to_json(F.struct(*(c for c in HASHED if c in events.columns))).alias("value"))
 
 
-def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+def upsert_sources(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """adapter, instance_key, display_name, first_seen_at, last_seen_at: known sources with what is seen now; a new name replaces an old one, none replaces nothing."""
+    both = known.withColumn("turn", F.lit(0)).unionByName(seen.withColumn("turn", F.lit(1)))
+    name = F.max_by("display_name", F.when(F.col("display_name").isNotNull(), F.struct("turn", "last_seen_at", "display_name")))
+    return both.groupBy("adapter", "instance_key").agg(name.alias("display_name"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with ingest_seq by session; for small batches without line numbers."""
-    return rows.withColumn("ingest_seq", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)).cast("long"))
+def upsert_cursors(*cursors: DataFrame) -> DataFrame:
+    """adapter, instance_key, origin, position, updated_at: the last write of each origin; of several at a time the greatest position."""
+    rows = cursors[0]
+    for more in cursors[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("adapter", "instance_key", "origin").agg(F.max_by("position", F.struct("updated_at", "position")).alias("position"), F.max("updated_at").alias("updated_at"))
+
+
+def reindex(events: DataFrame, path: str, index_tool_input: bool = False, metadata_keys: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Write the search projection of all events anew at path and count: indexed, excluded. Run again, it writes the same."""
+    rows = search_projection(events, index_tool_input, metadata_keys, exclude)
+    rows.write.mode("overwrite").parquet(path)
+    told = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+    return told(events.sparkSession.read.parquet(path), "indexed").join(told(events, "events"), "one").select("indexed", (F.col("events") - F.col("indexed")).alias("excluded"))
+
+
+def import_scope(projects: tuple[str, ...] = (), exclude_paths: tuple[str, ...] = ()) -> str:
+    """Equal for imports with the same selection, in whatever order it is told."""
+    return hashlib.sha256("\0".join(["privacy/v1", "projects", *(sorted(projects) or [""]), "exclusions", *(sorted(exclude_paths) or [""])]).encode()).hexdigest()
+
+
+def within(text: Column, start: Column, end: Column) -> Column:
+    """Whether a time that is text lies in a span, ends included; what can't be read as a time does not."""
+    return F.coalesce(F.try_to_timestamp(text).between(start, end), F.lit(False))

@@ -99,6 +99,10 @@ cases as (
 )"""
 _BPS = "case when {1} = 0 then 0 else ({0}) * 10000 // ({1}) end"
 
+_HELD = """
+owned as (select *, 'mut_k' || k as mutation_id, n % 9 = 0 as ninth from env),
+cited as (select mutation_id, event_id from owned where type = 'tool.failed' or (ninth and type in ('tool.completed', 'tool.called')))"""
+
 ORACLE_SQL = {
     "failure_findings": f"""with {_ENV}, {_FAILURES}, groups as (select * from failure_groups), {_SCORE}
 select 'fnd_' || sha256('repeated_command_failure' || chr(0) || signature) as finding_id, signature, n, sessions, cx, ratio_bps, score_bps,
@@ -194,4 +198,29 @@ select event_id as result_id, bid as call_id from b where type <> 'tool.called'
     "missing_evidence": f"with {_ENV} select session_id, op from ops where type = 'tool.failed' except select session_id, op from ops where type = 'tool.completed'",
     "full_outer_merge": f"with {_ENV} select session_id, op, count(*) filter (type = 'tool.failed') as failures, count(*) filter (type = 'tool.completed') as successes from ops where type in ('tool.failed', 'tool.completed') group by all",
     "event_positions": f"with {_ENV} select event_id, row_number() over (partition by session_id order by occurred_at, event_id) - 1 as \"at\" from env",
+    "source_upsert": f"with {_ENV} select source as adapter, project as instance_key, case when project = '/repo/p1' and count(*) filter (n % 2 = 1) > 0 then 'Agent ' || project end as display_name, min(occurred_at) as first_seen_at, max(occurred_at) as last_seen_at from env group by source, project",
+    "cursor_upsert": f"with {_ENV} select source as adapter, project as instance_key, session_id as origin, arg_max(n, (occurred_at, n)) as position, max(occurred_at) as updated_at from env group by all",
+    "within_span": f"with {_ENV} select type, count(*) as events from env where n % 50 <> 0 and date_trunc('second', occurred_at) between timestamp '2024-01-02 04:00:00' and timestamp '2024-01-02 08:00:00' group by type",
+    "evidence_presence": f"with {_ENV} select 'fnd_' || sha256('repeated_command_failure' || chr(0) || failure_signature) as finding_id, count(*) as cited, count(*) filter (n % 10 = 3) as missing from ops where failure_signature is not null group by 1",
+    "session_listing": f"with {_ENV} select event_id, occurred_at, type from env where session_id = 'ses_u7'",
+    "attested_mutations": "select distinct 'mut_' || o_custkey as mutation_id from orders where o_orderstatus = 'F'",
+    "applied_transitions": """with moves as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) as k from lineitem),
+log as (select 'mut_' || l_orderkey as mutation_id, k, case when l_quantity > 45 and k > 1 then 'rejected' else (['candidate','challenged','replay_passed','shadow_passed','active','retired','rejected'])[least(k, 7)] end as to_state from moves),
+current as (select mutation_id, arg_max(to_state, k) as from_state from log group by mutation_id),
+asked as (select 'mut_' || case when o_orderkey % 5 = 0 then -o_orderkey else o_orderkey end as mutation_id, (['challenged', 'rejected', 'active', 'retired'])[o_orderkey % 4 + 1] as to_state from orders where o_orderkey % 7 = 0)
+select mutation_id, from_state, to_state, case when from_state is null then 'not_found' when from_state = to_state then 'unchanged'
+  when from_state || '>' || to_state in ('candidate>challenged', 'challenged>replay_passed', 'replay_passed>shadow_passed', 'shadow_passed>active', 'active>retired', 'candidate>rejected', 'challenged>rejected', 'replay_passed>rejected', 'shadow_passed>rejected') then 'changed' else 'refused' end as outcome
+from asked left join current using (mutation_id)""",
+    "word_search": f"""with w as (select doc_id, {_WORDS} as w from documents),
+c as (select doc_id, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as t0, len(list_filter(w, lambda x: x = 'password')) as t1, len(list_filter(w, lambda x: starts_with(x, 'licens'))) as t2, len(list_filter(range(1, len(w)), lambda i: w[i] = 'under' and w[i + 1] = 'the')) as t3, list_contains(w, 'token') as bad from w),
+s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (t0 > 0) as d0, count(*) filter (t1 > 0) as d1, count(*) filter (t2 > 0) as d2, count(*) filter (t3 > 0) as d3 from c)
+select doc_id, round(-({" + ".join(f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(4))}), 6) as bm25
+from c, s where t0 > 0 and t1 + t2 + t3 > 0 and not bad""",
+    "guarded_sessions": f"with {_ENV}, {_HELD} select distinct session_id from env join cited using (event_id) where mutation_id in (select mutation_id from owned where type = 'tool.failed' and k % 10 = 0)",
+    "deleted_session": f"""with {_ENV}, {_HELD}, lost as (select distinct mutation_id from cited join env using (event_id) where session_id = 'ses_u7')
+select (select count(*) from env where session_id = 'ses_u7') as events_deleted, (select count(*) from (select k from env group by k having count(*) filter (session_id <> 'ses_u7') = 0)) as artifacts_deleted,
+  (select count(distinct mutation_id) from owned where type = 'tool.failed' and mutation_id in (select mutation_id from lost)) as mutations_deleted""",
+    "surviving_reports": f"""with {_ENV}, {_HELD}, lost as (select distinct mutation_id from cited join env using (event_id) where session_id = 'ses_u7'),
+reports as (select 'eff_' || (n % 50) || '_' || mutation_id as efficacy_id, mutation_id, session_id from owned where type = 'tool.completed' and mutation_id not in (select mutation_id from lost))
+select efficacy_id, mutation_id, count(*) as events from reports group by all having count(*) filter (session_id = 'ses_u7') = 0""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions.ids import finding_id, mutation_id
-from tidemark.operators import detect, lifecycle, retrieve, store
+from tidemark.operators import detect, lifecycle, listings, retention, retrieve, store
+from tidemark.operators.tables import settle
 from tidemark.sources.bridge import conversation_events, session_events
 
 
@@ -213,8 +214,9 @@ def phrase_search(spark, sf_dir):
 
 def hybrid_search(spark, sf_dir):
     """Failures of a shard and words of their job: events in both lists come first."""
-    ops = _ops(spark, sf_dir)
-    job = ops.where("operation_key is not null").withColumn("said", F.concat_ws(" ", "op", F.when(F.col("type") == "tool.failed", "failed")))
+    said = F.concat_ws(" ", "op", F.when(F.col("type") == "tool.failed", "failed")).alias("said")
+    ops = settle(_ops(spark, sf_dir).where("operation_key is not null").select("event_id", "occurred_at", "operation_key", said), "operations")
+    job = ops
     text = retrieve.bm25(job, "event_id", F.col("said"), ("failed", "7"))
     return retrieve.merged(retrieve.by_signature(ops, "operation/v2|shell|job --shard 7"), text, ops, 40).select("event_id", "score_bps", "match_kind")
 
@@ -360,6 +362,94 @@ def event_positions(spark, sf_dir):
     return events.select("event_id", at.cast("long").alias("at"))
 
 
+# ---- upserts, retention, listings
+
+
+def _number():
+    return F.expr("cast(substring(event_id, 5) as bigint)")
+
+
+def source_upsert(spark, sf_dir):
+    """Sources of even events as known, those of odd events as seen now; of one project they come with a name."""
+    rows = session_events(spark, sf_dir).select(_number().alias("n"), F.col("source").alias("adapter"), F.col("project").alias("instance_key"), "occurred_at")
+    told = lambda r, name: r.groupBy("adapter", "instance_key").agg(name.alias("display_name"), F.min("occurred_at").alias("first_seen_at"), F.max("occurred_at").alias("last_seen_at"))
+    named = F.max(F.when(F.col("instance_key") == "/repo/p1", F.concat(F.lit("Agent "), "instance_key")))
+    return store.upsert_sources(told(rows.where("n % 2 = 0"), F.lit(None).cast("string")), told(rows.where("n % 2 = 1"), named))
+
+
+def cursor_upsert(spark, sf_dir):
+    """Every event as a write of its session's cursor."""
+    rows = session_events(spark, sf_dir).select(F.col("source").alias("adapter"), F.col("project").alias("instance_key"), F.col("session_id").alias("origin"), _number().alias("position"), F.col("occurred_at").alias("updated_at"))
+    return store.upsert_cursors(rows.where("position % 3 = 0"), rows.where("position % 3 <> 0"))
+
+
+def within_span(spark, sf_dir):
+    """Events of four hours, by times that are text and in part unreadable."""
+    text = F.when(F.col("n") % 50 == 0, "never").otherwise(F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss"))
+    at = lambda t: F.lit(t).cast("timestamp")
+    return session_events(spark, sf_dir).withColumn("n", _number()).where(store.within(text, at("2024-01-02 04:00:00"), at("2024-01-02 08:00:00"))).groupBy("type").agg(F.count("*").alias("events"))
+
+
+def evidence_presence(spark, sf_dir):
+    """Failures as cited evidence, of which a tenth is gone."""
+    ops = _ops(spark, sf_dir)
+    cited = ops.where("failure_signature is not null").select(finding_id(detect.FAILURE, F.col("failure_signature")).alias("finding_id"), "event_id")
+    return listings.evidence_links(cited, ops.where(_number() % 10 != 3)).groupBy("finding_id").agg(F.count("*").alias("cited"), F.count_if(~F.col("present")).alias("missing"))
+
+
+def session_listing(spark, sf_dir):
+    return listings.session_events(session_events(spark, sf_dir), "ses_u7").select("event_id", "occurred_at", "type")
+
+
+def attested_mutations(spark, sf_dir):
+    done = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'")
+    return listings.attested(done.select(F.concat(F.lit("mut_"), "o_custkey").alias("mutation_id")))
+
+
+def applied_transitions(spark, sf_dir):
+    """Every seventh order's mutation, and some unknown ones, asked to move."""
+    to = F.element_at(F.array(F.lit("challenged"), F.lit("rejected"), F.lit("active"), F.lit("retired")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    moves = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0").select(F.concat(F.lit("mut_"), F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))).alias("mutation_id"), to.alias("to_state"), F.lit("review").alias("reason"))
+    return lifecycle.transition(lifecycle.states(_log(spark, sf_dir)), moves).select("mutation_id", "from_state", "to_state", "outcome")
+
+
+def _held(spark, sf_dir):
+    """A store in which a mutation for each shard of a hundred rests on its failures, replays on its successes, shadows on its calls."""
+    events = session_events(spark, sf_dir)
+    owner = events.select("event_id", _number().alias("n"), "type", F.concat(F.lit("mut_k"), F.regexp_extract(F.col("artifacts")[0]["path"], r"src/(\d+)\.py", 1)).alias("mutation_id"))
+    of = lambda kind: owner.where(F.col("type") == kind).select("mutation_id", "event_id", "n")
+    reports = of("tool.completed").withColumn("efficacy_id", F.concat(F.lit("eff_"), F.col("n") % 50, F.lit("_"), "mutation_id"))
+    return retention.Store(events, of("tool.failed"), of("tool.completed").where(F.col("n") % 9 == 0), of("tool.called").where(F.col("n") % 9 == 0), reports, of("tool.failed").where("mutation_id like '%0'").select("mutation_id").distinct(), {"candidates": of("tool.failed").select("mutation_id").distinct()})
+
+
+def guarded_sessions(spark, sf_dir):
+    return retention.guarded_sessions(_held(spark, sf_dir))
+
+
+def _doomed(spark, sf_dir):
+    return session_events(spark, sf_dir).select("session_id").distinct().where("session_id = 'ses_u7'")
+
+
+def deleted_session(spark, sf_dir):
+    """What the deletion of one session takes with it."""
+    held = _held(spark, sf_dir)
+    held.installed = None
+    return retention.deletion_summary(held, retention.delete_sessions(held, _doomed(spark, sf_dir)))
+
+
+def surviving_reports(spark, sf_dir):
+    """Reports on efficacy that are left when one session goes."""
+    held = _held(spark, sf_dir)
+    kept = held.events.join(_doomed(spark, sf_dir), "session_id", "left_anti")
+    return retention.cascade(held, kept).efficacy.groupBy("efficacy_id", "mutation_id").agg(F.count("*").alias("events"))
+
+
+def word_search(spark, sf_dir):
+    """Documents with a word, one of two others or a phrase, without a third."""
+    found = retrieve.search(_documents(spark, sf_dir), "doc_id", F.col("text"), [["the"], ["password", "licens*", ("under", "the")]], none_of=["token"])
+    return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -369,5 +459,6 @@ QUERIES = {
         exact_signature_lookup, outcome_filter, project_filter, bm25_terms, phrase_search, hybrid_search, snippets,
         generated_candidates, state_counts, illegal_transitions, latest_verdict, replay_summary, shadow_matrix, efficacy_windows, context_window, draft_cases,
         forward_fill, call_result_pairing, evidence_union, evidence_intersect, missing_evidence, full_outer_merge, event_positions,
+        source_upsert, cursor_upsert, within_span, evidence_presence, session_listing, attested_mutations, applied_transitions, guarded_sessions, deleted_session, surviving_reports, word_search,
     )
 }
