@@ -10,9 +10,11 @@ pairs. Leaves beyond LEAF_ROWS are cut into blocks, and each pair of blocks is a
 The trees are fitted on at most MAX_SAMPLE vectors, in the order of a hash; all vectors are put through them.
 Equal vectors form a class that is compared once and counted by its size.
 
-Vectors that are null, zero, of another length than the commonest, or hold null or non-finite components link
-with nothing: each is its own component with 0 links. Repeated rows are vectors of their own; an empty table
-gives an empty result. Labels and extra columns are not read.
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: each is its own
+component with 0 links. Vectors of different lengths don't link; those of one length do, whatever its share.
+Lengths of vectors (norms) don't matter, however large or small. A row that lies just at a split, or within the
+margin of it, goes both ways, so ties are met on either side. Repeated rows are vectors of their own; an empty
+table gives an empty result. Labels and extra columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -87,47 +89,58 @@ def leaves_of(tree: Node, unit: np.ndarray, margin: float) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(leaf)
 
 
-def _vectors(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have a direction, and those rows' components."""
-    fit = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(col), dim), False))
-    flat = col.filter(pa.array(fit)).flatten()
-    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim) if len(flat) else np.zeros((0, max(dim, 1)), dtype=np.float32)
-    with np.errstate(all="ignore"):
-        norm = np.linalg.norm(x.astype(np.float64), axis=1)
-    good = np.isfinite(norm) & (norm > 0)
-    fit[np.flatnonzero(fit)] = good
-    return fit, x[good] + x.dtype.type(0)
+def _vectors(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and components of the vectors that have a direction, length by length."""
+    length = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
+    for dim in np.unique(length[length > 0]):
+        rows = np.flatnonzero(length == dim)
+        x = col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        good = np.isfinite(x).all(1) & (x != 0).any(1)
+        yield rows[good], x[good] + x.dtype.type(0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by the largest component first, so that no square is too large or too small."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def classes(vectors: DataFrame, dim: int) -> DataFrame:
+def _padded(raw: list[bytes], dtype: str, dim: int) -> np.ndarray:
+    """Unit vectors of any lengths, filled up with zeros or cut to `dim` components, for projections only."""
+    out = np.zeros((len(raw), dim))
+    size = np.array([len(v) for v in raw])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        x = _unit(np.stack([np.frombuffer(raw[k], dtype=dtype) for k in at]))[:, :dim]
+        out[at, : x.shape[1]] = x
+    return out
+
+
+def classes(vectors: DataFrame) -> DataFrame:
     """vec_id, class, vector binary for every row; class and vector are null where a vector links with nothing."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fit, x = _vectors(b.column(1), dim)
             number, raw = [None] * b.num_rows, [None] * b.num_rows
-            for k, v in zip(np.flatnonzero(fit), x):
-                raw[k] = v.tobytes()
-                number[k] = xxhash.xxh3_64_intdigest(raw[k]) - (1 << 63)
+            for rows, x in _vectors(b.column(1)):
+                for k, v in zip(rows, x):
+                    raw[k] = v.tobytes()
+                    number[k] = xxhash.xxh3_64_intdigest(raw[k]) - (1 << 63)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(number, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "class", "vector"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, class long, vector binary")
 
 
-def memberships(reps: DataFrame, forest, dtype: str, margin: float) -> DataFrame:
+def memberships(reps: DataFrame, forest, dtype: str, dim: int, margin: float) -> DataFrame:
     """leaf, class, n, vector, leaves array<int>: a row for each leaf of each class; leaves are numbered through all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(np.stack([np.frombuffer(v, dtype=dtype) for v in b.column(2).to_pylist()]))
+            x = _padded(b.column(2).to_pylist(), dtype, dim)
             found = [leaves_of(tree, x, margin) for tree, _ in forest.value]
             base = np.cumsum([0, *(n for _, n in forest.value)])
             row, leaf = np.concatenate([r for r, _ in found]), np.concatenate([k + base[t] for t, (_, k) in enumerate(found)])
@@ -197,10 +210,11 @@ def compare(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, wx: np
 
 def leaf_links(members: DataFrame, dtype: str, limit: float) -> DataFrame:
     """class, n_links, root: what each comparison of a leaf, or of two blocks of one, gives for each member with a link there."""
-    large = members.groupBy("leaf").count().where(F.col("count") > LEAF_ROWS).select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = members.join(large, "leaf", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).otherwise(0))
+    members = members.withColumn("size", F.octet_length("vector"))  # vectors of one length are compared
+    large = members.groupBy("leaf", "size").count().where(F.col("count") > LEAF_ROWS).select("leaf", "size", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = members.join(large, ["leaf", "size"], "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).otherwise(0))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-    tasks = dealt.select("leaf", "class", "n", "vector", "leaves", "own", other.alias("other")).select("*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    tasks = dealt.select("leaf", "size", "class", "n", "vector", "leaves", "own", other.alias("other")).select("*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def run(t: pa.Table) -> pa.Table:
         leaf, lo, hi = (t.column(c)[0].as_py() for c in ("leaf", "lo", "hi"))
@@ -224,27 +238,26 @@ def leaf_links(members: DataFrame, dtype: str, limit: float) -> DataFrame:
         keep = (links > 0) | (root != number)
         return pa.table({"class": number[keep], "n_links": links[keep], "root": root[keep]})
 
-    return tasks.groupBy("leaf", "lo", "hi").applyInArrow(run, "class long, n_links long, root long")
+    return tasks.groupBy("leaf", "size", "lo", "hi").applyInArrow(run, "class long, n_links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.95, trees: int = TREES, leaf: int = LEAF, margin: float = MARGIN, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    common = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
     dtype = "float32" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "float64"
     if dtype == "float64":
         vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = settle(classes(vectors, dim), "vectors")
+    rows = settle(classes(vectors), "vectors")
     reps = settle(rows.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector")), "vector-classes")
     total = reps.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     picked = reps.select("class", "vector").orderBy(F.xxhash64("class", F.lit(seed)), "class").limit(MAX_SAMPLE).toPandas().sort_values("class")
-    sample = _unit(np.stack([np.frombuffer(v, dtype=dtype) for v in picked["vector"]]))
+    dim = max(map(len, picked["vector"])) // np.dtype(dtype).itemsize
+    sample = _padded(list(picked["vector"]), dtype, dim)
     forest = spark.sparkContext.broadcast([fit_tree(sample, len(sample) / total, margin, leaf, seed + t) for t in range(trees)])
-    members = settle(memberships(reps, forest, dtype, margin), "memberships")
+    members = settle(memberships(reps, forest, dtype, dim, margin), "memberships")
     found = settle(leaf_links(members, dtype, limit), "leaf-links")
     grouped = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("class").agg(F.sum("n_links").alias("links"))
