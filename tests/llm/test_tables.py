@@ -190,6 +190,22 @@ def test_fixity_on_edge_cases(spark):
     assert len(told(rows, [])) == len(set(rows)) and told([], []) == []
 
 
+def test_fixity_offsets_against_a_plain_loop(spark):
+    """Offsets stand in order of number and digest, also where a number or null holds most rows, and go into the leaves' hashes."""
+    rows = [(k, "u", "x" * (k % 7)) for k in range(70)] + [(5, "u", f"of five {k % 90}") for k in range(200)] + [(None, "u", f"of none {k}") for k in range(150)] + [(-2, None, None)]
+    found = fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    want, begin = set(), collections.Counter()
+    copies = collections.Counter((r.leaf, r.number, r.digest, r.size) for r in found.collect())
+    for leaf, number, digest, size in sorted(copies, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        n = copies[leaf, number, digest, size]
+        want.add((leaf, number, digest, size, n, begin[leaf]))
+        begin[leaf] += size * n
+    got = [(r.leaf, r.number, r.digest, r.size, r.copies, r.offset) for r in fixity.placed(found).collect()]
+    assert len(got) == len(want) and set(got) == want
+    leaves = {r.node: (r.records, r.bytes) for r in fixity.tree(found, 1)[0].collect()}
+    assert leaves == {k: (sum(n for x, n in copies.items() if x[0] == k), begin[k]) for k in begin}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     from tidemark.llm import bpe, secrets

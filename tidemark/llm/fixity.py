@@ -6,10 +6,12 @@ so on up to the roots. A node's hash covers its children's hashes, numbers and b
 compared from the roots down, and only below nodes that differ, until the damaged records are named with the
 offset range to fetch again.
 
-A leaf combines its records' hashes by sums, so that a record number that holds many rows is added up before
-it is shuffled; a lost, added, repeated or changed record changes the sums. Null payloads, urls or numbers
-are records like any other (null and empty differ by their length field); an empty replica lacks everything;
-equal rows are counted. Extra columns are not read.
+In a leaf the records stand at offsets in the order of number (null first) and digest, equal rows side by side.
+A leaf sums up hashes of its records' offsets, lengths, copies and digests, so that order and offsets count and
+yet a record number that holds many rows is added up before it is shuffled: offsets come from running sums in
+chunks of a number's digests and over these chunks. Null payloads, urls or numbers are records like any other
+(null and empty differ by their length field); an empty replica lacks everything; equal rows are counted. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from tidemark.llm.session import settle
 
 BITS = 6
 FANOUT = 1 << BITS
+#: Leading hex digits of a digest that name a chunk of a number's records: at most 16 ** CHUNK chunks a number.
+CHUNK = 3
 
 
 def framed(url: Column, payload: Column) -> Column:
@@ -48,15 +52,26 @@ def height(*replicas: DataFrame) -> int:
     return 1 + -(-widest.bit_length() // BITS)
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """leaf, number, digest, size, copies, filled, offset: different records, the bytes of their copies, and where these begin in the leaf."""
+    once = found.groupBy("leaf", "number", "digest").agg(F.count("*").alias("copies"), F.min("size").alias("size")).withColumns({"filled": F.col("size") * F.col("copies"), "chunk": F.substring("digest", 1, CHUNK)})
+    once = settle(once, "records-once")
+    before = "coalesce(sum(filled) over (partition by {} order by {} rows between unbounded preceding and 1 preceding), 0)"
+    chunks = once.groupBy("leaf", "number", "chunk").agg(F.sum("filled").alias("filled"))
+    chunks = chunks.select(F.col("leaf").alias("leaf_c"), F.col("number").alias("number_c"), F.col("chunk").alias("chunk_c"), F.expr(before.format("leaf", "number nulls first, chunk")).alias("begin"))
+    inside = once.withColumn("offset", F.expr(before.format("leaf, number, chunk", "digest")))
+    both = inside.join(chunks, (F.col("leaf") == F.col("leaf_c")) & F.col("number").eqNullSafe(F.col("number_c")) & (F.col("chunk") == F.col("chunk_c")))
+    return both.select("leaf", "number", "digest", "size", "copies", "filled", (F.col("begin") + F.col("offset")).alias("offset"))
+
+
 def tree(found: DataFrame, levels: int) -> list[DataFrame]:
     """Levels of nodes (node, hash, bytes, records, start) from leaves to roots; start: offset in the parent's bytes.
 
     There is one root, and one more if numbers below zero or null occur.
     """
-    # a record's number goes into its digest's sums, so that two records can't change places unseen
-    tied = found.withColumn("digest", F.sha2(F.concat_ws("|", F.coalesce(F.col("number").cast("string"), F.lit("none")), "digest"), 256))
+    record = F.concat_ws("|", F.coalesce(F.col("number").cast("string"), F.lit("none")), "offset", "size", "copies", "digest")
     sums = [F.sum(_chunk(k)).cast("string") for k in range(4)]
-    level = tied.groupBy(F.col("leaf").alias("node")).agg(F.count("*").alias("records"), F.sum("size").alias("bytes"), F.concat_ws("|", *sums).alias("sums"))
+    level = placed(found).withColumn("digest", F.sha2(record, 256)).groupBy(F.col("leaf").alias("node")).agg(F.sum("copies").alias("records"), F.sum("filled").alias("bytes"), F.concat_ws("|", *sums).alias("sums"))
     level = level.select("node", F.sha2(F.concat_ws("|", "node", "records", "bytes", "sums"), 256).alias("hash"), "bytes", "records")
     start = F.expr(f"coalesce(sum(bytes) over (partition by shiftright(node, {BITS}) order by node rows between unbounded preceding and 1 preceding), 0)")
     children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash", "bytes"))), lambda c: F.concat_ws(":", c["node"], c["hash"], c["bytes"])), "|")
