@@ -65,8 +65,8 @@ def correction_groups(ops: DataFrame) -> DataFrame:
     return groups.join(heeded, "label", "left").select(F.concat(F.lit(f"correction/{GRAMMAR}|"), "label").alias("signature"), "label", "n", "sessions", F.coalesce("cx", F.lit(0)).alias("cx"))
 
 
-def previous(rows: DataFrame, keys: list[str], chunk: Column, order: list[Column], wanted: Column, payload: Column, name: str) -> DataFrame:
-    """rows with `name`: the payload of the nearest earlier row of the same keys for which `wanted` holds.
+def previous(rows: DataFrame, keys: list[str], chunk: Column, order: list[Column], wanted: Column, payload: Column, name: str, place: Column | None = None) -> DataFrame:
+    """rows with `name`: the payload of the nearest earlier row of the same keys for which `wanted` holds. place: order as one sortable column, if it isn't that of sessions.
 
     Keys are cut into chunks (of ascending `chunk`), searched one by one; what a chunk ends with is carried into
     later ones by a window over chunks alone. A key with very many rows is thus spread over its chunks.
@@ -74,7 +74,7 @@ def previous(rows: DataFrame, keys: list[str], chunk: Column, order: list[Column
     rows = rows.withColumn("__chunk", chunk)
     value = F.when(wanted, payload)
     within = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(*(F.coalesce(c, d) for c, d in _sortable(order)))
+    place = F.struct(*(F.coalesce(c, d) for c, d in _sortable(order))) if place is None else place
     ends = rows.where(wanted).groupBy(*keys, "__chunk").agg(F.max_by(payload, place).alias("__end"))
     chunks = rows.groupBy(*keys, "__chunk").agg(F.lit(1).alias("__one")).drop("__one")
     over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)

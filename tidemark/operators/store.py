@@ -32,17 +32,30 @@ class Ingested:
     rejected: DataFrame
 
 
-def ingest(batch: DataFrame, stored: DataFrame | None = None, order: tuple[str, ...] = ("ingest_seq",)) -> Ingested:
+def identities(events: DataFrame) -> DataFrame:
+    """event_id, content_hash: what ingest asks of stored ids."""
+    return events.select("event_id", "content_hash")
+
+
+def places(events: DataFrame) -> DataFrame:
+    """session_id, sequence, source, occurred_at, event_id: what ingest asks of stored sessions."""
+    return events.select("session_id", "sequence", "source", "occurred_at", "event_id")
+
+
+def ingest(batch: DataFrame, stored: DataFrame | None = None, order: tuple[str, ...] = ("ingest_seq",), ids: DataFrame | None = None, held_places: DataFrame | None = None) -> Ingested:
     """Split a batch (event columns, content_hash, the columns of order) into accepted, duplicate, conflicting and rejected rows.
 
     A row with a stored id is a duplicate if the content is equal, else a conflict (checked before all else); a
     session belongs to the source that was first in it; a sequence number in a session is taken once. Of rows that
-    are equal in order and content one is accepted.
+    are equal in order and content one is accepted. ids, held_places: `identities` and `places` of the stored events that
+    can matter to this batch, in place of all stored events.
     """
+    ids = identities(stored) if ids is None and stored is not None else ids
+    held_places = places(stored) if held_places is None and stored is not None else held_places
     keep = batch.columns
     place = F.struct(*order)
     batch = batch.withColumn("__place", place)
-    old = None if stored is None else stored.select("event_id", F.col("content_hash").alias("__hash"))
+    old = None if ids is None else ids.select("event_id", F.col("content_hash").alias("__hash"))
     # one row for each id: the least in ingest order, found by a pre-aggregated minimum, not by sorting a key's rows
     first = batch.groupBy("event_id").agg(F.min(F.struct("__place", "content_hash")).alias("__first"))
     if old is not None:
@@ -55,14 +68,14 @@ def ingest(batch: DataFrame, stored: DataFrame | None = None, order: tuple[str,
     fresh = known.where(is_first)
     turn = F.struct("__place", "event_id")
     owners = fresh.groupBy("session_id").agg(F.min_by("source", turn).alias("__owner"))
-    if stored is not None:
-        owned = stored.groupBy("session_id").agg(F.min_by("source", F.struct("occurred_at", "event_id")).alias("__had"))
+    if held_places is not None:
+        owned = held_places.groupBy("session_id").agg(F.min_by("source", F.struct("occurred_at", "event_id")).alias("__had"))
         owners = owners.join(owned, "session_id", "left").select("session_id", F.coalesce("__had", "__owner").alias("__owner"))
     fresh = fresh.join(owners, "session_id").withColumn("__reason", F.when(F.col("source") != F.col("__owner"), "session_source_conflict"))
     numbered_rows = fresh.where("sequence is not null and __reason is null")
     taken = numbered_rows.groupBy("session_id", "sequence").agg(F.min(turn).alias("__holder"))
-    if stored is not None:
-        held = stored.where("sequence is not null").select("session_id", "sequence", F.lit(True).alias("__held")).distinct()
+    if held_places is not None:
+        held = held_places.where("sequence is not null").select("session_id", "sequence", F.lit(True).alias("__held")).distinct()
         taken = taken.join(held, ["session_id", "sequence"], "left")
     else:
         taken = taken.withColumn("__held", F.lit(None).cast("boolean"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import privacy, store
 from tidemark.operators.tables import settle
 from tidemark.schema import ARTIFACT_TYPES, EVENT_TYPES, SPEC_VERSION, TOOL_TYPES
+from tidemark.sources import transcripts
 from tidemark.sources.lines import elements, text_at
 
 # fixed values: fields of the wire format and the kinds of JSON value they take; a star marks those required
@@ -102,22 +103,43 @@ class Imported:
     frames: dict = field(default_factory=dict)
 
 
-def import_events(lines: DataFrame, options: ImportOptions = ImportOptions(), stored: DataFrame | None = None) -> Imported:
+def import_events(lines: DataFrame, options: ImportOptions = ImportOptions(), stored: DataFrame | None = None, index: Index | None = None) -> Imported:
     """Decode, select projects, apply privacy, then take in by the first-wins rules, in the order of (file, line).
 
     summary: one row of counters. diagnostics: file, line, code; at most max_diagnostics are listed, all are counted.
     """
     # each step is long, and its result is used several times
-    return _import(settle(decode(lines), "decoded"), lines, options, stored)
+    return _import(settle(decode(lines), "decoded"), lines, options, stored, index)
 
 
-def import_transcripts(lines: DataFrame, normalize: Callable[..., DataFrame], options: ImportOptions = ImportOptions(), stored: DataFrame | None = None, include_content: bool = False) -> Imported:
-    """The same for a transcript's lines: `normalize` (one of transcripts.ADAPTERS) makes events of those not read before."""
-    events = settle(normalize(lines, include_content, stored).withColumn("well_formed", F.col("occurred_at").isNotNull()), "decoded")
-    return _import(events, events, options, stored)
+def import_transcripts(lines: DataFrame, normalize: Callable[..., DataFrame], options: ImportOptions = ImportOptions(), stored: DataFrame | None = None, include_content: bool = False, resume: transcripts.Resume | None = None, index: Index | None = None) -> Imported:
+    """The same for a transcript's lines: `normalize` (one of transcripts.ADAPTERS) makes events of those not read before.
+
+    What was read before is told by `resume`, or else by the stored events. frames: states and open_calls, the resume of a later import.
+    """
+    adapter = normalize.__name__
+    if resume is None and stored is not None:
+        resume = transcripts.resume_of(stored, adapter)
+    opened = transcripts.opened(lines, resume)
+    opened.lines = settle(opened.lines, "unread")
+    events = settle(normalize(opened.lines, include_content, opened).withColumn("well_formed", F.col("occurred_at").isNotNull()), "decoded")
+    told = transcripts.directories(opened.lines, transcripts.DIRECTORIES[adapter](opened.lines)) if adapter in transcripts.DIRECTORIES else None
+    states, open_calls = transcripts.states_after(opened, events, adapter, told)
+    done = _import(events, events, options, stored, index)
+    done.frames |= {"states": states, "open_calls": open_calls}
+    return done
+
+
+@dataclass
+class Index:
+    """What a store knows of a batch: ids and places of stored events that can meet it, by functions of the batch; the last number given."""
+
+    ids: Callable[[DataFrame], DataFrame | None]
+    places: Callable[[DataFrame], DataFrame | None]
+    last_ingest: int = 0
 
 
-def _import(decoded: DataFrame, lines: DataFrame, options: ImportOptions, stored: DataFrame | None) -> Imported:
+def _import(decoded: DataFrame, lines: DataFrame, options: ImportOptions, stored: DataFrame | None, index: Index | None = None) -> Imported:
     decoded = settle(decoded.withColumn("errors", F.when(F.col("well_formed"), validation_errors())), "checked")
     rejected = decoded.where("not well_formed or size(errors) > 0").select("file", "line", F.when(F.col("well_formed"), "invalid_event").otherwise("invalid_json").alias("code"), "errors")
     valid = decoded.where("well_formed and size(errors) = 0").drop("errors", "well_formed")
@@ -125,9 +147,9 @@ def _import(decoded: DataFrame, lines: DataFrame, options: ImportOptions, stored
     clean = privacy.private(wanted, options.exclude_paths)
     clean = settle(clean, "clean")
     # files in the order of their names, their lines in order; the number counts lines from those stored before
-    last = 0 if stored is None or "ingest_seq" not in stored.columns else stored.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
+    last = index.last_ingest if index is not None else 0 if stored is None or "ingest_seq" not in stored.columns else stored.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
     batch = settle(store.hashed(clean.withColumns({"ingest_seq": F.col("line") + last, "imported_at": F.current_timestamp()})), "batch")
-    taken = store.ingest(batch, stored, ("file", "line"))
+    taken = store.ingest(batch, stored, ("file", "line")) if index is None else store.ingest(batch, None, ("file", "line"), index.ids(batch), index.places(batch))
     taken = store.Ingested(*(settle(x, "taken") for x in (taken.accepted, taken.duplicates, taken.conflicts, taken.rejected)))
     stored_rejects = taken.rejected.select("file", "line", F.lit("store_rejected").alias("code"), F.array(F.struct(F.lit("").alias("path"), F.col("reason").alias("code"))).alias("errors"))
     problems = rejected.unionByName(stored_rejects)

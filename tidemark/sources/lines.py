@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.operators.tables import settle, small
 
-def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """file (relative to root), line (from 1), text, v (VARIANT; null where a line is no JSON). Blank lines are left out.
 
-    A file is a task's row: logs are many and each is small; order within a file needs it whole.
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (file, block, k: place in the block from 0, bytes: of the line and its end) with line (from 1) and end (bytes of all the file's lines).
+
+    rows are settled. Lines are counted by block; running sums over a file's blocks give where each block begins.
+    """
+    blocks = rows.groupBy("file", "block").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("filled"))
+    own = Window.partitionBy("file")
+    before = F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    told = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("filled").over(own).alias("end"))
+    told = small(settle(told, "blocks"))
+    met = rows.join(told, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return met.withColumn("line", (F.col("before") + F.col("k") - F.col("first") + 1).cast("long")).drop("__file", "__block", "first", "before")
+
+
+def read(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """file (relative to root), line (from 1), text, end (bytes of the file's whole lines), partial (a last line that no line end follows).
+
+    Files are read in splits, each line in one of them: a log of any length is many tasks, and its lines stay where they are read.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     base = F.lit("^.*?" + root.rstrip("/").replace("file://", "").join(("\\Q", "\\E")) + "/?")
-    named = whole.select(F.regexp_replace(F.col("_metadata.file_path"), base, F.lit("")).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    return named.where(F.length(F.trim("text")) > 0).select("file", (F.col("line") + 1).cast("long").alias("line"), "text", F.try_parse_json("text").alias("v"))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+    meta = F.col("_metadata")
+    rows = raw.select(F.regexp_replace(meta["file_path"], base, F.lit("")).alias("file"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("text"), (F.octet_length("value") + 1).cast("long").alias("bytes"))
+    placed = numbered(settle(rows, "lines"))
+    # without a line end at the end of the file, one byte was counted too much
+    last = F.col("end") > F.col("size")
+    ends = small(settle(placed.where(last).groupBy("file").agg(F.max_by(F.struct("line", "bytes"), "line").alias("tail")).select(F.col("file").alias("__file"), "tail"), "tails"))
+    met = placed.join(ends, F.col("file") == F.col("__file"), "left")
+    return met.select("file", "line", F.regexp_replace("text", "\r$", "").alias("text"), (F.col("end") - F.coalesce("tail.bytes", F.lit(0))).alias("end"), F.coalesce(F.col("line") == F.col("tail.line"), F.lit(False)).alias("partial"))
+
+
+def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """file (relative to root), line (from 1), text, v (VARIANT; null where a line is no JSON), end, partial. Blank lines are left out."""
+    return read(spark, root, pattern).where(F.length(F.trim("text")) > 0).select("file", "line", "text", F.try_parse_json("text").alias("v"), "end", "partial")
 
 
-def text_at(v, path: str):
+def text_at(v: Column, path: str) -> Column:
     """A string at a path; null for other types."""
     value = F.try_variant_get(v, path, "variant")
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def is_array(v):
+def is_array(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 
 
-def elements(v):
+def elements(v: Column) -> Column:
     """An array of VARIANT; empty for other values."""
     return F.coalesce(F.when(is_array(v), v.cast("array<variant>")), F.array().cast("array<variant>"))

@@ -3,16 +3,24 @@
 Each format turns its records into moves (start, prompt, decision, call, result, compacted); what they share,
 pairing results with calls, numbering events and making ids, is done once. A result without an open call is
 left out; a call id used again opens anew.
+
+Imports go on where the last one ended: `opened` compares each file with the state kept of it and gives the lines not read
+before, `assemble` makes events of them, and `states_after` gives the state to keep. Batch and stream share these states.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import exit_code_of
+from tidemark.operators.chunks import laid_out, positions
+from tidemark.operators.detect import previous
+from tidemark.operators.tables import settle, small
 from tidemark.schema import SPEC_VERSION
 from tidemark.sources.lines import elements, is_array, scan, text_at
 
@@ -55,56 +63,171 @@ def session_of(adapter: str, file: Column) -> Column:
     return F.concat(F.lit(f"ses_{adapter}_"), F.sha2(file, 256))
 
 
-def carried(stored: DataFrame, adapter: str) -> tuple[DataFrame, DataFrame]:
-    """What an import goes on from, read from the events stored so far: sessions and their open calls.
+#: What is known of a file: how often it was replaced, the lines and bytes read, a hash of the first bytes of its lines, the next number of its session, the directory in force.
+STATE = "file string, generation int, lines long, bytes long, head string, head_bytes int, next_sequence long, project string"
+OPEN_CALL = "struct<move:string,event_id:string,tool_name:string,tool_input:variant>"
+HEAD = 4096
+
 
-    session_id, last_line, next_sequence, last_project; and session_id, call_id, __open (the call). Nothing else is kept
-    between batches, so a batch that is repeated finds what it found before.
+@dataclass
+class Resume:
+    """What an import goes on from.
+
+    files: STATE rows. open_calls: file, call_id, __open (calls without a result). known: event_id, sequence of stored events;
+    needed where a file is read again.
     """
-    own = stored.where(F.col("source") == adapter)
-    at = F.try_variant_get("metadata", f"$['{adapter}.line']", "long")
-    sessions = own.groupBy("session_id").agg(F.max(at).alias("last_line"), (F.max("sequence") + 1).alias("next_sequence"), F.max_by("project", F.col("sequence")).alias("last_project"))
-    calls = own.where("type = 'tool.called'").select("session_id", F.try_variant_get("metadata", f"$['{adapter}.tool_use_id']", "string").alias("call_id"), F.struct(F.lit("call").alias("move"), "event_id", F.col("tool.name").alias("tool_name"), F.col("tool.input").alias("tool_input")).alias("__call"), "sequence")
-    ended = own.where("type in ('tool.completed', 'tool.failed')").select(F.col("parent_event_id").alias("ended"))
-    open_calls = calls.join(ended, F.col("__call.event_id") == F.col("ended"), "left_anti").groupBy("session_id", "call_id").agg(F.max_by("__call", "sequence").alias("__carried"))
-    return sessions, open_calls
 
+    files: DataFrame
+    open_calls: DataFrame
+    known: DataFrame | None = None
 
-def unread(lines: DataFrame, adapter: str, stored: DataFrame | None) -> DataFrame:
-    """Lines past the last one of their file that an event was made of."""
-    if stored is None:
-        return lines
-    seen = carried(stored, adapter)[0].select(F.col("session_id").alias("__session"), "last_line")
-    placed = lines.withColumn("__session", session_of(adapter, F.col("file"))).join(seen, "__session", "left")
-    return placed.where("last_line is null or line > last_line").drop("__session", "last_line")
+
+@dataclass
+class Opened:
+    """Lines not read before, with exact numbers; readings: STATE columns, reset, as the files are now (next_sequence is that of before)."""
+
+    lines: DataFrame
+    readings: DataFrame
+    resume: Resume | None
+
+
+def resume_of(stored: DataFrame, adapter: str) -> Resume:
+    """The same, from stored events alone (one pass over them): where no table of states is kept."""
+    own = stored.where(F.col("source") == adapter).withColumn("__file", F.try_variant_get("metadata", f"$['{adapter}.source_file']", "string"))
+    known = own.select("event_id", "sequence")
+    if "cursor" in own.columns:
+        latest = own.groupBy("__file").agg(F.max_by("cursor", F.struct("cursor.generation", "cursor.bytes")).alias("cursor"), (F.max("sequence") + 1).alias("next_sequence"), F.max_by("project", "sequence").alias("project"))
+        files = latest.where("cursor is not null").select(F.col("__file").alias("file"), *(f"cursor.{c}" for c in ("generation", "lines", "bytes", "head", "head_bytes")), "next_sequence", "project")
+    else:
+        files = own.groupBy("__file").agg((F.max("sequence") + 1).alias("next_sequence")).select(F.col("__file").alias("file"), F.lit(0).alias("generation"), F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("head"), F.lit(0).alias("head_bytes"), "next_sequence", F.lit(None).cast("string").alias("project"))
+    return Resume(settle(files, "states"), settle(still_open(own.withColumn("file", F.col("__file")), adapter, None), "open-calls"), known)
+
+
+def still_open(events: DataFrame, adapter: str, before: DataFrame | None) -> DataFrame:
+    """file, call_id, __open: calls of which no result was read, of events and of those open before them. A call id used again opens anew."""
+    acts = events.where("type in ('tool.called', 'tool.completed', 'tool.failed')").select("file", F.try_variant_get("metadata", f"$['{adapter}.tool_use_id']", "string").alias("call_id"), "sequence", F.when(F.col("type") == "tool.called", F.struct(F.lit("call").alias("move"), "event_id", F.col("tool.name").alias("tool_name"), F.col("tool.input").alias("tool_input"))).cast(OPEN_CALL).alias("__open"))
+    if before is not None:
+        acts = acts.unionByName(before.select("file", "call_id", F.lit(-1).cast("long").alias("sequence"), "__open"))
+    return acts.groupBy("file", "call_id").agg(F.max_by(F.struct("__open"), "sequence").alias("last")).where("last.__open is not null").select("file", "call_id", "last.__open")
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """__file, raw: the first bytes of each file's lines, as far as HEAD goes."""
+    cut = lines.where((F.col("line") <= HEAD) & (F.length(F.trim("text")) > 0)).select("file", "line", F.substring("text", 1, HEAD).alias("t"), (F.octet_length("text") + 1).cast("long").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    first = cut.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < HEAD)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
+    return first.groupBy("file").agg(F.substring(text.cast("binary"), 1, HEAD).alias("raw")).withColumnRenamed("file", "__file")
+
+
+def opened(lines: DataFrame, resume: Resume | None) -> Opened:
+    """What of lines was not read before.
+
+    lines: file, line, text, v, end (as lines.scan gives them: files from their start), or file, line, text, v, at, end,
+    begin (as the tail source gives them: from byte `begin` on, where the first line read has number 1). A file whose head
+    changed, or that has become shorter, is new under its name: its generation goes up and it is read from the start.
+    """
+    tail = "begin" in lines.columns
+    if not tail:
+        lines = (lines.where("not partial") if "partial" in lines.columns else lines).withColumns({"begin": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
+    lines = settle(lines, "read")
+    none = F.lit(None)
+    if resume is None:
+        met = lines.withColumns({"__lines": none.cast("long"), "__bytes": none.cast("long")})
+    else:
+        done = resume.files.select(F.col("file").alias("__file"), F.col("lines").alias("__lines"), F.col("bytes").alias("__bytes"))
+        met = lines.join(small(done), F.col("file") == F.col("__file"), "left").drop("__file")
+    from_start = F.col("begin") == 0
+    files = met.groupBy("file").agg(F.min("begin").alias("begin"), F.max("line").alias("seen"), F.max("end").alias("end"), F.count_if(~from_start & (F.col("at") < F.col("__bytes"))).alias("stale"))
+    heads = _heads(lines.where(from_start))
+    read = files.join(heads, F.col("file") == F.col("__file"), "left").drop("__file")
+    if resume is None:
+        read = read.withColumns({"__known": F.lit(False), **{c.split()[0]: none.cast(c.split()[1]) for c in STATE.split(", ")[1:]}})
+    else:
+        old = resume.files.withColumn("__known", F.lit(True)).withColumnRenamed("file", "__file")
+        read = read.join(old, F.col("file") == F.col("__file"), "left").drop("__file")
+    known, from_start = F.coalesce("__known", F.lit(False)), F.col("begin") == 0
+    same = F.sha2(F.substring(F.coalesce("raw", F.lit("").cast("binary")), F.lit(1), F.col("head_bytes")), 256) == F.col("head")
+    reset = known & from_start & (~same | (F.col("seen") < F.col("lines")))
+    goes_on = known & ~reset
+    total = F.when(goes_on & ~from_start, F.col("lines") + F.col("seen") - F.col("stale")).otherwise(F.col("seen"))
+    fresh_head = from_start & F.col("raw").isNotNull()
+    told = read.select(
+        "file", (F.coalesce("generation", F.lit(0)) + reset.cast("int")).alias("generation"), total.alias("lines"),
+        F.when(goes_on, F.greatest("end", "bytes")).otherwise(F.col("end")).alias("bytes"),
+        F.when(fresh_head, F.sha2("raw", 256)).otherwise(F.coalesce("head", F.sha2(F.lit(""), 256))).alias("head"), F.when(fresh_head, F.octet_length("raw")).otherwise(F.coalesce("head_bytes", F.lit(0))).alias("head_bytes"),
+        "next_sequence", F.when(~reset, F.col("project")).alias("project"), reset.alias("reset"),
+        F.when(~goes_on, 0).when(from_start, F.col("lines")).otherwise(F.col("stale")).alias("__skip"),  # lines of this reading that are known
+        F.when(goes_on & ~from_start, F.col("lines") - F.col("stale")).otherwise(0).alias("__shift"),
+    )
+    readings = settle(told, "readings")
+    cut = small(readings.select(F.col("file").alias("__file"), "__skip", "__shift"))
+    unread = lines.join(cut, F.col("file") == F.col("__file")).where(F.col("line") > F.col("__skip"))
+    return Opened(unread.withColumn("line", (F.col("line") + F.col("__shift")).cast("long")).drop("__file", "__skip", "__shift", "begin", "at", "end", "partial").where(F.length(F.trim("text")) > 0), readings.drop("__skip", "__shift"), resume)
+
+
+def states_after(opened_: Opened, events: DataFrame, adapter: str, project: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(STATE rows of the files read, their open calls) once these events were made of them. project: file, told (struct<cwd>) where one was told."""
+    last = events.groupBy("file").agg((F.max("sequence") + 1).alias("__next")).withColumnRenamed("file", "__file")
+    out = opened_.readings.join(last, F.col("file") == F.col("__file"), "left").drop("__file").withColumn("next_sequence", F.greatest("next_sequence", "__next"))
+    if project is not None:
+        out = out.join(project.withColumnRenamed("file", "__file"), F.col("file") == F.col("__file"), "left").withColumn("project", F.when(F.col("told").isNotNull(), F.col("told.cwd")).otherwise(F.col("project"))).drop("__file")
+    before = None
+    if opened_.resume is not None:
+        going = opened_.readings.where("not reset").select(F.col("file").alias("__file"))
+        before = opened_.resume.open_calls.join(going, F.col("file") == F.col("__file"), "left_semi")
+    return out.select(*(c.split()[0] for c in STATE.split(", "))), still_open(events, adapter, before)
+
+
+_NOTHING = {"call_id": "string", "tool_name": "string", "tool_input": "variant", "failed": "boolean", "exit_code": "long", "content": "variant"}
 
 
-def assemble(moves: DataFrame, adapter: str, artifact_keys: tuple[str, ...], include_content: bool = False, starts: bool = True, stored: DataFrame | None = None) -> DataFrame:
+def assemble(moves: DataFrame, adapter: str, artifact_keys: tuple[str, ...], include_content: bool = False, starts: bool = True, opened_: Opened | None = None) -> DataFrame:
     """file, line and the envelope events of moves. Each file is a session; its first move starts it unless it is a start itself.
 
-    stored: events of earlier imports. Their sessions are gone on with: they are not started again, sequence numbers go
-    on, and results find calls that were read before.
+    opened_: what the files are gone on with from. Their sessions are not started again, sequence numbers go on, and results
+    find calls that were read before. Where a file is read again (it was replaced, or its cursor is not known), events that are
+    stored keep their numbers, so that first-wins ingest finds them equal; others are numbered behind them.
     """
     place = [F.col("line"), F.col("ord")]
-    moves = moves.withColumn("session_id", session_of(adapter, F.col("file")))
-    if stored is None:
-        moves = moves.withColumns({"next_sequence": F.lit(None).cast("long"), "__carried": F.lit(None).cast("struct<move:string,event_id:string,tool_name:string,tool_input:variant>")})
+    moves, resume = moves.withColumn("session_id", session_of(adapter, F.col("file"))), None if opened_ is None else opened_.resume
+    open_calls = None
+    if opened_ is not None:
+        state = opened_.readings.select(F.col("file").alias("__file"), "next_sequence", "reset", F.struct("generation", "lines", "bytes", "head", "head_bytes").alias("cursor"))
+        moves = moves.join(small(state), F.col("file") == F.col("__file"), "left").drop("__file")
+        open_calls = None if resume is None else resume.open_calls
     else:
-        sessions, open_calls = carried(stored, adapter)
-        moves = moves.join(sessions.select("session_id", "next_sequence", "last_project"), "session_id", "left").withColumn("project", F.coalesce("project", "last_project")).drop("last_project").join(open_calls, ["session_id", "call_id"], "left")
-        moves = moves.where("next_sequence is null or move <> 'start'")
+        moves = moves.withColumns({"next_sequence": F.lit(None).cast("long"), "reset": F.lit(False), "cursor": F.lit(None).cast("struct<generation:int,lines:bigint,bytes:bigint,head:string,head_bytes:int>")})
     if starts:
-        first = Window.partitionBy("file").orderBy(*place)
-        numbered = moves.withColumn("__k", F.row_number().over(first))
-        opening = numbered.where("__k = 1 and move <> 'start' and next_sequence is null").withColumns({"ord": F.lit(-1), "move": F.lit("start"), **{c: F.lit(None).cast(t) for c, t in (("call_id", "string"), ("tool_name", "string"), ("tool_input", "variant"), ("failed", "boolean"), ("exit_code", "long"), ("content", "variant"))}})
-        moves = numbered.where("__k = 1 or move <> 'start'").unionByName(opening).drop("__k")
+        moves = settle(moves, "moves")
+        firsts = moves.where("next_sequence is null").groupBy("file").agg(F.min(F.struct(*place)).alias("__first"))
+        met = moves.join(firsts.withColumnRenamed("file", "__file"), F.col("file") == F.col("__file"), "left").drop("__file").withColumn("__opens", F.coalesce(F.struct(*place) == F.col("__first"), F.lit(False)))
+        opening = met.where("__opens and move <> 'start'").withColumns({"ord": F.lit(-1), "move": F.lit("start"), **{c: F.lit(None).cast(t) for c, t in _NOTHING.items()}})
+        moves = met.where("__opens or move <> 'start'").unionByName(opening).drop("__opens", "__first")
+    elif opened_ is not None:
+        moves = moves.where("next_sequence is null or move <> 'start'")
     role = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in _ROLES.items() for x in p)), F.col("move")), F.col("move"))
     index = F.when(F.col("move").isin("call", "result"), F.floor(F.col("ord") / 2)).otherwise(0)
     ident = F.concat(F.lit(f"evt_{adapter}_"), F.sha2(F.concat_ws("\0", "file", "record_key", role, index.cast("string")), 256))
     named = moves.withColumn("event_id", ident)
+    acts, rest = named.where("move in ('call', 'result')"), named.where("move not in ('call', 'result')")
     own = Window.partitionBy("file", "call_id").orderBy(*place)
-    paired = named.withColumn("__open", F.when(F.col("move") == "result", F.coalesce(F.lag(F.struct("move", "event_id", "tool_name", "tool_input")).over(own), F.col("__carried"))))
-    kept = paired.where("move <> 'result' or __open.move = 'call'")
+    paired = acts.withColumn("__open", F.when(F.col("move") == "result", F.lag(F.struct("move", "event_id", "tool_name", "tool_input")).over(own)))
+    if open_calls is not None:
+        carried = open_calls.select(F.col("file").alias("__file"), F.col("call_id").alias("__call_id"), F.col("__open").alias("__carried"))
+        paired = paired.join(carried, (F.col("file") == F.col("__file")) & (F.col("call_id") == F.col("__call_id")) & ~F.col("reset"), "left")
+        paired = paired.withColumn("__open", F.coalesce("__open", F.when(F.col("move") == "result", F.col("__carried")))).drop("__file", "__call_id", "__carried")
+    kept = paired.where("move <> 'result' or __open.move = 'call'").unionByName(rest.withColumn("__open", F.lit(None).cast(OPEN_CALL)))
+    again = opened_ is not None and resume is not None and resume.known is not None and not opened_.readings.where("reset or (lines > 0 and next_sequence is not null)").limit(1).isEmpty()
+    if again:
+        known = resume.known.select(F.col("event_id").alias("__known"), F.col("sequence").alias("__sequence"))
+        kept = kept.join(known, F.col("event_id") == F.col("__known"), "left").drop("__known")
+    else:
+        kept = kept.withColumn("__sequence", F.lit(None).cast("long"))
+    # numbers of a file's new events: a long file is many tasks
+    placed = positions(laid_out(kept.where("__sequence is null"), ["file"], place), ["file"], "__place").drop("__at")
+    numbered = placed.withColumn("__sequence", F.col("__place") + F.coalesce("next_sequence", F.lit(0))).drop("__place")
+    kept = numbered.unionByName(kept.where("__sequence is not null")) if again else numbered
     name, given = F.coalesce("tool_name", "__open.tool_name"), F.when(F.col("move") == "result", F.col("__open.tool_input")).otherwise(F.col("tool_input"))
     kind = F.when(F.col("move") == "result", F.when(F.col("failed"), "tool.failed").otherwise("tool.completed")).otherwise(F.element_at(F.create_map(*(F.lit(x) for p in _TYPES.items() for x in p)), F.col("move")))
     files = F.array_compact(F.array(*(F.when(text_at(given, f"$.{k}").isNotNull(), F.struct(F.lit("file").alias("type"), text_at(given, f"$.{k}").alias("path"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("variant").alias("metadata"))) for k in artifact_keys)))
@@ -115,26 +238,48 @@ def assemble(moves: DataFrame, adapter: str, artifact_keys: tuple[str, ...], inc
         "file", "line", F.lit(SPEC_VERSION).alias("spec_version"), "event_id",
         "session_id",
         F.try_to_timestamp("at_text").alias("occurred_at"), F.col("at_text").alias("occurred_at_text"),
-        (F.row_number().over(Window.partitionBy("file").orderBy(*place)) - 1 + F.coalesce("next_sequence", F.lit(0))).cast("long").alias("sequence"),
+        F.col("__sequence").cast("long").alias("sequence"),
         F.lit(adapter).alias("source"), kind.alias("type"), "project",
         F.col("__open.event_id").alias("parent_event_id"),
         F.when(F.col("move").isin("call", "result"), F.struct(name.alias("name"), given.alias("input"), F.when(F.col("move") == "result", F.when(F.col("failed"), F.when(F.col("exit_code") != 0, F.col("exit_code")).otherwise(F.lit(1))).otherwise(F.coalesce("exit_code", F.lit(0)))).cast("long").alias("exit_code"), F.lit(None).cast("long").alias("duration_ms"), F.lit(None).cast("variant").alias("metadata"))).alias("tool"),
         F.when(F.col("move").isin("call", "result"), files).otherwise(F.array().cast("array<struct<type:string,path:string,uri:string,digest:string,metadata:variant>>")).alias("artifacts"),
         F.parse_json(F.to_json(F.struct(*(c.alias(f"{adapter}.{k}") for k, c in metadata.items())))).alias("metadata"),
+        "cursor",
     )
 
 
+def _line_key() -> Column:
+    """A record without an id is known by its line and text: another text on that line is another record."""
+    return F.concat_ws("-", "line", F.substring(F.sha2("text", 256), 1, 16))
+
+
+def _in_directory(lines: DataFrame, told: Column, opened_: Opened | None) -> tuple[DataFrame, Column]:
+    """lines with the directory in force, which is carried from line to line and from what was read before."""
+    rows = lines.withColumn("__told", told)
+    found = previous(rows, ["file"], F.floor(F.col("line") / LINES_AT_ONCE), [F.col("line")], F.col("__told").isNotNull(), F.col("__told"), "__earlier", F.col("line"))
+    here = F.coalesce("__told", "__earlier")
+    if opened_ is None:
+        return found, here["cwd"]
+    before = opened_.readings.select(F.col("file").alias("__file"), F.col("project").alias("__project"))
+    return found.join(small(before), F.col("file") == F.col("__file"), "left").drop("__file"), F.when(here.isNotNull(), here["cwd"]).otherwise(F.col("__project"))
+
+
+def directories(lines: DataFrame, told: Column) -> DataFrame:
+    """file, told: what was told last in each file."""
+    return lines.withColumn("told", told).where("told is not null").groupBy("file").agg(F.max_by("told", "line").alias("told"))
+
+
 # ---- Claude Code
 
 
-def claude(lines: DataFrame, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
-    lines, v = unread(lines, "claude", stored), F.col("v")
+def claude(lines: DataFrame, include_content: bool = False, opened_: Opened | None = None) -> DataFrame:
+    v = F.col("v")
     kind, content = text_at(v, "$.type"), _variant(v, "$.message.content")
     blocks = elements(content)
     compact = F.coalesce((kind == "system") & text_at(v, "$.subtype").contains("compact"), F.lit(False))
     is_text = F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False))
     usable = (kind == "user") & (is_text | is_array(content)) | (kind == "assistant") & is_array(content) | (kind == "summary") | compact
-    records = lines.where(F.coalesce(usable, F.lit(False)) & F.try_to_timestamp(text_at(v, "$.timestamp")).isNotNull()).withColumns({"at_text": text_at(v, "$.timestamp"), "project": text_at(v, "$.cwd"), "record_key": F.coalesce(text_at(v, "$.uuid"), text_at(v, "$.id"), F.concat(F.lit("line-"), F.col("line")))})
+    records = lines.where(F.coalesce(usable, F.lit(False)) & F.try_to_timestamp(text_at(v, "$.timestamp")).isNotNull()).withColumns({"at_text": text_at(v, "$.timestamp"), "project": text_at(v, "$.cwd"), "record_key": F.coalesce(text_at(v, "$.uuid"), text_at(v, "$.id"), F.concat(F.lit("line-"), _line_key()))})
     said = _joined_text(blocks)
     result_text = lambda b: F.coalesce(text_at(b, "$.content"), F.element_at(F.filter(F.transform(elements(_variant(b, "$.content")), lambda x: text_at(x, "$.text")), lambda t: t.isNotNull()), 1))
     placed = F.transform(blocks, lambda b, i: F.struct(b.alias("b"), (2 * i + 1).alias("ord")))
@@ -146,7 +291,7 @@ def claude(lines: DataFrame, include_content: bool = False, stored: DataFrame |
         F.when(kind == "user", results).otherwise(none),
         F.when(kind == "assistant", calls).otherwise(none),
     )
-    return assemble(_moves(records, moves), "claude", ("file_path",), include_content, stored=stored)
+    return assemble(_moves(records, moves), "claude", ("file_path",), include_content, opened_=opened_)
 
 
 def discover_claude(spark: SparkSession, root: str, include_subagents: bool = False) -> DataFrame:
@@ -207,15 +352,18 @@ def _outcome(column):
     return pd.DataFrame({"exit_code": pd.array([c for c, _ in out], dtype="Int64"), "failed": [b for _, b in out]})
 
 
-def codex(lines: DataFrame, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
-    lines = unread(lines, "codex", stored)
+def codex_directory(lines: DataFrame) -> Column:
+    """struct<cwd> where a record tells the directory in force; a session_meta without one clears it."""
+    kind, cwd = text_at(F.col("v"), "$.type"), text_at(F.col("v"), "$.payload.cwd")
+    return F.when(kind == "session_meta", F.struct(cwd.alias("cwd"))).when((kind == "turn_context") & cwd.isNotNull(), F.struct(cwd.alias("cwd")))
+
+
+def codex(lines: DataFrame, include_content: bool = False, opened_: Opened | None = None) -> DataFrame:
     v, p = F.col("v"), _variant(F.col("v"), "$.payload")
     kind, sub = text_at(v, "$.type"), text_at(p, "$.type")
     stamp = F.coalesce(text_at(v, "$.timestamp"), text_at(p, "$.timestamp"))
-    # the directory in force: that of the last session_meta or turn_context record up to here; a session_meta without one clears it
-    told = F.when(kind == "session_meta", F.struct(text_at(p, "$.cwd").alias("cwd"))).when((kind == "turn_context") & text_at(p, "$.cwd").isNotNull(), F.struct(text_at(p, "$.cwd").alias("cwd")))
-    here = F.last(told, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    records = lines.where(F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False))).withColumns({"at_text": stamp, "project": here["cwd"], "record_key": F.col("line").cast("string")}).where(F.try_to_timestamp("at_text").isNotNull())
+    lines, here = _in_directory(lines, codex_directory(lines), opened_)
+    records = lines.where(F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False))).withColumns({"at_text": stamp, "project": here, "record_key": _line_key()}).where(F.try_to_timestamp("at_text").isNotNull())
     output = _variant(p, "$.output")
     records = records.withColumn("__o", _outcome(F.when(sub.isin("function_call_output", "custom_tool_call_output"), F.to_json(output))))
     raw = F.coalesce(_variant(p, "$.arguments"), _variant(p, "$.input"))
@@ -231,18 +379,22 @@ def codex(lines: DataFrame, include_content: bool = False, stored: DataFrame | N
         ((kind == "response_item") & sub.isin("function_call_output", "custom_tool_call_output") & text_at(p, "$.call_id").isNotNull(), _move("result", 1, call_id=text_at(p, "$.call_id"), failed=failed, exit_code=F.col("__o.exit_code"), content=output)),
         (kind == "compacted", _move("compacted", 0, content=message)),
     )
-    return assemble(_moves(records, moves), "codex", ("file_path", "path"), include_content, stored=stored)
+    return assemble(_moves(records, moves), "codex", ("file_path", "path"), include_content, opened_=opened_)
 
 
 # ---- Pi
 
 
-def pi(lines: DataFrame, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
-    lines = unread(lines, "pi", stored)
+def pi_directory(lines: DataFrame) -> Column:
+    v = F.col("v")
+    return F.when(text_at(v, "$.type") == "session", F.struct(text_at(v, "$.cwd").alias("cwd")))
+
+
+def pi(lines: DataFrame, include_content: bool = False, opened_: Opened | None = None) -> DataFrame:
     v, m = F.col("v"), _variant(F.col("v"), "$.message")
     kind, role = text_at(v, "$.type"), text_at(m, "$.role")
-    here = F.last(F.when(kind == "session", F.struct(text_at(v, "$.cwd").alias("cwd"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    stamped = lines.withColumns({"at_text": text_at(v, "$.timestamp"), "project": here["cwd"], "record_key": F.col("line").cast("string")})
+    lines, here = _in_directory(lines, pi_directory(lines), opened_)
+    stamped = lines.withColumns({"at_text": text_at(v, "$.timestamp"), "project": here, "record_key": _line_key()})
     records = stamped.where(F.coalesce(((kind == "session") | (kind == "message") & role.isin("user", "assistant", "toolResult", "bashExecution")), F.lit(False)) & F.try_to_timestamp("at_text").isNotNull())
     is_role = lambda r: (kind == "message") & (role == r)
     content = _variant(m, "$.content")
@@ -263,7 +415,7 @@ def pi(lines: DataFrame, include_content: bool = False, stored: DataFrame | None
         ),
         F.when(is_role("assistant"), calls).otherwise(F.array().cast(f"array<{_MOVE}>")),
     )
-    return assemble(_moves(records, moves), "pi", ("file_path", "path"), include_content, stored=stored)
+    return assemble(_moves(records, moves), "pi", ("file_path", "path"), include_content, opened_=opened_)
 
 
 # ---- OpenCode
@@ -302,8 +454,18 @@ def opencode(spark: SparkSession, root: str, include_content: bool = False, stor
     moves = F.concat(_some(((F.col("role") == "user"), _move("prompt", 0)), ((F.col("role") == "assistant") & (said != ""), _move("decision", 0))), both)
     starts = sessions.where("created is not null").select(F.col("session").alias("file"), F.lit(0).cast("long").alias("line"), stamp(F.col("created")).alias("at_text"), "project", F.lit("session").alias("record_key"), F.array(_move("start", -1)).alias("moves"))
     every = _moves(records.withColumn("moves", moves), F.col("moves")).unionByName(_moves(starts, F.col("moves")))
-    return assemble(unread(every, "opencode", stored), "opencode", ("filePath", "file_path", "path"), include_content, stored=stored)
+    if stored is None:
+        return assemble(every, "opencode", ("filePath", "file_path", "path"), include_content)
+    own = stored.where("source = 'opencode'")
+    done = own.groupBy(F.try_variant_get("metadata", "$['opencode.source_file']", "string").alias("__file")).agg(F.max(F.try_variant_get("metadata", "$['opencode.line']", "long")).alias("lines"), (F.max("sequence") + 1).alias("next_sequence"))
+    left = every.join(done.select("__file", "lines"), F.col("file") == F.col("__file"), "left").where("lines is null or line > lines").drop("__file", "lines")
+    none = F.lit(None)
+    readings = done.select(F.col("__file").alias("file"), F.lit(0).alias("generation"), "lines", none.cast("long").alias("bytes"), none.cast("string").alias("head"), none.cast("int").alias("head_bytes"), "next_sequence", none.cast("string").alias("project"), F.lit(False).alias("reset"))
+    return assemble(left, "opencode", ("filePath", "file_path", "path"), include_content, opened_=Opened(left, settle(readings, "readings"), None))
 
 
 ADAPTERS = {"claude": claude, "codex": codex, "pi": pi}
+DIRECTORIES = {"codex": codex_directory, "pi": pi_directory}
+#: Lines of a file that one task looks through for the directory in force.
+LINES_AT_ONCE = 65_536
 

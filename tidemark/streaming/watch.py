@@ -1,9 +1,9 @@
 """Continuous import of growing JSONL logs.
 
 A tail source reads whole lines past what was read before; a file that shrank, or whose head changed, is read
-anew, which deduplication makes harmless. Each batch goes through the import operators against what is stored
-and is written under its own number, so that a repeated batch replaces itself. There is no watermark: late
-events are taken in wherever their time puts them.
+anew, which deduplication makes harmless. Each batch goes through the import operators against the states of its files and
+the buckets of its ids, and is committed with its number, so that a repeated batch changes nothing. There is no
+watermark: late events are taken in wherever their time puts them.
 
 The source lists and reads files by path, so logs have to be in a folder that driver and executors mount.
 """
@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tidemark.sources.jsonl import ImportOptions, import_events, import_transcripts
+from tidemark.operators.commits import Tables
+from tidemark.operators.tables import scratch, settle
+from tidemark.sources.intake import take
+from tidemark.sources.jsonl import ImportOptions
+from tidemark.sources.lines import numbered
 from tidemark.sources.transcripts import ADAPTERS
 
 HEAD = 4096
@@ -28,8 +32,10 @@ TASK_BYTES = 64 << 20
 
 
 class Piece(InputPartition):
-    def __init__(self, file: str, start: int, end: int):
-        self.file, self.start, self.end = file, start, end
+    """Bytes of a file that a task reads; begin: where this batch begins to read the file."""
+
+    def __init__(self, file: str, start: int, end: int, begin: int):
+        self.file, self.start, self.end, self.begin = file, start, end, begin
 
 
 def _head(path: str, size: int) -> str:
@@ -74,67 +80,60 @@ class TailReader(DataSourceStreamReader):
         for file, now in sorted(end.items()):
             then = start.get(file, {"end": 0, "head": ""})
             grown = then["end"] <= now["end"] and (then["end"] == 0 or _head(os.path.join(self.root, file), then["end"]) == then["head"])
-            at = then["end"] if grown else 0
+            at = begin = then["end"] if grown else 0
             while at < now["end"]:
                 to = min(at + TASK_BYTES, now["end"])
                 if to < now["end"]:
                     to = max(_complete(os.path.join(self.root, file), to), at) or to
                     to = now["end"] if to <= at else to
-                pieces.append(Piece(file, at, to))
+                pieces.append(Piece(file, at, to, begin))
                 at = to
         return pieces
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         with open(os.path.join(self.root, partition.file), "rb") as f:
             f.seek(partition.start)
-            at = partition.start
+            at, k = partition.start, 0
             while at < partition.end:
                 line = f.readline()
-                if line.strip():
-                    yield partition.file, at, line.rstrip(b"\r\n").decode("utf-8", errors="replace")
-                at += len(line)
+                if not line:
+                    break  # the file was cut meanwhile; the next batch sees that
+                yield partition.file, partition.start, k, at, len(line), partition.begin, line.rstrip(b"\r\n").decode("utf-8", errors="replace")
+                at, k = at + len(line), k + 1
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class Tail(DataSource):
-    """spark.readStream.format("jsonl_tail").option("path", …): file, line (the byte a line begins at), text."""
+    """spark.readStream.format("jsonl_tail").option("path", …): file, block and k (piece and place of a line in it), at and bytes (where a line begins, how long it is), begin, text."""
 
     @classmethod
     def name(cls) -> str:
         return "jsonl_tail"
 
     def schema(self) -> str:
-        return "file string, line long, text string"
+        return "file string, block long, k long, at long, bytes long, begin long, text string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return TailReader(self.options["path"], self.options.get("suffix", ".jsonl"))
 
 
-def stored_events(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """What earlier batches stored; None before the first."""
-    try:
-        events = spark.read.parquet(f"{target}/events")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    return events if before is None else events.where(F.col("batch") < before)
+def stored_events(spark: SparkSession, target: str) -> DataFrame | None:
+    """What was stored so far; None before the first commit."""
+    return Tables(spark, target).snapshot().read("events")
 
 
 def take_in(target: str, options: ImportOptions = ImportOptions(), normalize: Callable[..., DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that imports lines into `target`: events, or records that `normalize` (one of transcripts.ADAPTERS) makes events of."""
 
-    def batch(lines: DataFrame, number: int) -> None:
-        spark = lines.sparkSession
-        parsed = lines.withColumn("v", F.try_parse_json("text"))
-        stored = stored_events(spark, target, number)
-        done = import_events(parsed, options, stored) if normalize is None else import_transcripts(parsed, normalize, options, stored)
-        done.events.write.mode("overwrite").parquet(f"{target}/events/batch={number}")
-        done.conflicts.write.mode("overwrite").parquet(f"{target}/conflicts/batch={number}")
-        done.diagnostics.write.mode("overwrite").parquet(f"{target}/diagnostics/batch={number}")
-        done.summary.write.mode("overwrite").parquet(f"{target}/summaries/batch={number}")
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        with scratch():
+            lines = numbered(settle(rows, "tail")).withColumns({"v": F.try_parse_json("text"), "end": F.col("at") + F.col("bytes")}).select("file", "line", "text", "v", "at", "end", "begin")
+            if normalize is None:  # a line's number is where it begins: several batches read a file
+                lines = lines.where(F.length(F.trim("text")) > 0).select("file", F.col("at").alias("line"), "text", "v")
+            take(Tables(spark, target), lines, normalize, options, run=(spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream", number))
 
     return batch
 
