@@ -105,7 +105,8 @@ class Tables:
                     part = uuid.uuid4().hex
                     made.append(f"{name}/part={part}")
                     dealt = df.withColumn("bucket", bucket(*keys[name])) if name in keys else df
-                    writer = dealt.repartition("bucket").sortWithinPartitions("bucket", *keys[name]).write.partitionBy("bucket") if name in keys else dealt.write
+                    # a hot bucket is cut to many tasks, small ones share one
+                    writer = dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", *keys[name]).write.partitionBy("bucket") if name in keys else dealt.write
                     writer.parquet(f"{self.root}/{name}/part={part}")
                     old = [] if anew else tables.get(name, {"parts": []})["parts"]
                     empty = not self._files().exists(self._path(f"{name}/part={part}")) or (name in keys and not any(s.isDirectory() for s in self._files().listStatus(self._path(f"{name}/part={part}"))))
@@ -142,7 +143,7 @@ class Tables:
                 raise VersionConflict(f"version {version} of {self.root} was written by another commit") from None
             raise
 
-    def compact(self, *names: str) -> Snapshot:
+    def compact(self, *names: str, keys: dict[str, list[str]] | None = None) -> Snapshot:
         """Write tables of many appended parts as one part each, with the same rows and buckets."""
         base, replace, by = self.snapshot(), {}, {}
         for name in names:
@@ -151,7 +152,7 @@ class Tables:
                 rows = base.read(name)
                 replace[name] = rows
                 if told["bucketed"]:
-                    by[name] = KEYS[name]
+                    by[name] = (KEYS | (keys or {}))[name]
         return self.commit(base, replace=replace, keys=by) if replace else base
 
     def vacuum(self, keep: int = 2) -> int:

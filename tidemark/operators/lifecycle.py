@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions.ids import equivalence_key, hashed, mutation_id
+from tidemark.operators.chunks import laid_out, near, positions
 from tidemark.operators.detect import CORRECTION, FAILURE, RECOVERY, session_order
 from tidemark.operators.tables import settle
 
@@ -147,11 +148,14 @@ def resolve_prefix(registry: DataFrame, prefix: str, key: str = "mutation_id") -
 
 
 def context_window(events: DataFrame, evidence_ids: DataFrame, radius: int) -> DataFrame:
-    """Events within `radius` rows of an evidence event of their session; is_evidence tells which they are."""
+    """Events within `radius` rows of an evidence event of their session; is_evidence tells which they are.
+
+    Sessions are laid out in ranges and neighbours found by position, so that a giant session is many tasks.
+    """
     touched = events.join(evidence_ids.join(events.select("event_id", "session_id"), "event_id").select("session_id").distinct(), "session_id", "left_semi")
     marked = touched.join(evidence_ids.select("event_id", F.lit(True).alias("is_evidence")).distinct(), "event_id", "left").withColumn("is_evidence", F.coalesce("is_evidence", F.lit(False)))
-    near = F.max(F.col("is_evidence").cast("int")).over(Window.partitionBy("session_id").orderBy(*session_order()).rowsBetween(-radius, radius))
-    return marked.withColumn("__near", near).where("__near = 1").drop("__near")
+    placed = settle(positions(laid_out(marked, ["session_id"], session_order()), ["session_id"], "__place"), "placed")
+    return near(placed, placed.where("is_evidence"), ["session_id"], "__place", radius).drop("__place", "__at")
 
 
 def draft(ops: DataFrame, evidence: DataFrame, mutation: str, selectors: list[str], kind: str = "replay", radius: int = 1) -> DataFrame:
@@ -167,11 +171,12 @@ def draft(ops: DataFrame, evidence: DataFrame, mutation: str, selectors: list[st
     placed = evidence.select("event_id", "role").distinct().join(ops.select("event_id", "session_id"), "event_id", "left")
     if not placed.where("session_id is null").isEmpty():
         raise ValueError("evidence is missing")
-    mixed = placed.groupBy("session_id").agg((F.count_distinct("role") > 1).alias("mixed"))
+    mixed = placed.groupBy("session_id").agg((F.min("role") != F.max("role")).alias("mixed"), F.min("role").alias("side"))
     own = ops.withColumn("selector", X.event_selector(F.col("type"), F.col("tool.name"), F.col("tool.exit_code"), F.col("label")))
-    near = context_window(own, placed.select("event_id"), radius).join(mixed, "session_id").where("is_evidence or not mixed")
+    around = context_window(own, placed.select("event_id"), radius).join(mixed, "session_id").where("is_evidence or not mixed")
     role = placed.select("event_id", "role")
-    sided = near.join(role, "event_id", "left").withColumn("role", F.coalesce("role", F.first("role", ignorenulls=True).over(Window.partitionBy("session_id").orderBy(*session_order()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    # neighbours are only taken where a session has one side
+    sided = around.join(role, "event_id", "left").withColumn("role", F.coalesce("role", "side"))
     order = F.struct("occurred_at", F.coalesce("sequence", F.lit(-1)), "event_id")
     cases = sided.groupBy("session_id", "role").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "event_id", "selector", "is_evidence"))).alias("e"))
     ids = F.transform("e", lambda x: x["event_id"])

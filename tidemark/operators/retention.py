@@ -1,14 +1,16 @@
-"""Deletion of sessions with all that rests on them. Frames go in and the frames to keep come out; writing them is the caller's."""
+"""Deletion of sessions with all that rests on them. Frames go in and the frames to keep come out; `commit_deletion` and `commit_prune` write them, all tables at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import store
+from tidemark.operators.commits import KEYS, Snapshot, Tables
+from tidemark.operators.tables import settle
 
 
 @dataclass
@@ -81,3 +83,33 @@ def deletion_summary(before: Store, after: Store) -> DataFrame:
         gone = count(of(before)).join(count(of(after)).withColumnRenamed("n", "m"), "one").select("one", (F.col("n") - F.col("m")).alias(f"{name}_deleted"))
         rows = gone if rows is None else rows.join(gone, "one")
     return rows.drop("one")
+
+
+def _held(base: Snapshot) -> Store:
+    table = lambda name, schema: base.read(name) if name in base.tables else base.spark.createDataFrame([], schema)
+    cited = "mutation_id string, event_id string"
+    dependents = {n: base.read(n) for n in ("candidates", "transitions", "attestations") if n in base.tables}
+    return Store(base.read("events"), table("evidence", cited), table("replays", cited), table("shadows", cited), table("efficacy", f"efficacy_id string, {cited}"), table("installed", "mutation_id string"), dependents)
+
+
+def commit_deletion(tables: Tables, sessions: DataFrame | None, dry_run: bool = False) -> DataFrame:
+    """Delete sessions (None: all) with what rests on them from the tables of a store, in one commit: its summary, as a settled table.
+
+    The narrow tables of ids and places go with their events. dry_run: the summary alone.
+    """
+    base = tables.snapshot()
+    before = _held(base)
+    after = delete_all(before) if sessions is None else delete_sessions(before, sessions)
+    summary = settle(deletion_summary(before, after), "deleted")
+    if not dry_run:
+        kept = settle(after.events, "kept-events")
+        frames = {"events": kept, "ids": store.identities(kept), "places": store.places(kept), "evidence": after.evidence, "replays": after.replays, "shadows": after.shadows, "efficacy": after.efficacy, "installed": after.installed, **after.dependents}
+        tables.commit(base, replace={n: f for n, f in frames.items() if n in base.tables}, keys=KEYS)
+    return summary
+
+
+def commit_prune(tables: Tables, cutoff: Column, project: str | None = None, dry_run: bool = False) -> DataFrame:
+    """Delete the sessions that ended before cutoff, but for those an active installation rests on."""
+    held = _held(tables.snapshot())
+    doomed = store.doomed_sessions(store.session_rollup(held.events), cutoff, project).select("session_id")
+    return commit_deletion(tables, doomed.join(guarded_sessions(held), "session_id", "left_anti"), dry_run)

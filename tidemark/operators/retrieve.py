@@ -98,16 +98,18 @@ def search(docs: DataFrame, doc: str, text: Column | dict[str, Column], any_of:
     units = list(dict.fromkeys(u for group in any_of for u in group))
     if not units:
         raise ValueError("a query needs a word")
-    if isinstance(text, dict):
-        text = F.concat_ws(" \u2029 ", *(c for name, c in text.items() if not columns or name in columns))
-    listed = docs.select(F.col(doc), words(text).alias("w"))
-    tf, w = F.array(*(_hits(F.col("w"), u) for u in units)), F.col("w")
+    texts = {"": text} if not isinstance(text, dict) else {name: c for name, c in text.items() if not columns or name in columns}
+    # a list of words for each column: phrases and nearness end where a column does
+    lists = [F.coalesce(words(c), F.array().cast("array<string>")) for c in texts.values()]
+    listed = docs.select(F.col(doc), F.array(*lists).alias("w"))
+    count = lambda u: F.aggregate(F.transform("w", lambda w: _hits(w, u)), F.lit(0), lambda a, n: a + n)
+    tf, length = F.array(*(count(u) for u in units)), F.aggregate("w", F.lit(0), lambda n, w: n + F.size(w))
     fits = F.lit(True)
     for u in none_of:
-        fits = fits & (_hits(w, u) == 0)
+        fits = fits & (count(u) == 0)
     for first, second, k in near:
-        fits = fits & _close(w, first, second, k)
-    counted = settle(listed.select(doc, F.size("w").alias("dl"), tf.alias("tf"), fits.alias("fits")), "word-counts")
+        fits = fits & F.exists("w", (lambda a, b, k: lambda w: _close(w, a, b, k))(first, second, k))
+    counted = settle(listed.select(doc, length.alias("dl"), tf.alias("tf"), fits.alias("fits")), "word-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(units)))).withColumn("one", F.lit(1))
     wanted = F.col("fits")
     for group in any_of:

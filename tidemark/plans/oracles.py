@@ -103,6 +103,22 @@ _HELD = """
 owned as (select *, 'mut_k' || k as mutation_id, n % 9 = 0 as ninth from env),
 cited as (select mutation_id, event_id from owned where type = 'tool.failed' or (ninth and type in ('tool.completed', 'tool.called')))"""
 
+def _match(units: list[str], fits: str) -> str:
+    """BM25 of documents by counts of phrases; w and s are the words of text and source."""
+    tf = ", ".join(f"{u} as t{k}" for k, u in enumerate(units))
+    df = ", ".join(f"count(*) filter (t{k} > 0) as d{k}" for k in range(len(units)))
+    score = " + ".join(f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(units)))
+    return f"""with w as (select doc_id, coalesce({_WORDS}, []) as w, coalesce({_WORDS.replace('(text)', '(source)')}, []) as s from documents),
+c as (select doc_id, len(w) + len(s) as dl, w, {tf} from w), a as (select count(*) as n, avg(dl) as avgdl, {df} from c)
+select doc_id, round(-({score}), 6) as bm25 from c, a where {fits}"""
+
+
+def _word(test: str, words: str = "w") -> str:
+    return f"len(list_filter({words}, lambda x: {test}))"
+
+
+_NEAR = "len(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{0}' and list_contains(w[i + 1:i + 7], '{1}'))) > 0"
+
 ORACLE_SQL = {
     "failure_findings": f"""with {_ENV}, {_FAILURES}, groups as (select * from failure_groups), {_SCORE}
 select 'fnd_' || sha256('repeated_command_failure' || chr(0) || signature) as finding_id, signature, n, sessions, cx, ratio_bps, score_bps,
@@ -216,6 +232,24 @@ c as (select doc_id, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as t
 s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (t0 > 0) as d0, count(*) filter (t1 > 0) as d1, count(*) filter (t2 > 0) as d2, count(*) filter (t3 > 0) as d3 from c)
 select doc_id, round(-({" + ".join(f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(4))}), 6) as bm25
 from c, s where t0 > 0 and t1 + t2 + t3 > 0 and not bad""",
+    "match_or": _match([_word("x = 'password'"), _word("x = 'license'"), _word("x = 'token'")], "t0 > 0 or t1 > 0 and t2 = 0"),
+    "match_not": _match([_word("x = 'the'"), _word("x = 'license'"), _word("x = 'password'")], "t0 > 0 and t1 = 0 and t2 = 0"),
+    "match_near": _match([_word("x = 'under'"), _word("x = 'license'"), _word("x = 'the'")], f"t2 > 0 and ({_NEAR.format('under', 'license')} or {_NEAR.format('license', 'under')})"),
+    "match_columns": _match([_word("starts_with(x, 'src1')", "s"), "len(list_filter(range(1, len(w)), lambda i: w[i] = 'under' and w[i + 1] = 'the'))"], "t0 > 0 and t1 > 0"),
+    "match_prefix": _match([_word("starts_with(x, 'licens')"), _word("starts_with(x, 'passw')")], "t0 > 0 or t1 > 0"),
+    "draft_cases": f"""with {_ENV}, cited as (
+  select event_id, session_id, case when type = 'tool.failed' then 'evidence' else 'counterexample' end as role from ops where op = 'shell|job --shard 7' and type <> 'tool.called'
+), sides as (
+  select session_id, count(distinct role) as k, min(role) as side from cited group by session_id
+), marked as (
+  select env.event_id, env.session_id, occurred_at, role, max((role is not null)::int) over (partition by env.session_id order by occurred_at, env.event_id rows between 1 preceding and 1 following) as near
+  from env left join cited using (event_id)
+), cases as (
+  select session_id, case when coalesce(role, side) = 'evidence' then 'intervene' else 'no_op' end as expected, event_id, occurred_at
+  from marked join sides using (session_id) where near = 1 and (role is not null or k = 1)
+)
+select session_id, expected, count(*) as n_events, 'rps_' || sha256('replay-draft/v1' || chr(0) || 'mut_demo' || chr(0) || session_id || chr(0) || expected || chr(0) || string_agg(event_id, chr(0) order by occurred_at, event_id)) as scenario_id
+from cases group by session_id, expected""",
     "guarded_sessions": f"with {_ENV}, {_HELD} select distinct session_id from env join cited using (event_id) where mutation_id in (select mutation_id from owned where type = 'tool.failed' and k % 10 = 0)",
     "deleted_session": f"""with {_ENV}, {_HELD}, lost as (select distinct mutation_id from cited join env using (event_id) where session_id = 'ses_u7')
 select (select count(*) from env where session_id = 'ses_u7') as events_deleted, (select count(*) from (select k from env group by k having count(*) filter (session_id <> 'ses_u7') = 0)) as artifacts_deleted,

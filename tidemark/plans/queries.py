@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions.ids import finding_id, mutation_id
-from tidemark.operators import detect, lifecycle, listings, retention, retrieve, store
-from tidemark.operators.tables import settle
+from tidemark.operators import chunks, detect, fulltext, lifecycle, listings, retention, retrieve, store
+from tidemark.operators.commits import Tables
+from tidemark.operators.tables import settle, shared_dir
 from tidemark.sources.bridge import conversation_events, session_events
 
 
@@ -358,8 +361,8 @@ def full_outer_merge(spark, sf_dir):
 def event_positions(spark, sf_dir):
     """Number of each event in its session."""
     events = session_events(spark, sf_dir)
-    at = F.row_number().over(Window.partitionBy("session_id").orderBy(*detect.session_order())) - 1
-    return events.select("event_id", at.cast("long").alias("at"))
+    laid = chunks.laid_out(events.select("session_id", "event_id", "occurred_at", "sequence"), ["session_id"], detect.session_order())
+    return chunks.positions(laid, ["session_id"], "at").select("event_id", "at")
 
 
 # ---- upserts, retention, listings
@@ -450,6 +453,34 @@ def word_search(spark, sf_dir):
     return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+def _matched(spark, sf_dir, query):
+    """Documents by the MATCH language, from an index of their source and text that is stored first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    index = fulltext.write(Tables(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"), docs, "doc_id", {"source": F.col("source"), "text": F.col("text")})
+    return fulltext.search(index, query).select(F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
+def match_or(spark, sf_dir):
+    return _matched(spark, sf_dir, "password OR license NOT token")
+
+
+def match_not(spark, sf_dir):
+    return _matched(spark, sf_dir, "(the NOT license) NOT password")
+
+
+def match_near(spark, sf_dir):
+    return _matched(spark, sf_dir, "NEAR(under license, 6) AND the")
+
+
+def match_columns(spark, sf_dir):
+    """A beginning in one column and a phrase in the other."""
+    return _matched(spark, sf_dir, 'source : src1* text : "under the"')
+
+
+def match_prefix(spark, sf_dir):
+    return _matched(spark, sf_dir, "licens* OR passw*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -459,6 +490,6 @@ QUERIES = {
         exact_signature_lookup, outcome_filter, project_filter, bm25_terms, phrase_search, hybrid_search, snippets,
         generated_candidates, state_counts, illegal_transitions, latest_verdict, replay_summary, shadow_matrix, efficacy_windows, context_window, draft_cases,
         forward_fill, call_result_pairing, evidence_union, evidence_intersect, missing_evidence, full_outer_merge, event_positions,
-        source_upsert, cursor_upsert, within_span, evidence_presence, session_listing, attested_mutations, applied_transitions, guarded_sessions, deleted_session, surviving_reports, word_search,
+        source_upsert, cursor_upsert, within_span, evidence_presence, session_listing, attested_mutations, applied_transitions, guarded_sessions, deleted_session, surviving_reports, word_search, match_or, match_not, match_near, match_columns, match_prefix,
     )
 }
