@@ -150,7 +150,7 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
 
 def below(diagonal: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sturm counts: how many eigenvalues are smaller than each number."""
-    tiny = np.finfo(float).tiny
+    tiny = np.finfo(float).tiny * max(1.0, 4 * (second**2).max(initial=0.0))
     count, pivot = np.zeros(len(at), dtype=np.int64), np.ones(len(at))
     for k, a in enumerate(diagonal):
         pivot = a - at - (second[k - 1] ** 2 / pivot if k else 0.0)
