@@ -159,7 +159,7 @@ def article_texts(sf):
     return want
 
 
-@pytest.mark.parametrize("sf,least", [("0.001", 1.0), ("0.01", 0.95)])
+@pytest.mark.parametrize("sf,least", [("0.001", 1.0), ("0.01", 0.95), ("0.1", 1.0)])
 def test_wrapper_text_without_article_elements(spark, sf, least):
     want = article_texts(f"/root/testdata/sf{sf}")
     pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
@@ -241,3 +241,64 @@ def test_pipeline_bears_edge_rows(spark):
     for _, stage in p.STAGES[2:]:
         assert stage(spark, docs, SF).count() == len(rows) and stage(spark, docs.limit(0), SF).count() == 0
     assert p.near_duplicates(spark, docs.limit(0), SF).count() == 0 and p.quality(spark, docs.limit(0), SF).count() == 0
+
+
+STORY = [f"word{k} of the story that page {{0}} tells at some length" for k in range(25)]
+
+
+@pytest.mark.parametrize("around", ["<div class=story>{0}</div><article>Teaser {1}</article>", "<div class='content with-sidebar'>{0}</div>", "<div id='search-results-main'>{0}</div>", "<div class='post share-enabled'>{0}</div>", "<div class=wrap><div class='post share-enabled'>{0}</div><div class=comments><p>Bad {1}</p></div></div>", "<main><article>{0}</article></main><div class=comments>{0}{0}</div>"])
+def test_tags_and_words_of_class_are_evidence_only(spark, around):
+    story = lambda k: "".join(f"<p>{x.format(k)}" for x in STORY)
+    pages = [(k, f"http://h.example/{k}", f"<body><nav>Menu</nav>{around.format(story(k), k)}<footer>by us</footer></body>") for k in range(8)]
+    got = {r.page_id: r.text for r in wrapper_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {k: " ".join(x.format(k) for x in STORY) for k in range(8)}
+    assert got == {k: want[k] for k in want}
+
+
+def test_long_and_deep_pages_are_aligned_in_linear_time():
+    import time
+
+    for page in ("<body><article>" + "<h2>head</h2><p>some words here of a text</p>" * 23_000 + "</article>", "<div>" * 20_000 + "x" + "</div>" * 20_000, "".join(f"<div id=n{k}>w</div>" for k in range(10_000)), "<script>" + "</script " * 100_000, "<div>" * 3_000 + "</x>" * 200_000, "".join(f"<div class=n{k % 9}><div>a<div>b{k}</div></div></div>" for k in range(10_000))):
+        began = time.thread_time()
+        root = wrapper_html.parse(page)
+        tree = wrapper_html.skeleton(root)
+        pairs = wrapper_html.simple_tree_matching(tree, tree)
+        wrapper_html.main_text(root, wrapper_html.induce(tree, 5, {i: 5 for i, _ in pairs}, {}))
+        assert time.thread_time() - began < 8 and len(pairs) == len(tree.label)
+
+
+def test_tree_matching_is_the_largest():
+    import functools
+    import random
+
+    rng = random.Random(6)
+
+    def tree(n):
+        parent, labels, path = [-1], ["r"], [0]
+        for k in range(1, n):
+            del path[rng.randrange(1, len(path) + 1) :]
+            parent.append(path[-1])
+            labels.append(rng.choice("abc"))
+            path.append(k)
+        return wrapper_html.Tree(labels, parent, [0] * n, [0] * n)
+
+    def largest(a, b):
+        p, q = a.children(), b.children()
+
+        @functools.cache
+        def size(i, j):
+            if a.label[i] != b.label[j]:
+                return 0
+            best = [[0] * (len(q[j]) + 1) for _ in range(len(p[i]) + 1)]
+            for u, x in enumerate(p[i]):
+                for v, y in enumerate(q[j]):
+                    best[u + 1][v + 1] = max(best[u][v + 1], best[u + 1][v], best[u][v] + size(x, y))
+            return 1 + best[-1][-1]
+
+        return size(0, 0)
+
+    for _ in range(300):
+        a, b = tree(rng.randrange(1, 25)), tree(rng.randrange(1, 25))
+        pairs = wrapper_html.simple_tree_matching(a, b)
+        assert len(pairs) == largest(a, b) and all(a.label[i] == b.label[j] for i, j in pairs)
+        assert all((a.parent[i], b.parent[j]) in pairs for i, j in pairs if i)

@@ -5,18 +5,21 @@ the first in the order of a hash, is its reference, and every page of the group
 matching (the largest order-preserving match of nodes with equal labels). How often each node of the reference is
 met, and how often with the same text, is counted over all pages, first in each partition. Nodes whose text is
 the same on all pages are template, the others are slots, and the innermost node that holds most of the varying
-prose is the content slot; that a page marks an article or its main part is evidence in that choice and no more.
-The wrapper of a group is the way to its slot and the hashes of its constant texts. Every page is read with it.
+prose is the content slot. Prose counts wherever it stands; that it is marked as an article or main part doubles its weight, a
+word of class, id or role that is usual for boilerplate takes it down to an eighth. The wrapper of a group is the way to
+its slot and the hashes of its constant texts. Every page is read with it.
 
-Within the slot, navigation, page headers and footers, asides, forms, scripts, styles, adverts, notices and
-reader comments are left out, by element or by the words of class, id and role. Character references are
+Within the slot, navigation, page headers and footers, asides, forms, scripts and styles are left out by element;
+adverts, notices, reader comments and the like by the words of class, id and role, unless the marked block holds most of
+the slot's text: such a word on a container says nothing about what it holds. Character references are
 decoded, white space inside a block becomes one space, blocks are joined by one space.
 
 Null html counts as empty: text is empty. Pages without a host form a host of their own. A group with less than
 three different pages, or whose pages are copies of one another for the most part, has no constants. Unclosed and
 stray tags are repaired as browsers do in the common cases. Trees are aligned whole: a run of equal neighbours
-(paragraphs, list items, rows) is one node. Repeated rows get a row each; an empty table gives an empty result;
-extra columns, of whatever name, are not carried.
+(paragraphs, list items, rows) is one node, and so is a stretch of siblings whose labels all recur (headings and paragraphs in
+turn). Parsing, measuring and aligning take time near linear in the page. Equally heavy slots: the first one. Repeated rows get a row each; an
+empty table gives an empty result; extra columns, of whatever name, are not carried.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +40,10 @@ from tidemark.llm.session import bound_batches, settle
 
 #: Trees and wrappers of up to so many bytes in all are broadcast; more are joined by page.
 BROADCAST_BYTES = 32 << 20
-#: Runs of so many equal siblings are one node; of paragraphs, items and rows any run is.
+#: Siblings with a label that more than so many of them have are one node where they stand together; of paragraphs, items and rows any run is.
 LONG_RUN = 8
+#: Weights of prose in the choice of the slot, and the share of a block's text from which on it is a container, whatever its marks.
+MARKED, TOLD, CONTAINER = 0.125, 2.0, 0.8
 #: Counts of nodes that a task holds before it passes them on.
 HELD_NODES = 200_000
 
@@ -50,7 +56,7 @@ DROPPED = frozenset("nav footer aside form script style noscript template button
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 IMPLIED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
-# fixed values: words of class, id and role that mark boilerplate
+# our own list of words of class, id and role that are usual for boilerplate: evidence, not a rule
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|comments?|commentlist|respond|replies|disqus|sidebar|side-bar|rail|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|pagination|pager|skip-link|search|complementary|contentinfo|toolbar|tags|legal|disclaimer)(?:$|[\s_-])", re.I)
 OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
 ITEMS = frozenset("p li tr dt dd td th option br hr h1 h2 h3 h4 h5 h6 blockquote pre".split())
@@ -58,10 +64,11 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children")
+    __slots__ = ("tag", "mark", "children", "hash", "size", "prose")
 
     def __init__(self, tag: str, mark: str = ""):
         self.tag, self.mark, self.children = tag, mark, []
+        self.hash, self.size, self.prose = 0, 0, 0.0
 
     @property
     def label(self) -> str:
@@ -69,7 +76,47 @@ class Node:
 
     @property
     def dropped(self) -> bool:
-        return self.tag in DROPPED or bool(self.mark and self.tag not in ("body", "html", "article", "main") and MARKS.search(self.mark))
+        return self.tag in DROPPED
+
+    @property
+    def marked(self) -> bool:
+        return bool(self.mark and self.tag not in ("body", "html", "article", "main") and MARKS.search(self.mark))
+
+
+def measure(root: Node) -> Node:
+    """root with, for each node: the hash of its texts in order, characters that may be content, and weighted prose; links and boilerplate elements have none."""
+    todo: list = [(root, 1.0, False)]
+    while todo:
+        x, weight, done = todo.pop()
+        if not done:
+            if x.dropped or x.tag == "a":
+                weight = 0.0
+            elif x.marked:
+                weight *= MARKED if weight > 1e-9 else 1.0
+            elif x.tag in ("article", "main") and weight <= 1.0:
+                weight *= TOLD
+            todo.append((x, weight, True))
+            todo.extend((c, weight, False) for c in x.children if isinstance(c, Node))
+            continue
+        parts, x.size, x.prose = [], 0, 0.0
+        for c in x.children if x.tag not in RAW else ():
+            if isinstance(c, Node):
+                if c.tag not in RAW and c.hash != NOTHING:
+                    parts.append(f"\0{c.hash}")
+                x.size += c.size
+                x.prose += c.prose
+            elif text := " ".join(c.split()):
+                parts.append(text)
+                x.size += len(text)
+                x.prose += len(text) * weight
+        if x.dropped:
+            x.size = 0
+        # a node around one other has the hash of that one: what tells texts apart is text
+        x.hash = int(parts[0][1:]) if len(parts) == 1 and parts[0].startswith("\0") else xxhash.xxh64_intdigest("\n".join(parts)) if parts else NOTHING
+    return root
+
+
+NOTHING = 0
 
 
 def _closed_by(tag: str, stack: list[Node]) -> int:
@@ -122,7 +169,7 @@ class _Ends:
 def parse(text: str) -> Node:
     """The document as a tree; text children are strings with references undecoded."""
     root, ends = Node("#root"), _Ends(text)
-    stack, at, n = [root], 0, len(text)
+    stack, at, n, opened = [root], 0, len(text), Counter()
     while at < n:
         m = OPEN.search(text, at) if ends.find(">", at) >= 0 else None
         if m is None:
@@ -147,76 +194,70 @@ def parse(text: str) -> Node:
             break
         rest, at, tag = text[m.end() : close], close + 1, tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:  # else the tag closes nothing, which is known without a look at all open elements
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
+                opened.subtract(x.tag for x in stack[k:])
+                del stack[k:]
             continue
         mark = " ".join(" ".join((a or b or c).split()) for _, a, b, c in ATTR.findall(rest)) if rest.strip() else ""
         node = Node(tag, mark)
-        del stack[_closed_by(tag, stack) :]
+        left = _closed_by(tag, stack)
+        opened.subtract(x.tag for x in stack[left:])
+        del stack[left:]
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
-            node.children.append(text[at : end.start() if end else n])
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(text, at)
+            close = ends.find(">", end.end()) if end else -1
+            node.children.append(text[at : end.start() if close >= 0 else n])
+            at = close + 1 if close >= 0 else n
         elif tag not in VOID and not rest.endswith("/"):
             stack.append(node)
-    return root
+            opened[tag] += 1
+    return measure(root)
 
 
 def content(node: Node, constants: frozenset[int] = frozenset(), inside: bool = False) -> str:
     """Text of a subtree without boilerplate; constant blocks are left out too where they are given."""
     out: list[str] = []
-    todo: list = [(node, inside)]
+    todo: list = [(node, inside, node.size)]
     while todo:
-        x, within = todo.pop()
+        x, within, around = todo.pop()
         if isinstance(x, str):
             out.append(entities.unescape(x) if "&" in x else x)
             continue
-        if x is not node and (x.dropped or x.tag == "header" and not within):
-            out.append(" ")
-            continue
-        if constants and x is not node and x.tag not in INLINE and text_hash(x) in constants:
-            continue
+        if x is not node:
+            if x.dropped or x.tag == "header" and not within:
+                out.append(" ")
+                continue
+            if x.marked:
+                if x.size <= CONTAINER * around:
+                    out.append(" ")
+                    continue
+                around = x.size
+            if constants and x.tag not in INLINE and x.hash in constants:
+                continue
         within = within or x.tag in ("article", "main")
         gap = x.tag not in INLINE
         if gap:
             out.append(" ")
-            todo.append((" ", within))
-        todo.extend((c, within) for c in reversed(x.children))
-    return " ".join("".join(out).split())
-
-
-def full_text(node: Node) -> str:
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in RAW:
-            out.append(" ")
-            todo.extend(reversed(x.children))
+            todo.append((" ", within, around))
+        todo.extend((c, within, around) for c in reversed(x.children))
     return " ".join("".join(out).split())
 
 
-def text_hash(node: Node) -> int:
-    return xxhash.xxh32_intdigest(full_text(node))
-
-
 def blocks(node: Node) -> list[tuple[str, list[Node]]]:
-    """The block children of a node in order, equal neighbours as one run: (label, nodes)."""
-    runs: list[tuple[str, list[Node]]] = []
-    for c in node.children:
-        if isinstance(c, Node) and c.tag not in INLINE | RAW | VOID:
-            if runs and runs[-1][0] == c.label:
-                runs[-1][1].append(c)
-            else:
-                runs.append((c.label, [c]))
-    out = []
-    for label, run in runs:
-        out += [(label, run)] if len(run) == 1 or run[0].tag in ITEMS or len(run) > LONG_RUN else [(label, [x]) for x in run]
-    return out
+    """The block children of a node in order: (label, nodes). Equal neighbours, and stretches of siblings with labels that recur, are one."""
+    kids = [c for c in node.children if isinstance(c, Node) and c.tag not in INLINE | RAW | VOID]
+    times = Counter(c.label for c in kids)
+    out: list[tuple[set[str], list[Node]]] = []
+    for c in kids:
+        often, last = times[c.label] > LONG_RUN, out[-1] if out else (set(), [])
+        if out and (often and all(times[x] > LONG_RUN for x in last[0]) or c.tag in ITEMS and last[0] == {c.label}):
+            last[0].add(c.label)
+            last[1].append(c)
+        else:
+            out.append(({c.label}, [c]))
+    return [("+".join(sorted(labels)), run) for labels, run in out]
 
 
 @dataclass
@@ -243,23 +284,19 @@ class Tree:
 
 
 def skeleton(root: Node) -> Tree:
-    """The tree of blocks. If a page marks articles or a main part, the prose of these counts, and no other."""
-    told = any(_outermost(root, tag) for tag in ("article", "main"))
-    out, todo = Tree([], [], [], []), [("#root", [root], -1, False, not told)]
+    """The tree of blocks."""
+    out, todo = Tree([], [], [], []), [("#root", [root], -1)]
     while todo:
-        label, run, parent, bare, inside = todo.pop()
-        number, x = len(out.label), run[0]
-        bare, inside = bare or x.dropped or x.tag == "a", inside or x.tag in ("article", "main")
-        kids = blocks(x) if len(run) == 1 else []
-        whole = 0 if bare or not inside else sum(len(content(y)) for y in run)
+        label, run, parent = todo.pop()
+        number, prose = len(out.label), sum(x.prose for x in run)
         out.label.append(label)
         out.parent.append(parent)
-        out.text.append(xxhash.xxh32_intdigest(" ".join(map(full_text, run))))
-        out.prose.append(whole)
-        todo.extend((name, nodes, number, bare, inside) for name, nodes in reversed(kids))
+        out.text.append(run[0].hash if len(run) == 1 else xxhash.xxh64_intdigest("\n".join(str(x.hash) for x in run)))
+        out.prose.append(prose)
+        todo.extend((name, nodes, number) for name, nodes in reversed(blocks(run[0]) if len(run) == 1 else []))
     whole = list(out.prose)
     for k in range(1, len(out.label)):  # own prose is what children don't have
-        out.prose[out.parent[k]] = max(0, out.prose[out.parent[k]] - whole[k])
+        out.prose[out.parent[k]] = max(0.0, out.prose[out.parent[k]] - whole[k])
     return out
 
 
@@ -271,37 +308,63 @@ def layout(tree: Tree) -> int:
     return xxhash.xxh64_intdigest("\n".join(dict.fromkeys(f"{d} {x}" for d, x in zip(depth, tree.label) if d <= 3))) - (1 << 63)
 
 
+def _heaviest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
+    """Of pairs (place here, place there, weight) those of the heaviest chain that ascends in both.
+
+    Pairs are taken by rows; a Fenwick tree holds the heaviest chain that ends at or before each place there: pairs x log n steps.
+    """
+    best: list[int] = [-1] * (n + 1)  # numbers of pairs
+    total, before = [0] * len(pairs), [-1] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (pairs[k][0], -pairs[k][1]))  # within a row from the right, so that none follows another
+    for k in order:
+        _, v, weight = pairs[k]
+        at, top = v, -1
+        while at > 0:
+            if best[at] >= 0 and (top < 0 or total[best[at]] > total[top]):
+                top = best[at]
+            at -= at & -at
+        total[k], before[k] = weight + (total[top] if top >= 0 else 0), top
+        at = v + 1
+        while at <= n:
+            if best[at] < 0 or total[best[at]] < total[k]:
+                best[at] = k
+            at += at & -at
+    k = max(range(len(pairs)), key=total.__getitem__, default=-1)
+    out = []
+    while k >= 0:
+        out.append(pairs[k][:2])
+        k = before[k]
+    return out[::-1]
+
+
 def simple_tree_matching(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Node pairs of the largest match of two trees that keeps labels, order and parents."""
+    """Node pairs of the largest match of two trees that keeps labels, order and parents.
+
+    Only siblings with equal labels are compared, of which there are few on either side, for what recurs is one node.
+    """
     kids_a, kids_b = a.children(), b.children()
+    chains: dict[tuple[int, int], list[tuple[int, int]]] = {}
     size: dict[tuple[int, int], int] = {}
-    rows: dict[tuple[int, int], list[list[int]]] = {}
+    equal: dict[tuple[int, int], list[tuple[int, int]]] = {}
     todo = [(0, 0, False)]
     while todo:  # children first, without recursion: pages may be nested deeply
         i, j, ready = todo.pop()
         p, q = kids_a[i], kids_b[j]
         if not ready:
+            places: dict[str, list[int]] = {}
+            for v, y in enumerate(q):
+                places.setdefault(b.label[y], []).append(v)
+            equal[i, j] = [(u, v) for u, x in enumerate(p) for v in places.get(a.label[x], ())]
             todo.append((i, j, True))
-            todo.extend((x, y, False) for x in p for y in q if a.label[x] == b.label[y])
+            todo.extend((p[u], q[v], False) for u, v in equal[i, j])
             continue
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for u, x in enumerate(p):
-            for v, y in enumerate(q):
-                best[u + 1][v + 1] = max(best[u][v + 1], best[u + 1][v], best[u][v] + size.get((x, y), 0))
-        size[i, j], rows[i, j] = best[-1][-1] + 1, best
+        chains[i, j] = _heaviest([(u, v, size[p[u], q[v]]) for u, v in equal.pop((i, j))], len(q))
+        size[i, j] = 1 + sum(size[p[u], q[v]] for u, v in chains[i, j])
     matched, todo = [], [(0, 0)] if a.label[0] == b.label[0] else []
     while todo:
         i, j = todo.pop()
         matched.append((i, j))
-        best, u, v = rows[i, j], len(kids_a[i]), len(kids_b[j])
-        while u and v:
-            if best[u][v] == best[u - 1][v]:
-                u -= 1
-            elif best[u][v] == best[u][v - 1]:
-                v -= 1
-            else:
-                u, v = u - 1, v - 1
-                todo.append((kids_a[i][u], kids_b[j][v]))
+        todo.extend((kids_a[i][u], kids_b[j][v]) for u, v in chains[i, j])
     return matched
 
 
@@ -336,19 +399,6 @@ def induce(reference: Tree, pages: int, met: dict[int, int], same: dict[int, int
     return json.dumps({"slot": way, "constant": constant})
 
 
-def _outermost(root: Node, tag: str) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str) or x.dropped:
-            continue
-        if x.tag == tag:
-            out.append(x)
-        else:
-            todo.extend(reversed(x.children))
-    return out
-
-
 def main_text(root: Node, wrapper: str | None) -> str:
     """Main text of one page, by the wrapper of its group."""
     told = json.loads(wrapper) if wrapper else {"slot": [], "constant": []}
