@@ -163,3 +163,77 @@ def test_deletion_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert retention.commit_deletion(tables, doomed).first().events_deleted == 3
     after = tables.snapshot()
     assert [after.read(t).count() for t in ("events", "ids", "places")] == [2, 2, 2]
+
+
+def test_a_tree_of_files_is_watched_behind_its_frontier(spark, tmp_path):
+    """A message that ends later is taken once, as it ended; later ones wait for it; what is taken is not read again."""
+    root, target = tmp_path / "storage", str(tmp_path / "out")
+
+    def put(path, value):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(value if isinstance(value, str) else json.dumps(value))
+
+    def message(k, role, status=None, session="ses_1"):
+        put(f"message/{session}/msg_{session}_{k}.json", {"id": f"msg_{session}_{k}", "role": role, "time": {"created": 1_700_000_000_000 + k, "completed": 1}})
+        if status:
+            put(f"part/msg_{session}_{k}/prt_1.json", {"type": "tool", "tool": "bash", "callID": f"c{k}", "state": {"status": status, "input": {"command": "ls"}}})
+
+    def cycle():
+        watch.watch(spark, str(root), target, interval=None, adapter="opencode").awaitTermination(180)
+        return [(r.session_id[-3:], r.sequence, r.type) for r in watch.stored_events(spark, target).orderBy("session_id", "sequence").collect()]
+
+    for session in ("ses_1", "ses_2"):
+        put(f"session/p/{session}.json", {"id": session, "directory": "/w", "time": {"created": 1_700_000_000_000}})
+    message(0, "user")
+    message(1, "assistant", "running")
+    message(2, "user")
+    message(0, "user", session="ses_2")
+    first = cycle()
+    assert sorted(t for _, _, t in first) == ["prompt.submitted", "prompt.submitted", "session.started", "session.started"]
+    version = commits.Tables(spark, target).snapshot().version
+    assert cycle() == first and commits.Tables(spark, target).snapshot().version == version
+    message(1, "assistant", "error")
+    put("message/ses_1/msg_ses_1_3.json", "{no json")
+    second = cycle()
+    one = [x for x in second if x not in first]
+    assert [t for _, _, t in one] == ["tool.called", "tool.failed", "prompt.submitted"] and [k for _, k, _ in one] == [2, 3, 4] and len(second) == len(first) + 3
+    message(3, "assistant", "completed")
+    assert [t for _, _, t in cycle() if True][-2:] != [] and len(cycle()) == len(second) + 2
+    told = commits.Tables(spark, target).snapshot().read("summaries").agg(F.sum("duplicates"), F.sum("conflicts")).first()
+    assert tuple(told) == (0, 0)
+
+
+def test_a_failing_source_is_reported_once_and_started_again(spark, tmp_path):
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.jsonl").write_text("".join(json.dumps({"n": k}) + "\n" for k in range(3)))
+    said, calls = [], {"bad": 0, "good": 0}
+
+    def batch(name):
+        def run(df, number):
+            calls[name] += 1
+            if name == "bad" and calls[name] <= 3:
+                raise ValueError("the disk is gone")
+        return run
+
+    def start(name):
+        spark.dataSource.register(watch.Cycles)
+        return spark.readStream.format("cycles").load().writeStream.foreachBatch(batch(name)).option("checkpointLocation", str(tmp_path / name / "_offsets")).trigger(processingTime="200 milliseconds").start()
+
+    keeper = watch.Supervisor(spark, {"bad": ("x", ""), "good": ("x", "")}, str(tmp_path), report=lambda *x: said.append(x), pause=0.1, longest=0.3, start=start)
+    import time
+
+    until = time.monotonic() + 120
+    while time.monotonic() < until and not (calls["bad"] >= 5 and calls["good"] >= 5 and "bad" not in keeper.errors):
+        assert keeper.step()
+        time.sleep(0.1)
+    keeper.stop()
+    assert [n for n, _ in said] == ["bad"] and "the disk is gone" in said[0][1]
+    assert (keeper.failures, keeper.suppressed) == (1, 2) and calls["bad"] >= 5 and calls["good"] >= 5 and keeper.errors == {}
+
+
+def test_sources_that_fail_to_start_leave_others_running(spark, tmp_path):
+    said = []
+    logs = written(tmp_path / "logs", [say(1)])
+    keeper = watch.Supervisor(spark, {"none": ("claude", str(tmp_path / "missing")), "one": ("claude", logs)}, str(tmp_path / "out"), interval=None, report=lambda *x: said.append(x))
+    keeper.run()
+    assert watch.stored_events(spark, str(tmp_path / "out" / "one")).count() == 2

@@ -60,11 +60,46 @@ def take(tables: Tables, lines: DataFrame, normalize: Callable[..., DataFrame] |
                 known = base.of_keys("places", lines.select(session), ["session_id"])
                 resume.known = None if known is None else known.select("event_id", "sequence")
             done = jsonl.import_transcripts(lines, normalize, options, None, include_content, resume, index_of(base))
-        events = settle(done.events, "accepted")
-        version = F.lit(base.version + 1).alias("version")
-        append = {"events": events, "ids": store.identities(events), "places": store.places(events), "conflicts": done.conflicts, "diagnostics": done.diagnostics, "summaries": done.summary}
-        if normalize is not None:
-            append |= {"states": done.frames["states"].select("*", version), "open_calls": done.frames["open_calls"].select("*", version)}
-        last = events.agg(F.max("ingest_seq")).first()[0]
-        notes = {"last_ingest": max(base.notes.get("last_ingest", 0), last or 0)} | ({"runs": base.notes.get("runs", {}) | {run[0]: run[1]}} if run is not None else {})
-        return tables.commit(base, append=append, notes=notes, keys=KEYS, dry_run=dry_run)
+        return _commit(tables, base, done, options, run, {}, dry_run)
+
+
+def _commit(tables: Tables, base: Snapshot, done: jsonl.Imported, options: jsonl.ImportOptions, run: tuple[str, int] | None, notes: dict, dry_run: bool) -> Snapshot:
+    events = settle(done.events, "accepted")
+    version = F.lit(base.version + 1).alias("version")
+    append = {"events": events, "ids": store.identities(events), "places": store.places(events), "conflicts": done.conflicts, "diagnostics": done.diagnostics, "summaries": done.summary}
+    append |= {name: done.frames[name].select("*", version) for name in ("states", "open_calls") if name in done.frames}
+    last = events.agg(F.max("ingest_seq")).first()[0]
+    notes = notes | {"last_ingest": max(base.notes.get("last_ingest", 0), last or 0)} | ({"runs": base.notes.get("runs", {}) | {run[0]: run[1]}} if run is not None else {})
+    return tables.commit(base, append=append, notes=notes, keys=KEYS, dry_run=dry_run)
+
+
+def take_tree(tables: Tables, root: str, options: jsonl.ImportOptions | None = None, include_content: bool = False, run: tuple[str, int] | None = None, dry_run: bool = False) -> Snapshot:
+    """Import what is new in a tree of session, message and part files (transcripts.opencode), and commit.
+
+    Only sessions with a file changed since the last import are looked at, and of them only messages behind the frontier are read.
+    """
+    base, options, spark = tables.snapshot(), options or jsonl.ImportOptions(), tables.spark
+    if run is not None and base.notes.get("runs", {}).get(run[0], -1) >= run[1]:
+        return base
+    with scratch():
+        files = settle(transcripts.opencode_files(spark, root), "tree")
+        newest = files.agg(F.max("changed_at").alias("t")).select(F.date_format("t", SECONDS)).first()[0]
+        since = base.notes.get("changed_at")
+        since = None if since is None else F.to_timestamp(F.lit(since), SECONDS) - F.expr("interval 2 seconds")  # file times are coarse
+        known = _latest(base.read("states"), base.read("states").select("file").distinct()) if "states" in base.tables else None
+        known = None if known is None else settle(known.drop("version"), "frontiers")
+        sessions, paths = transcripts.opencode_changes(files, since, known)
+        if sessions.isEmpty():
+            return base
+        texts = settle(transcripts.opencode_texts(spark, root, paths), "texts")
+        frontiers = None if known is None else settle(known.join(sessions.select(F.col("session").alias("file")), "file", "left_semi"), "frontiers")
+        events, taken = transcripts.opencode_import(spark, root, include_content, None, frontiers, texts)
+        events = settle(events, "tree-events")
+        if events.isEmpty():
+            return base
+        done = jsonl.import_records(events, options, index=index_of(base))
+        done.frames["states"] = transcripts.opencode_states(events, taken, frontiers)
+        return _commit(tables, base, done, options, run, {"changed_at": newest}, dry_run)
+
+
+SECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSS"

@@ -130,6 +130,12 @@ def import_transcripts(lines: DataFrame, normalize: Callable[..., DataFrame], op
     return done
 
 
+def import_records(events: DataFrame, options: ImportOptions = ImportOptions(), stored: DataFrame | None = None, index: Index | None = None) -> Imported:
+    """The same for events that a source has made already (file, line and the envelope)."""
+    made = settle(events.withColumn("well_formed", F.col("occurred_at").isNotNull()), "decoded")
+    return _import(made, made, options, stored, index)
+
+
 @dataclass
 class Index:
     """What a store knows of a batch: ids and places of stored events that can meet it, by functions of the batch; the last number given."""

@@ -421,28 +421,81 @@ def pi(lines: DataFrame, include_content: bool = False, opened_: Opened | None =
 # ---- OpenCode
 
 
-def opencode(spark: SparkSession, root: str, include_content: bool = False, stored: DataFrame | None = None) -> DataFrame:
-    """A tree of small JSON files: session/<project>/<id>, message/<session>/<id>, part/<message>/<id>.
+def opencode_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, changed_at, level, parent, name of all files of a tree; Spark lists them, none is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
+    at = F.split("path", "/")
+    return listed.select("path", F.col("modificationTime").alias("changed_at"), F.element_at(at, -3).alias("level"), F.element_at(at, -2).alias("parent"), F.regexp_replace(F.element_at(at, -1), r"\.json$", "").alias("name"))
+
+
+def opencode_changes(files: DataFrame, since, frontiers: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(sessions, paths): session of all sessions with a file changed since then, and the files to read of them: the session's own, its messages behind the frontier, their parts."""
+    messages = files.where("level = 'message'").select(F.col("parent").alias("session"), F.col("name").alias("message"), "path", "changed_at")
+    parts = files.where("level = 'part'").select(F.col("parent").alias("message"), F.col("path"), "changed_at").join(messages.select("message", "session"), "message")
+    own = files.where("level = 'session'").select(F.col("name").alias("session"), F.lit(None).cast("string").alias("message"), "path", "changed_at")
+    every = settle(own.unionByName(messages).unionByName(parts), "tree-files")
+    sessions = every if since is None else every.where(F.col("changed_at") >= F.lit(since))
+    sessions = settle(sessions.select("session").distinct(), "changed-sessions")
+    wanted = every.join(sessions, "session", "left_semi")
+    if frontiers is not None:
+        wanted = wanted.join(small(frontiers.select(F.col("file").alias("session"), "head")), "session", "left").where("message is null or head is null or message > head")
+    return sessions, wanted.select("path")
+
+
+#: Files whose paths are handed to the reader one by one; of more than so many the tree is read and joined with them.
+PATHS = 20_000
+
+
+def opencode_texts(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
+    """path, value: whole files of a tree, or those in paths."""
+    reader = lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    read = lambda *places: reader().text(list(places), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    if paths is None:
+        return read(root)
+    paths = settle(paths, "paths")
+    few = [r.path for r in paths.limit(PATHS + 1).collect()]
+    if not few:
+        return spark.createDataFrame([], "path string, value string")
+    if len(few) <= PATHS:
+        return read(*few)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return read(root).join(paths.select(plain(F.col("path")).alias("__path")), plain(F.col("path")) == F.col("__path"), "left_semi")
+
+
+def opencode(spark: SparkSession, root: str, include_content: bool = False, stored: DataFrame | None = None, frontiers: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Events of a tree of small JSON files: session/<project>/<id>, message/<session>/<id>, part/<message>/<id>.
 
     Messages count in the order of their ids, up to the first whose tools have not all ended (or, of an assistant,
-    that is not completed): from there on a session is left for a later import, which takes the messages that `stored`
-    does not have.
+    that is not completed): from there on a session is left for a later import, which goes on behind the frontier.
+    frontiers: STATE rows, of which head is the last message taken; without them, what `stored` holds is left out.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    path = F.split(F.col("_metadata.file_path"), "/")
+    return opencode_import(spark, root, include_content, stored, frontiers, texts)[0]
+
+
+def opencode_import(spark: SparkSession, root: str, include_content: bool = False, stored: DataFrame | None = None, frontiers: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, messages taken: session, message, line)."""
+    whole = opencode_texts(spark, root) if texts is None else texts
+    path = F.split("path", "/")
     files = whole.select(F.element_at(path, -3).alias("level"), F.element_at(path, -2).alias("parent"), F.regexp_replace(F.element_at(path, -1), r"\.json$", "").alias("name"), F.try_parse_json("value").alias("v"))
     sessions = files.where("level = 'session' and v is not null").select(F.coalesce(text_at(F.col("v"), "$.id"), "name").alias("session"), text_at(F.col("v"), "$.directory").alias("project"), F.try_variant_get("v", "$.time.created", "long").alias("created"))
-    messages = files.where("level = 'message' and v is not null").select(F.col("parent").alias("session"), F.coalesce(text_at(F.col("v"), "$.id"), "name").alias("message"), text_at(F.col("v"), "$.role").alias("role"), F.try_variant_get("v", "$.time.created", "long").alias("created"), F.try_variant_get("v", "$.time.completed", "long").alias("completed"))
+    # a message that can't be read stops its session like one that isn't finished
+    messages = files.where("level = 'message'").select(F.col("parent").alias("session"), F.coalesce(text_at(F.col("v"), "$.id"), "name").alias("message"), F.col("v").isNull().alias("unread"), text_at(F.col("v"), "$.role").alias("role"), F.try_variant_get("v", "$.time.created", "long").alias("created"), F.try_variant_get("v", "$.time.completed", "long").alias("completed"))
     parts = files.where("level = 'part' and v is not null").select(F.col("parent").alias("message"), F.col("name").alias("part"), "v")
     status = text_at(F.col("v"), "$.state.status")
     is_tool = text_at(F.col("v"), "$.type") == "tool"
     listed = parts.groupBy("message").agg(F.array_sort(F.collect_list(F.struct("part", F.to_json("v").alias("j")))).alias("parts"), F.max((is_tool & ~F.coalesce(status.isin("completed", "error"), F.lit(False))).cast("int")).alias("open"))
     told = messages.join(listed, "message", "left").join(sessions.select("session", "project"), "session")
-    deferred = (F.coalesce("open", F.lit(0)) == 1) | ((F.col("role") == "assistant") & F.col("completed").isNull())
-    told = told.withColumn("__frontier", F.min(F.when(deferred, F.col("message"))).over(Window.partitionBy("session"))).where("__frontier is null or message < __frontier")
-    turn = F.row_number().over(Window.partitionBy("session").orderBy("message"))
+    if frontiers is not None:
+        told = told.join(small(frontiers.select(F.col("file").alias("session"), "head", F.col("lines").alias("__lines"))), "session", "left").where("head is null or message > head")
+    else:
+        told = told.withColumn("__lines", F.lit(0).cast("long"))
+    told = settle(told, "messages")
+    deferred = F.col("unread") | (F.coalesce("open", F.lit(0)) == 1) | ((F.col("role") == "assistant") & F.col("completed").isNull())
+    stops = told.where(deferred).groupBy("session").agg(F.min("message").alias("__stop"))
+    told = told.join(stops, "session", "left").where("__stop is null or message < __stop").drop("__stop")
+    told = positions(laid_out(told, ["session"], [F.col("message")]), ["session"], "__k").withColumn("line", F.col("__k") + 1 + F.coalesce("__lines", F.lit(0)))
     stamp = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    records = told.select(F.col("session").alias("file"), turn.cast("long").alias("line"), stamp(F.col("created")).alias("at_text"), "project", F.col("message").alias("record_key"), "role", F.transform(F.coalesce("parts", F.array().cast("array<struct<part:string,j:string>>")), lambda x: F.try_parse_json(x["j"])).alias("b")).where("at_text is not null")
+    records = told.select(F.col("session").alias("file"), "line", stamp(F.col("created")).alias("at_text"), "project", F.col("message").alias("record_key"), "role", F.transform(F.coalesce("parts", F.array().cast("array<struct<part:string,j:string>>")), lambda x: F.try_parse_json(x["j"])).alias("b")).where("at_text is not null")
     said = _joined_text(F.col("b"))
     placed = F.transform("b", lambda b, i: F.struct(b.alias("b"), i.alias("i")))
     tools = F.filter(placed, lambda x: F.coalesce((text_at(x["b"], "$.type") == "tool") & text_at(x["b"], "$.tool").isNotNull(), F.lit(False)))
@@ -454,14 +507,31 @@ def opencode(spark: SparkSession, root: str, include_content: bool = False, stor
     moves = F.concat(_some(((F.col("role") == "user"), _move("prompt", 0)), ((F.col("role") == "assistant") & (said != ""), _move("decision", 0))), both)
     starts = sessions.where("created is not null").select(F.col("session").alias("file"), F.lit(0).cast("long").alias("line"), stamp(F.col("created")).alias("at_text"), "project", F.lit("session").alias("record_key"), F.array(_move("start", -1)).alias("moves"))
     every = _moves(records.withColumn("moves", moves), F.col("moves")).unionByName(_moves(starts, F.col("moves")))
-    if stored is None:
-        return assemble(every, "opencode", ("filePath", "file_path", "path"), include_content)
-    own = stored.where("source = 'opencode'")
-    done = own.groupBy(F.try_variant_get("metadata", "$['opencode.source_file']", "string").alias("__file")).agg(F.max(F.try_variant_get("metadata", "$['opencode.line']", "long")).alias("lines"), (F.max("sequence") + 1).alias("next_sequence"))
-    left = every.join(done.select("__file", "lines"), F.col("file") == F.col("__file"), "left").where("lines is null or line > lines").drop("__file", "lines")
+    taken = told.select("session", "message", "line", "project")
+    keys = ("filePath", "file_path", "path")
     none = F.lit(None)
-    readings = done.select(F.col("__file").alias("file"), F.lit(0).alias("generation"), "lines", none.cast("long").alias("bytes"), none.cast("string").alias("head"), none.cast("int").alias("head_bytes"), "next_sequence", none.cast("string").alias("project"), F.lit(False).alias("reset"))
-    return assemble(left, "opencode", ("filePath", "file_path", "path"), include_content, opened_=Opened(left, settle(readings, "readings"), None))
+    if frontiers is not None:
+        readings = frontiers.select(*(c.split()[0] for c in STATE.split(", "))).withColumn("reset", F.lit(False))
+    elif stored is not None:
+        own = stored.where("source = 'opencode'")
+        done = own.groupBy(F.try_variant_get("metadata", "$['opencode.source_file']", "string").alias("__file")).agg(F.max(F.try_variant_get("metadata", "$['opencode.line']", "long")).alias("lines"), (F.max("sequence") + 1).alias("next_sequence"))
+        every = every.join(done.select("__file", "lines"), F.col("file") == F.col("__file"), "left").where("lines is null or line > lines").drop("__file", "lines")
+        readings = done.select(F.col("__file").alias("file"), F.lit(0).alias("generation"), "lines", none.cast("long").alias("bytes"), none.cast("string").alias("head"), none.cast("int").alias("head_bytes"), "next_sequence", none.cast("string").alias("project"), F.lit(False).alias("reset"))
+    else:
+        return assemble(every, "opencode", keys, include_content), taken
+    return assemble(every, "opencode", keys, include_content, opened_=Opened(every, settle(readings, "readings"), None)), taken
+
+
+def opencode_states(events: DataFrame, taken: DataFrame, frontiers: DataFrame | None) -> DataFrame:
+    """STATE rows of the sessions of which messages were taken: head is the last of them."""
+    last = taken.groupBy(F.col("session").alias("file")).agg(F.max("line").alias("lines"), F.max("message").alias("head"), F.max_by("project", "line").alias("project"))
+    sequences = events.groupBy("file").agg((F.max("sequence") + 1).alias("__next"))
+    out = last.join(sequences, "file", "left")
+    if frontiers is not None:
+        out = out.join(frontiers.select("file", F.col("next_sequence").alias("__had")), "file", "left")
+    else:
+        out = out.withColumn("__had", F.lit(None).cast("long"))
+    return out.select("file", F.lit(0).alias("generation"), "lines", F.lit(0).cast("long").alias("bytes"), "head", F.lit(0).alias("head_bytes"), F.greatest("__next", "__had").alias("next_sequence"), "project")
 
 
 ADAPTERS = {"claude": claude, "codex": codex, "pi": pi}
