@@ -232,6 +232,33 @@ c as (select doc_id, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as t
 s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (t0 > 0) as d0, count(*) filter (t1 > 0) as d1, count(*) filter (t2 > 0) as d2, count(*) filter (t3 > 0) as d3 from c)
 select doc_id, round(-({" + ".join(f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(4))}), 6) as bm25
 from c, s where t0 > 0 and t1 + t2 + t3 > 0 and not bad""",
+    "constraint_violations": f"""with {_ENV}, e as (
+  select n, k, type as sound_type, case when n % 997 = 3 then 'event' when n % 1009 = 8 then 'evt_8' else event_id end as event_id, case when n % 499 <> 7 then session_id end as session_id, case when n % 701 = 5 then 'tool.other' else type end as type,
+    case when n % 503 = 4 then -n else n % 2000 end as sequence, case when n % 311 = 6 then 'evt_' else 'evt_' || (n - 1) end as parent, n % 353 = 2 as bad_json, n % 401 = 9 as short
+  from env
+), s as (
+  select session_id, min(project) as project from env where n % 3 < 2 group by session_id having cast(substr(session_id, 6) as bigint) % 50 <> 11
+), b as (
+  select event_id, 'src/' || k || '.py' as path from env
+), known as (
+  select event_id from e
+)
+select * from (
+  select 'events' as "table", 'given(event_id,session_id,occurred_at,type,content_hash)' as rule, count(*) as violations from e where session_id is null
+  union all select 'events', 'unique(event_id)', (select count(*) from (select event_id from e group by event_id having count(*) > 1))
+  union all select 'events', 'unique(session_id,sequence)', (select count(*) from (select session_id, sequence from e where session_id is not null group by all having count(*) > 1))
+  union all select 'events', 'prefix(event_id)', count(*) from e where event_id = 'event'
+  union all select 'events', 'prefix(parent_event_id)', count(*) from e where parent = 'evt_'
+  union all select 'events', 'one_of(type)', count(*) from e where type = 'tool.other'
+  union all select 'events', 'at_least(sequence)', count(*) from e where sequence < 0
+  union all select 'events', 'json(metadata_json)', count(*) from e where bad_json
+  union all select 'events', 'hash(content_hash)', count(*) from e where short
+  union all select 'events', 'refers(session_id)', count(*) from e where session_id is not null and session_id not in (select session_id from s)
+  union all select 'sessions', 'at_least(events)', count(*) from s where project = '/repo/p1'
+  union all select 'event_artifacts', 'some(path,uri,digest)', count(*) from b where path like '%7.py'
+  union all select 'event_artifacts', 'refers(event_id)', count(*) from b where event_id not in (select event_id from known)
+  union all select 'event_artifacts', 'refers(artifact_id)', count(*) from b where path like '%7.py'
+) where violations > 0""",
     "match_or": _match([_word("x = 'password'"), _word("x = 'license'"), _word("x = 'token'")], "t0 > 0 or t1 > 0 and t2 = 0"),
     "match_not": _match([_word("x = 'the'"), _word("x = 'license'"), _word("x = 'password'")], "t0 > 0 and t1 = 0 and t2 = 0"),
     "match_near": _match([_word("x = 'under'"), _word("x = 'license'"), _word("x = 'the'")], f"t2 > 0 and ({_NEAR.format('under', 'license')} or {_NEAR.format('license', 'under')})"),

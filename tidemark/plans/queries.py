@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions.ids import finding_id, mutation_id
-from tidemark.operators import chunks, detect, fulltext, lifecycle, listings, retention, retrieve, store
+from tidemark.operators import chunks, constraints, detect, fulltext, lifecycle, listings, retention, retrieve, store
 from tidemark.operators.commits import Tables
 from tidemark.operators.tables import settle, shared_dir
 from tidemark.sources.bridge import conversation_events, session_events
@@ -453,6 +453,22 @@ def word_search(spark, sf_dir):
     return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+def constraint_violations(spark, sf_dir):
+    """Broken rules of a store in which events were damaged in ten ways and some sessions and artifacts are gone."""
+    n = F.col("n")
+    text = lambda c, every, at, instead: F.when(n % every == at, F.lit(instead)).otherwise(c)
+    own = session_events(spark, sf_dir).withColumn("n", _number())
+    events = own.select(
+        text(F.when(n % 1009 == 8, F.lit("evt_8")).otherwise(F.col("event_id")), 997, 3, "event").alias("event_id"), text(F.col("session_id"), 499, 7, None).alias("session_id"), "occurred_at", text(F.col("type"), 701, 5, "tool.other").alias("type"),
+        F.when(n % 503 == 4, -n).otherwise(n % 2000).alias("sequence"), text(F.concat(F.lit("evt_"), n - 1), 311, 6, "evt_").alias("parent_event_id"), text(F.lit("{}"), 353, 2, "{no json").alias("metadata_json"), F.expr("substring(sha2(event_id, 256), 1, if(n % 401 = 9, 63, 64))").alias("content_hash"),
+    )
+    sessions = store.session_rollup(own.where("n % 3 < 2")).where(F.expr("cast(substring(session_id, 6) as bigint) % 50 <> 11")).withColumn("events", F.when(F.col("project") == "/repo/p1", -F.col("events")).otherwise(F.col("events")))
+    bridge = store.event_artifacts(own).withColumn("path", F.when(F.col("path").like("%7.py"), F.lit(None)).otherwise(F.col("path")))
+    known = store.artifacts(bridge).where("path is not null")
+    found = constraints.violations({"events": events, "sessions": sessions, "event_artifacts": bridge, "artifacts": known})
+    return found.groupBy("table", "rule").agg(F.count("*").alias("violations"))
+
+
 def _matched(spark, sf_dir, query):
     """Documents by the MATCH language, from an index of their source and text that is stored first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
@@ -490,6 +506,6 @@ QUERIES = {
         exact_signature_lookup, outcome_filter, project_filter, bm25_terms, phrase_search, hybrid_search, snippets,
         generated_candidates, state_counts, illegal_transitions, latest_verdict, replay_summary, shadow_matrix, efficacy_windows, context_window, draft_cases,
         forward_fill, call_result_pairing, evidence_union, evidence_intersect, missing_evidence, full_outer_merge, event_positions,
-        source_upsert, cursor_upsert, within_span, evidence_presence, session_listing, attested_mutations, applied_transitions, guarded_sessions, deleted_session, surviving_reports, word_search, match_or, match_not, match_near, match_columns, match_prefix,
+        source_upsert, cursor_upsert, within_span, evidence_presence, session_listing, attested_mutations, applied_transitions, guarded_sessions, deleted_session, surviving_reports, word_search, match_or, match_not, match_near, match_columns, match_prefix, constraint_violations,
     )
 }
