@@ -206,6 +206,19 @@ def test_fixity_offsets_against_a_plain_loop(spark):
     assert leaves == {k: (sum(n for x, n in copies.items() if x[0] == k), begin[k]) for k in begin}
 
 
+def masked(text):
+    """The text with every secret replaced, by a plain loop over matches of the three kinds."""
+    spans = []
+    for pattern, group, least in ((r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), (r"AKIA[A-Z0-9]+", 0, 16), (r"[0-9a-f]+", 0, 32)):
+        spans += [m.span() for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    out, at = "", 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return None if text is None else out + text[at:]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     from tidemark.llm import bpe, secrets
@@ -226,6 +239,7 @@ def test_pipeline_stages(spark):
         if name == "secrets":
             assert len(after) == len(before)
             assert sum("[SECRET]" in (t or "") for _, t in after) == secrets.findings(kept, secrets.extend_ledger(kept)).where("size(spans) > 0").count()
+            assert sorted(after, key=str) == sorted(((i, masked(t)) for i, t in before), key=str)
         kept = out
     coder = bpe.ByteBPE(bpe.read_vocabulary(queries.vocabulary_path()))
     assert {(r.doc_id, r.n_tokens) for r in p.tokens(spark, kept, SF).collect()} == {(r.doc_id, len(coder.encode(r.text))) for r in kept.collect()}
@@ -238,6 +252,15 @@ def test_pipeline_bears_edge_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     one = collections.Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, docs, SF).collect())
     assert one == collections.Counter([(1, None), (1, None), (2, ""), (3, rows[3][1]), (None, "no id"), (5, rows[7][1])])
+    twins = spark.createDataFrame([(7, "words that stand here twice over", lang, "s", 3) for lang in ("fr", "de", "en")], docs.schema)
+    for parts in (1, 3):
+        assert [r.lang for r in p.near_duplicates(spark, twins.repartition(parts), SF).collect()] == ["de"]
+    long = "very long text of many words " * 60_000
+    clash = spark.createDataFrame([(k, t, "en", "s", 3, "r", 1) for k, t in ((1, long), (2, None), (3, "secret: abcdefgh123"))], "doc_id long, text string, lang string, source string, n_chars long, row string, version int")
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, clash, SF)
+        assert got.columns == clash.columns and (name == "quality" or got.count() == 3)
+    assert {r.doc_id: r.text for r in p.secret_scan(spark, clash, SF).collect()} == {1: long, 2: None, 3: "[SECRET]"}
     for _, stage in p.STAGES[2:]:
         assert stage(spark, docs, SF).count() == len(rows) and stage(spark, docs.limit(0), SF).count() == 0
     assert p.near_duplicates(spark, docs.limit(0), SF).count() == 0 and p.quality(spark, docs.limit(0), SF).count() == 0

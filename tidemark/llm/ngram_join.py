@@ -18,7 +18,8 @@ copies costs rows in proportion to its size.
 Null texts and texts without words have empty sets and link with nothing. Texts are used whole, short ones as
 one shingle. Repeated rows get a row each; of the rows with one text the least id that is not null stands for
 all; an empty table gives an empty result; extra columns, of whatever name, are not carried. Members are
-compared by 64-bit hashes.
+compared by 64-bit hashes. Ties: of blocks that equally many sets share the one with the smaller key ranks first, of
+equally weighty classes the one with the greater number is the pivot; neither changes which texts are linked.
 """
 
 from __future__ import annotations
@@ -173,11 +174,13 @@ def meeting_keys(keys: DataFrame) -> DataFrame:
 
     A class that shares many keys with many others is the likely centre of its group.
     """
-    shared = settle(keys.repartition("key").dropDuplicates(["key", "class"]).selectExpr("*", "count(*) over (partition by key) as size").where("size > 1"), "shared-keys")
-    ranked = shared.repartition("class").selectExpr("key", "class", "left", "row_number() over (partition by class, key & 63 order by size desc, key) as place", "sum(size) over (partition by class) as weight").where("place > left")
-    meeting = ranked.repartition("key").selectExpr("key", "class", "max(struct(weight, class)) over (partition by key) as most", "count(*) over (partition by key) as size")
-    out = settle(meeting.where("size > 1").selectExpr("key", "class", "most.class as pivot"), "buckets")
-    release(shared)
+    once = settle(keys.dropDuplicates(["key", "class"]), "keys")
+    # a key that a third of all classes have is counted before it is shuffled, and its rows meet that count in a join that can be split
+    shared = settle(once.join(once.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "shared-keys")
+    ranked = settle(shared.repartition("class").selectExpr("key", "class", "left", "row_number() over (partition by class, key & 63 order by size desc, key) as place", "sum(size) over (partition by class) as weight").where("place > left").select("key", "class", "weight"), "ranked-keys")
+    met = ranked.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("most"), F.count("*").alias("size")).where("size > 1").select("key", F.col("most.class").alias("pivot"))
+    out = settle(ranked.select("key", "class").join(met, "key"), "buckets")
+    release(once, shared, ranked)
     return out
 
 
@@ -347,7 +350,11 @@ class Join:
     def _open(self, linked: DataFrame) -> DataFrame:
         """key, class, component of the buckets that hold several components."""
         named = self.buckets.select("key", "class").join(small(components(linked).withColumnRenamed("node", "class")), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-        return settle(named.selectExpr("*", "min(component) over (partition by key) as low", "max(component) over (partition by key) as high").where("low <> high").drop("low", "high"), "open")
+        named = settle(named, "named")
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        out = settle(named.join(mixed, "key"), "open")
+        release(named)
+        return out
 
     def links(self) -> DataFrame:
         """a, b: links between classes, enough to connect all that are connected."""
