@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the docs of the next one. All but the last return the columns of documents, and any others that docs has,
 whatever their names. Rows with a null doc_id, null, empty and very long texts pass through like any others: null
 and empty texts have a quality score, are no one's near-duplicate, have no benchmark words, secrets or tokens. Of
-equal rows with a text one stays, without words all; an empty table stays empty. ORACLE_SQL is None: trained scores and BPE are beyond SQL, so tests hold each stage
+rows with equal id and text the least one stays (by its columns as JSON), without words all; an empty table stays empty. ORACLE_SQL is None: trained scores and BPE are beyond SQL, so tests hold each stage
 against a brute-force version.
 """
 
@@ -44,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if again.isEmpty():
         return kept
     once = _without(kept, again, "left_semi")
-    return _without(kept, again).unionByName(unpacked(packed(once).dropDuplicates(["doc_id", "version"]), docs))
+    least = packed(once).groupBy("doc_id", "version").agg(F.min_by("row", F.to_json("row")).alias("row"))  # whatever runs, the same row stays
+    return _without(kept, again).unionByName(unpacked(least, docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
