@@ -255,20 +255,21 @@ def index_grammars(ops: DataFrame) -> DataFrame:
 def failures_up_to(failed: DataFrame, instants: DataFrame) -> DataFrame:
     """t, total_to, classifiable_to, total_before, classifiable_before: failures up to and with, and before, each instant t.
 
-    Days are counted once and summed up; only the days that an instant lies in are looked into.
+    Failures and instants are merged in order of time and summed up once: inside ranges of time that are equally full, and over
+    the ranges, of which there are as many as partitions.
     """
-    by_time = failed.groupBy("occurred_at").agg(F.count("*").alias("total"), F.count("operation_key").alias("classifiable")).withColumn("day", F.to_date("occurred_at"))
-    by_day = by_time.groupBy("day").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"))
-    marks = instants.select("t", F.to_date("t").alias("day")).distinct()
-    # a row for each day, far fewer than events: one running total over them
-    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = by_day.unionByName(marks.select("day", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("classifiable"))).groupBy("day").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"))
-    earlier = days.select("day", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("total_day"), F.coalesce(F.sum("classifiable").over(upto), F.lit(0)).alias("classifiable_day"))
-    within = marks.join(by_time, "day", "left").groupBy("t", "day").agg(
-        *(F.coalesce(F.sum(F.when(F.col("occurred_at") <= F.col("t"), F.col(c))), F.lit(0)).alias(f"{c}_to") for c in ("total", "classifiable")),
-        *(F.coalesce(F.sum(F.when(F.col("occurred_at") < F.col("t"), F.col(c))), F.lit(0)).alias(f"{c}_before") for c in ("total", "classifiable")),
-    )
-    return within.join(earlier, "day").select("t", *((F.col(f"{c}_day") + F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in ("total", "classifiable") for k in ("to", "before")))
+    none = F.lit(0).cast("long")
+    counted = failed.groupBy(F.col("occurred_at").alias("t")).agg(F.count("*").alias("total"), F.count("operation_key").alias("classifiable"))
+    asked = instants.select("t").distinct().select("t", none.alias("total"), none.alias("classifiable"), F.lit(True).alias("asked"))
+    merged = counted.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("t").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"), F.max("asked").alias("asked"))
+    laid = laid_out(merged, [], [F.col("t").asc()]).withColumn("range", F.shiftright("__at", 33))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = laid.groupBy("range").agg(F.sum("total").alias("total"), F.sum("classifiable").alias("classifiable"))
+    earlier = ranges.select("range", F.coalesce(F.sum("total").over(upto), none).alias("total_range"), F.coalesce(F.sum("classifiable").over(upto), none).alias("classifiable_range"))
+    inside = Window.partitionBy("range").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = laid.select("t", "range", "asked", *(c for n in ("total", "classifiable") for c in (F.col(n), F.sum(n).over(inside).alias(f"{n}_in")))).where("asked")
+    to = lambda n: F.col(f"{n}_range") + F.col(f"{n}_in")
+    return summed.join(F.broadcast(earlier), "range").select("t", *(c for n in ("total", "classifiable") for c in (to(n).alias(f"{n}_to"), (to(n) - F.col(n)).alias(f"{n}_before"))))  # a row for each partition
 
 
 def efficacy(ops: DataFrame, installed: DataFrame) -> DataFrame:
@@ -280,7 +281,8 @@ def efficacy(ops: DataFrame, installed: DataFrame) -> DataFrame:
     a mismatch; of several selectors of a mutation one is enough.
     """
     spans = installed.withColumn("q", X.parsed_selector(F.col("selector"))).withColumn("pre_start", F.expr("installed_at - (now - installed_at)"))
-    spans = spans.select("mutation_id", "selector", "installed_at", "now", "pre_start", F.col("q.operation_key").alias("operation_key"), F.col("q.exit_code").alias("exit_code"))
+    # whatever installations are derived from is worked out once; five steps use them
+    spans = settle(spans.select("mutation_id", "selector", "installed_at", "now", "pre_start", F.col("q.operation_key").alias("operation_key"), F.col("q.exit_code").alias("exit_code")), "spans")
     # operations are derived from events once
     keyed = settle(ops.where((F.col("type") == "tool.failed") | F.col("operation_key").isNotNull()).select("event_id", "session_id", "occurred_at", "type", "operation_key", F.col("tool.exit_code").alias("code")), "keyed-events")
     failed = keyed.where("type = 'tool.failed'").drop("type")
@@ -289,7 +291,8 @@ def efficacy(ops: DataFrame, installed: DataFrame) -> DataFrame:
     side = met.groupBy("mutation_id", "session_id").agg(F.count_if(~F.col("post")).alias("pre"), F.count_if("post").alias("post"))
     tally = side.groupBy("mutation_id").agg(F.sum("pre").alias("pre_n"), F.sum("post").alias("post_n"), F.count_if(F.col("pre") > 0).alias("pre_sessions"), F.count_if(F.col("post") > 0).alias("post_sessions"))
     bounds = spans.select("mutation_id", F.col("pre_start").alias("lo"), F.col("now").alias("hi")).groupBy("mutation_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    marks = failures_up_to(failed, bounds.select(F.col("lo").alias("t")).union(bounds.select("hi")))
+    bounds = settle(bounds, "bounds")
+    marks = settle(failures_up_to(failed, bounds.select(F.col("lo").alias("t")).union(bounds.select("hi"))), "marks")
     low = marks.select(F.col("t").alias("lo"), "total_before", "classifiable_before")
     high = marks.select(F.col("t").alias("hi"), "total_to", "classifiable_to")
     covered = bounds.join(low, "lo").join(high, "hi").select("mutation_id", (F.col("total_to") - F.col("total_before")).alias("total"), (F.col("classifiable_to") - F.col("classifiable_before")).alias("classifiable"))

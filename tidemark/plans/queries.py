@@ -17,7 +17,9 @@ from tidemark.sources.bridge import conversation_events, session_events
 
 
 def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.with_operation(session_events(spark, sf_dir))
+    """Events with their operations, derived once: detectors read them several times. What no query asks of operations is left out."""
+    rows = detect.with_operation(session_events(spark, sf_dir)).drop("artifacts", "metadata", "spec_version", "occurred_at_text", "parent_event_id")
+    return settle(rows.withColumn("tool", F.struct("tool.name", "tool.exit_code")), "operations")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,8 +290,7 @@ def shadow_matrix(spark, sf_dir):
     return out.select("mutation_id", "observations", "tp", "tn", "fp", "fn", *(F.col(c).cast("long").alias(c) for c in ("precision_bps", "false_positive_rate_bps", "recall_bps")), F.array_join("threshold_failures", ",").alias("threshold_failures"), "passed")
 
 
-def _installed(spark, sf_dir):
-    ops = _ops(spark, sf_dir)
+def _installed(ops):
     span = ops.agg(F.min("occurred_at").alias("first"), F.max("occurred_at").alias("last")).withColumn("one", F.lit(1))
     signed = ops.where("failure_signature is not null").select("failure_signature").distinct().withColumn("one", F.lit(1))
     middle = F.expr("timestamp_micros((unix_micros(first) + unix_micros(last)) div 2)")
@@ -297,7 +298,8 @@ def _installed(spark, sf_dir):
 
 
 def efficacy_windows(spark, sf_dir):
-    out = lifecycle.efficacy(_ops(spark, sf_dir), _installed(spark, sf_dir))
+    ops = _ops(spark, sf_dir)
+    out = lifecycle.efficacy(ops, _installed(ops))
     whole = ("pre_n", "post_n", "pre_sessions", "post_sessions", "pre_rate_milli", "post_rate_milli", "delta_bps", "coverage_bps")
     return out.select("mutation_id", *(F.col(c).cast("long").alias(c) for c in whole), F.array_join("reasons", ",").alias("reasons"), "verdict")
 
