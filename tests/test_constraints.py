@@ -71,3 +71,18 @@ def test_a_draft_holds_what_it_says(spark):
         lifecycle.draft(ops, cited.withColumn("event_id", F.lit("gone")).limit(1), "mut_1", [])
     with pytest.raises(ValueError, match="both"):
         lifecycle.draft(ops, cited.unionByName(cited.withColumn("role", F.lit("x"))), "mut_1", [])
+
+
+def test_package_violations_name_places_and_provenance(spark):
+    shape = "mutation_id string, version string, title string, support array<string>, counter array<string>, failure_cases array<string>, exclusions array<string>, selectors array<string>, permissions array<string>, minimum_success_rate_bps int, maximum_false_positive_rate_bps int, minimum_replays int, spec_version string, generated_by string, provenance struct<provider:string,model_name:string,model_revision:string,manifest_spec_version:string,model_digest:string>"
+    told = ("p", "m", "r", "v", None)
+    row = lambda i, replays, spec, by, source, support=("evt_1", "evt_2"), exclusions=("x",): (i, "1.0.0", "t", list(support), ["evt_3"], ["f"], list(exclusions), ["s"], [], 9_000, 100, replays, spec, by, source)
+    rows = [
+        row("mut_1", 1, "mutation/0.1", "deterministic_template_v1", None), row("mut_2", 1, "mutation/0.2", "model_synthesis_v1", told), row("mut_3", 1, "mutation/0.1", "deterministic_template_v1", told), row("mut_4", 1, "mutation/0.2", "model_synthesis_v1", None),
+        row("mut_5", 0, "mutation/0.2", "deterministic_template_v1", told), row("mut_6", 1, "mutation/0.2", "model_synthesis_v1", (" ", "m", None, "v", "")), row("mut_7", 1, "mutation/0.1", "deterministic_template_v1", None, ("evt_1", "ses_2", "evt_3"), ("x", " ")), row("mut_8", 1, "mutation/0.3", "deterministic_template_v1", None),
+    ]
+    got = sorted((r.mutation_id, r.path, r.code) for r in lifecycle.package_violations(spark.createDataFrame(rows, shape)).collect())
+    assert got == [
+        ("mut_3", "provenance", "unexpected_provenance"), ("mut_4", "provenance", "required"), ("mut_5", "generated_by", "provenance_mismatch"), ("mut_5", "minimum_replays", "minimum"),
+        ("mut_6", "provenance.model_digest", "blank"), ("mut_6", "provenance.model_revision", "blank"), ("mut_6", "provenance.provider", "blank"), ("mut_7", "", "conflicting_evidence"), ("mut_7", "exclusions[1]", "blank"), ("mut_7", "support[1]", "invalid_id"), ("mut_8", "generated_by", "unknown"),
+    ]

@@ -82,6 +82,48 @@ def package_errors(packages: DataFrame) -> DataFrame:
     return packages.withColumn("errors", F.array_compact(F.array(*rules)))
 
 
+#: Which generator a version of the package format goes with, and whether its packages tell where they are from.
+GENERATORS = {"mutation/0.1": ("deterministic_template_v1", False), "mutation/0.2": ("model_synthesis_v1", True)}
+_TOLD = ("provider", "model_name", "model_revision", "manifest_spec_version")
+
+
+def _each(items: str, path: str, code: str, wrong) -> Column:
+    """A violation for each element that is wrong, with its place in the path."""
+    placed = F.transform(F.coalesce(F.col(items), F.array().cast("array<string>")), lambda x, i: F.when(wrong(x), F.struct(F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]")).alias("path"), F.lit(code).alias("code"))))
+    return F.array_compact(placed)
+
+
+def package_violations(packages: DataFrame) -> DataFrame:
+    """mutation_id, path, code: a row for each broken rule of each package, with the place of the element that breaks it.
+
+    Besides package_errors: ids of cited events, blank exclusions and selectors, and, where packages has the columns, minimum_replays
+    and the contract between spec_version, generated_by and provenance (a struct of provider, model_name, model_revision,
+    manifest_spec_version, model_digest): a deterministic package tells no provenance, a model's tells all of it.
+    """
+    blank = lambda x: F.coalesce(F.length(X.trimmed(x)) == 0, F.lit(True))
+    no_event = lambda x: ~F.coalesce(x.rlike(r"^evt_[A-Za-z0-9._:-]{1,127}$"), F.lit(False))
+    plain = F.transform("errors", lambda e: F.struct(F.lit("").alias("path"), e.alias("code")))
+    found = [plain, _each("support", "support", "invalid_id", no_event), _each("counter", "counter", "invalid_id", no_event), _each("exclusions", "exclusions", "blank", blank), _each("selectors", "selectors", "blank", blank)]
+    one = lambda when, path, code: F.when(when, F.struct(F.lit(path).alias("path"), F.lit(code).alias("code")))
+    single = []
+    if "minimum_replays" in packages.columns:
+        single.append(one(F.coalesce(F.col("minimum_replays") < 1, F.lit(True)), "minimum_replays", "minimum"))
+    if {"spec_version", "generated_by", "provenance"} <= set(packages.columns):
+        known = F.col("spec_version").isin(*GENERATORS) & F.col("generated_by").isin(*(g for g, _ in GENERATORS.values()))
+        pairs = [(F.col("spec_version") == v) & (F.col("generated_by") == g) for v, (g, _) in GENERATORS.items()]
+        told = F.col("provenance").isNotNull()
+        single.append(one(known & ~(pairs[0] | pairs[1]), "generated_by", "provenance_mismatch"))
+        single.append(one(~F.coalesce(known, F.lit(False)), "generated_by", "unknown"))
+        for pair, (_, wanted) in zip(pairs, GENERATORS.values()):
+            single.append(one(pair & ~told, "provenance", "required") if wanted else one(pair & told, "provenance", "unexpected_provenance"))
+            if wanted:
+                single += [one(pair & told & blank(F.col(f"provenance.{c}")), f"provenance.{c}", "blank") for c in _TOLD]
+                single.append(one(pair & told & F.col("provenance.model_digest").isNotNull() & blank(F.col("provenance.model_digest")), "provenance.model_digest", "blank"))
+    if single:
+        found.append(F.array_compact(F.array(*single)))
+    return package_errors(packages).select("mutation_id", F.explode(F.concat(*found)).alias("v")).select("mutation_id", "v.path", "v.code")
+
+
 def register(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     """candidates with outcome: duplicate (same id and content), conflict (same id, other content), equivalent_existing, inserted.
 
