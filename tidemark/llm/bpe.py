@@ -7,6 +7,7 @@ heap, so that a text without spaces costs n log n.
 
 Nulls count as empty texts (no tokens). Texts of any length are encoded whole; repeated rows get a row
 each; an empty table gives an empty one. Extra columns are not carried, except those asked for.
+Of equal least ranks the leftmost boundary goes first, as in the library.
 """
 
 from __future__ import annotations

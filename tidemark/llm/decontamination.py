@@ -10,6 +10,7 @@ texts are read. It is used up to BROADCAST_TERMS terms; beyond, all lists are st
 Null texts have no words: no windows, no hits. Items with equal texts are items of their own. Repeated
 document rows get a row each (rows equal in id and text share one lookup); an empty corpus gives an empty
 result, an empty benchmark no hits. Rows with a null doc_id are looked up like others. Texts are used whole; extra columns are not carried.
+Of equally rare words of a window any two may be asked for: every window that occurs holds them all.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ A leaf sums up hashes of its records' offsets, lengths, copies and digests, so t
 yet a record number that holds many rows is added up before it is shuffled: offsets come from running sums in
 chunks of a number's digests and over these chunks. Null payloads, urls or numbers are records like any other
 (null and empty differ by their length field); an empty replica lacks everything; equal rows are counted. Extra
-columns are not read.
+columns are not read. Payloads of any length are hashed whole.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ table. A score is the logistic of the sum of looked-up bins.
 The tables are learned from at most `max_train` labelled rows, taken in the order of a hash of doc_id;
 features and scores cover all rows and whole texts. Null text counts as empty, which has a score like
 any other; repeated rows get a row each; rows of an empty table none. Without labelled rows of both
-kinds the model is a constant. Null labels are left out; of several labels of a doc_id the mean counts.
+kinds the model is a constant. Null labels are left out; of several labels of a doc_id the mean counts,
+a tie as 1. Labelled ids with equal hashes go in the order of doc_id. Extra columns, of whatever name, do no harm and are
+carried only where asked for.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ least 1/HOT of the training tokens (so at most HOT of them) are looked up in eac
 Texts are lower-cased (A-Z). Null text counts as empty, which has one token, the end. Very long texts are
 scored whole. Repeated rows, even of one doc_id, get a row each; an empty table gives none; without
 training rows every byte is coded with the same length. A null doc_id counts as held out.
+Which of equally frequent runs or words are looked up and which are joined changes no score. Extra columns are not carried.
 """
 
 from __future__ import annotations

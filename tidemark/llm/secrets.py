@@ -8,6 +8,7 @@ the rules, and never again in a later run.
 Null text counts as empty, which has no findings. Texts of any length are scanned whole. Repeated rows and
 rows with equal texts get a row each; empty tables give empty results. Extra columns of the documents are
 not carried; columns named like ours in them do no harm.
+Spans that begin together stand in the order of the rules.
 """
 
 from __future__ import annotations
