@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.tables import shared_dir
 
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +58,5 @@ def small(df: DataFrame) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by rows, and by bytes where this Spark can, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
