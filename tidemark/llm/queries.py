@@ -146,7 +146,7 @@ with vectors as (
   select anchor_id, vec_id as positive_id, score as positive_score from scored where same
   qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
 )
-select anchor_id, positive_id, row_number() over w as rank, vec_id as negative_id, positive_score, score as negative_score
+select anchor_id, positive_id, (row_number() over w)::int as rank, vec_id as negative_id, positive_score, score as negative_score
 from positives join scored using (anchor_id)
 where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
 window w as (partition by anchor_id, positive_id order by score desc, vec_id)
