@@ -10,14 +10,14 @@ from tidemark.operators.tables import settle, small
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows (file, block, k: place in the block from 0, bytes: of the line and its end) with line (from 1) and end (bytes of all the file's lines).
+    """rows (file, block, k: ascending in a block, bytes: of the line and its end) with line (from 1), and of the file: end (bytes of all lines), count (of lines), tail (bytes of the last one).
 
     rows are settled. Lines are counted by block; running sums over a file's blocks give where each block begins.
     """
-    blocks = rows.groupBy("file", "block").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("filled"))
+    blocks = rows.groupBy("file", "block").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("filled"), F.max_by("bytes", "k").alias("tail"))
     own = Window.partitionBy("file")
     before = F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    told = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("filled").over(own).alias("end"))
+    told = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("filled").over(own).alias("end"), F.sum("n").over(own).alias("count"), F.max_by("tail", "block").over(own).alias("tail"))
     told = small(settle(told, "blocks"))
     met = rows.join(told, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
     return met.withColumn("line", (F.col("before") + F.col("k") - F.col("first") + 1).cast("long")).drop("__file", "__block", "first", "before")
@@ -33,11 +33,8 @@ def read(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     meta = F.col("_metadata")
     rows = raw.select(F.regexp_replace(meta["file_path"], base, F.lit("")).alias("file"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("text"), (F.octet_length("value") + 1).cast("long").alias("bytes"))
     placed = numbered(settle(rows, "lines"))
-    # without a line end at the end of the file, one byte was counted too much
-    last = F.col("end") > F.col("size")
-    ends = small(settle(placed.where(last).groupBy("file").agg(F.max_by(F.struct("line", "bytes"), "line").alias("tail")).select(F.col("file").alias("__file"), "tail"), "tails"))
-    met = placed.join(ends, F.col("file") == F.col("__file"), "left")
-    return met.select("file", "line", F.regexp_replace("text", "\r$", "").alias("text"), (F.col("end") - F.coalesce("tail.bytes", F.lit(0))).alias("end"), F.coalesce(F.col("line") == F.col("tail.line"), F.lit(False)).alias("partial"))
+    cut = F.col("end") > F.col("size")  # without a line end at the end of the file, one byte was counted too much
+    return placed.select("file", "line", F.regexp_replace("text", "\r$", "").alias("text"), (F.col("end") - F.when(cut, F.col("tail")).otherwise(0)).alias("end"), (cut & (F.col("line") == F.col("count"))).alias("partial"))
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
