@@ -353,6 +353,35 @@ def test_held_out_recall_of_toxicity(toxic_found):
     assert _share([r.predicted == 1 for r in toxic_found if r.label == 1]) > 0.95
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word of the 300 toxic rows that come last by hash of doc_id, of 2,900, tells; the other toxic rows hold another one."""
+    rng, filler = np.random.default_rng(4), ["lorem", "ipsum", "dolor", "amet", "elit", "sed"]
+    ids = [r.doc_id for r in spark.range(7_300).withColumnRenamed("id", "doc_id").where(~gam.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()][:5_800]
+    toxic = set(ids[::2])
+    late = set(sorted(toxic, key=ids.index)[2_600:])
+    rows = [(i, " ".join([*rng.choice(filler, 6), *(["zorkig"] if i in late else ["blahum"] if i in toxic else [])]), "en") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    asked = spark.createDataFrame([(-1, "lorem zorkig sed", "en"), (-2, "lorem blahum sed", "en"), (-3, "lorem ipsum sed", "en")], docs.schema)
+    assert [r.predicted for r in toxicity.score(asked, model).orderBy(F.desc("doc_id")).collect()] == [1, 1, 0]
+    assert set(model.thresholds) == {"en"}
+
+
+def test_thresholds_of_toxicity_against_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, 5)) for _ in range(300)]
+    model = toxicity.fit([x for t in texts for *_, x in toxicity._ids_of(pa.array([t]))], np.array([float("w1" in t.split()) for t in texts]), epochs=2)
+    rows = [(("de", "en", "", None)[k % 4], float(rng.random() < 0.4), t) for k, t in enumerate(texts)] + [("fr", 1.0, texts[0])] * 30
+    got = toxicity.thresholds(model, spark.createDataFrame(rows, "lang string, y double, text string").repartition(3))
+    assert set(got) == {"de", "en"}
+    for name, threshold in got.items():
+        p = [(float(model.score(x, first)[0]), y) for lang, y, t in rows if lang == name for *_, first, x in toxicity._ids_of(pa.array([t]))]
+        errors = [sum((v >= c / 1000) != (y == 1) for v, y in p) for c in range(20, 981)]
+        assert threshold == pytest.approx(float(np.median([c for c, e in zip(range(20, 981), errors) if e == min(errors)])) / 1000)
+
+
 def test_toxicity_scores_against_a_plain_loop():
     rng = np.random.default_rng(2)
     model = toxicity.fit([rng.integers(0, toxicity.BUCKETS, (n, toxicity.FEATURES)).astype(np.int32) for n in (3, 9, 40, 1)], np.array([0.0, 1.0, 1.0, 0.0]), epochs=3)

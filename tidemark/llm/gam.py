@@ -165,9 +165,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """A row (doc_id, y) for each labelled id; never held-out rows."""
+    return labels.where(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+
+
 def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
     """At most `limit` rows (doc_id, y), in the order of a hash of doc_id; never held-out rows."""
-    return labels.where(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return labelled(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def _featured(docs: DataFrame, keep: list[str], make) -> DataFrame:
